@@ -14,7 +14,7 @@ are packed as documents of their own; an empty table gives an empty result; othe
 from __future__ import annotations
 
 import re
-import zlib
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -25,14 +25,29 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 #: Remainders that one task holds at a time.
 WINDOW = 2048
-_GAPS = re.compile(r"[ \t\r\n]+")
-_MARK, _MARK_ID = "<|endoftext|>", 49407
+
+
+# Words of these characters alone take the short way: NFC leaves them as they are, they are lowered one by one, and their
+# letters and numbers are the same in every version of Unicode. İ becomes two characters.
+_PLAIN = [chr(i) for i in (*range(0x21, 0x7F), *range(0xA1, 0x180)) if i != 0x130]
+_SHORT = re.compile(f"[{re.escape(''.join(_PLAIN))}]+")
+_LETTERS, _NUMBERS = ("".join(c for c in sorted({c.lower() for c in _PLAIN}) if unicodedata.category(c)[0] == k) for k in "LN")
+# Fixed value: the tokeniser's pattern, for such words.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
 class WordEncoder:
     """Encodes texts word by word and keeps the ids of words already met, up to a bound.
 
-    The tokeniser's patterns never cross white space, so the ids of a text are those of its words one after another.
+    The tokeniser's patterns never cross white space, so the ids of a text are those of its words one after another. New words
+    of common characters are cut into the tokeniser's pieces here and only the pieces go to its model; others go to it whole.
     """
 
     def __init__(self, path: str, keep: int = 400_000) -> None:
@@ -41,32 +56,32 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {"": b""}
+        self.tokenizer, self.keep, self.known, self.pieces = Tokenizer.from_file(path), keep, {"": b""}, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        return ids
 
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(_MARK.join(some), add_special_tokens=False).ids, dtype=np.uint32)
-            cut = np.flatnonzero(ids == _MARK_ID)
-            raw = ids.astype("<u4").tobytes()
-            edges = [0, *(4 * cut).tolist()]
-            ends = [*(4 * cut).tolist(), len(raw)]
-            self.known.update((w, raw[a + 4 * (k > 0) : b]) for k, (w, a, b) in enumerate(zip(some, edges, ends, strict=True)))
+        known, pieces = self.known, self.pieces
         for w in words:
-            if "<|" in w:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if _SHORT.fullmatch(w) and "<|" not in w:
+                known[w] = b"".join([pieces.get(p) or self.piece(p) for p in _PIECE.findall(w.lower())])
+            else:
+                known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [_GAPS.split(t) for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > self.keep:
-            self.known = {"": b""}
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
+            self.known, self.pieces = {"": b""}, {}
+        new = set().union(*split).difference(self.known)
         if new:
             self.learn(list(new))
-        return [b"".join([known[w] for w in words]) for words in split]
+        find = self.known.__getitem__
+        return [b"".join(map(find, words)) for words in split]
 
 
 def fill(lengths: dict[int, int], room: int) -> dict[int, int]:
