@@ -24,7 +24,7 @@ from .shared import batches, connected_components, match_floor, mix, shingle_set
 #: Coordinates of a signature.
 COORDINATES = 32
 #: Posting lists above this length are skipped rather than joined.
-LONG_LIST = 200
+LONG_LIST = 64
 #: Shingles in one part of a candidate group.
 PART_SHINGLES = 1 << 20
 
@@ -74,7 +74,10 @@ def candidate_edges(sets: DataFrame, t: int, long_list: int = LONG_LIST) -> Data
     pairs = short.join(other, "token").where("rep < rep2").where("array_intersect(first, first2)[0] = token").where(f"size(array_intersect(tokens, tokens2)) >= {t}")
     skipped = postings.where(F.col("df") > long_list).select("token", "rep")
     hubs = skipped.groupBy("token").agg(F.min("rep").alias("hub"))
-    return pairs.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).unionByName(skipped.join(hubs, "token").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct())
+    # a document hangs on the smallest of its hubs, and so do the other hubs: as connected as with an edge to each, but fewer
+    held = skipped.join(hubs, "token").groupBy("rep").agg(F.collect_set("hub").alias("hubs"))
+    stars = held.select(F.explode(F.array_union("hubs", F.array("rep"))).alias("u"), F.array_min("hubs").alias("v")).where("u <> v").distinct()
+    return pairs.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).unionByName(stars)
 
 
 def _linked_groups(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
