@@ -7,8 +7,8 @@ the collisions counted. Long lists are skipped: who reaches the threshold by fre
 group through the list's smallest id, so that a list never becomes pairs. Candidate groups, cut into parts of bounded size,
 are then confirmed on full shingle sets by a breadth-first search that compares only what isn't linked yet.
 
-Defined cases: null text is empty; a text without words has no shingles and links with nothing; rows with a null doc_id are
-left out; rows that share a doc_id are one document for links and appear once each; an empty table gives an empty result;
+Defined cases: null text is empty; a text without words has no shingles and links with nothing; rows with a null doc_id link
+with nothing and are left out of the links; rows that share a doc_id are one document for links and appear once each; an empty table gives an empty result;
 other columns are ignored, whatever their names.
 """
 
@@ -209,11 +209,12 @@ def _across_parts(several: DataFrame, members: DataFrame, texts: DataFrame, widt
         return _by_group(frames, ["cand", "part"], work)
 
     more = both.select("cand", "part", "moving", "component", "rep", "text").repartition("cand", "part").sortWithinPartitions("cand", "part").mapInPandas(confirm, "u long, v long")
-    joined = connected_components(more).withColumnsRenamed({"id": "component", "component": "least"})
+    joined = connected_components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
     return state.join(joined, "component", "left").groupBy("u").agg(F.min(F.coalesce("least", "component")).alias("component"))
 
 
 def kept_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id; rows without words are all kept, once for each doc_id."""
+    """One row of each group of near-duplicates, that of the smallest doc_id; rows without words are all kept, once for each doc_id, and so are rows with a null doc_id."""
     kept = near_duplicates(docs, width, similarity).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null")
+    return named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
