@@ -118,10 +118,13 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents of the mix: each text is the words taken of it, pass by pass, a pass to a line; those not taken go."""
     mix = Mix(docs, seed)
     runs = mix.spans.groupBy("doc_id", "key", "source").agg(F.sort_array(F.collect_list(F.struct("low", "words", "times"))).alias("runs"))
-    runs = runs.toDF("r_doc", "r_key", "r_source", "runs")
-    whole = docs.withColumn("source", F.col("source").cast("string")).withColumn("r_k", F.xxhash64("doc_id", "text"))
-    joined = whole.join(runs, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("r_k") == F.col("r_key")) & F.col("source").eqNullSafe(F.col("r_source")))
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    one = lambda p: F.trim(F.array_join(F.transform(F.filter("runs", lambda r: r["times"] > p), lambda r: F.array_join(F.slice(F.col("pieces"), r["low"].cast("int") + 1, r["words"].cast("int")), "")), ""))
+    r = runs.toDF("r_doc", "r_key", "r_source", "r_runs")
+    # the documents as one column, so that no name of theirs meets ours
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r_d")).withColumn("r_k", F.xxhash64("r_d.doc_id", "r_d.text"))
+    joined = whole.join(r, F.col("r_d.doc_id").eqNullSafe(F.col("r_doc")) & (F.col("r_k") == F.col("r_key")) & F.col("r_d.source").cast("string").eqNullSafe(F.col("r_source")))
+    words = F.regexp_extract_all("r_d.text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    one = lambda p: F.trim(F.array_join(F.transform(F.filter("r_runs", lambda r: r["times"] > p), lambda r: F.array_join(F.slice(F.col("r_words"), r["low"].cast("int") + 1, r["words"].cast("int")), "")), ""))
     text = F.array_join(F.filter(F.array(*(one(p) for p in range(MOST))), lambda x: x != ""), "\n")
-    return joined.withColumn("pieces", words).withColumn("text", text).where("text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    made = joined.withColumn("r_words", words).withColumn("r_text", text).where("r_text <> ''")
+    new = {"text": F.col("r_text"), "n_chars": F.length("r_text").cast("long")}
+    return made.select(*(new.get(c, F.col("r_d")[c]).alias(c) for c in docs.columns))
