@@ -227,7 +227,9 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
             for host, source in zip(frame["host"], frame["html"], strict=True):
                 seen[host, None] += 1
                 seen.update((host, _signed(d)) for d in template_digests(parse(source or "")))
-            yield pd.DataFrame([(h, d, n) for (h, d), n in seen.items()], columns=["host", "digest", "n"]).astype({"digest": "Int64"})
+            # a column of whole numbers and nulls: as floats the digests would lose their last bits
+            digests = pd.array([d for _, d in seen], dtype="Int64")
+            yield pd.DataFrame({"host": [h for h, _ in seen], "digest": digests, "n": list(seen.values())})
 
     rows = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).where("host is not null")
     counted = rows.mapInPandas(count, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
