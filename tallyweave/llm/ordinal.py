@@ -1,9 +1,10 @@
 """Cumulative-link ordinal regression on hashed text features, for quality grades and for severity of toxicity.
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all thresholds, which are kept in order. The features of a whole
-text are its distinct words, hashed, and hashed marks of how it is written (shares of kinds of characters, of repeated words
-and lines). The weights are fitted with a proximal step that sets most of them to zero, on a bounded sample of labelled
-documents, `per_grade` of each grade at most (the smallest hashes of doc_id), weighted as the grades are in all labels.
+text are its distinct words and their stems (the first letters, which inflected forms share), hashed, and hashed marks of how
+it is written (shares of kinds of characters, of repeated words and lines). The weights are fitted by accelerated proximal
+steps that set most of them to zero, on a bounded sample of labelled documents, `per_grade` of each grade at most (the smallest
+hashes of doc_id). A grade weighs as it does in all labels to the power 1 - balance: 0 keeps their shares, 1 makes all alike.
 
 Defined cases: null text is empty; an empty text has the mark of an empty text alone; labels with a null id or grade are left
 out, of repeated ones the largest grade counts; a document with a null doc_id is scored like any other; rows that share a
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 #: The bound of the sample that is collected to fit a model: so many documents of each grade.
 PER_GRADE = 2500
 BITS = 18
+#: Lengths of stems.
+STEMS = (4, 6)
 
 _KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "shout": b"!?", "symbol": b"#$%&*@^~=+_", "bar": b"|<>{}[]\\/", "stop": b".,;:", "line": b"\n", "wide": range(128, 256)}
 
@@ -50,6 +53,7 @@ def features(text: str) -> np.ndarray:
     names += [m.encode() for m in _marks(text, text.encode("utf-8", "surrogatepass"), words, distinct)]
     # punctuation at either end doesn't make another word
     names += [s.encode("utf-8", "surrogatepass") for w in distinct if (s := w.strip(".,;:!?\"'()")) != w and s]
+    names += [b"\x01" + x.encode("utf-8", "surrogatepass") for x in {w[:k] for k in STEMS for w in distinct if len(w) > k}]
     return np.unique(np.array([crc(x) for x in names], dtype=np.uint32) & np.uint32((1 << BITS) - 1)).astype(np.int32)
 
 
@@ -74,44 +78,61 @@ class OrdinalModel:
         return float(self.weights[found].sum())
 
 
-def fit(samples: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, l1: float = 3e-4, steps: int = 250, rate: float = 0.15) -> OrdinalModel:
-    """Fits weights and ordered thresholds by proximal AdaGrad on all samples at once."""
+def fit(samples: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, balance: float = 0.0, penalty: float = 0.02, steps: int = 150) -> OrdinalModel:
+    """Fits weights and ordered thresholds on all samples at once; features of a single sample have no weight.
+
+    penalty is on the absolute weights, in units of the noise of a gradient over so many samples.
+    """
     names = sorted(set(grades.tolist()))
     model = OrdinalModel(names or [0], np.zeros(1 << BITS), np.zeros(max(0, len(names) - 1)))
     if len(names) < 2:
         return model
-    y = np.searchsorted(names, grades)
-    used, flat = np.unique(np.concatenate(samples), return_inverse=True)
-    size = np.array([len(s) for s in samples])
-    row = np.repeat(np.arange(len(samples)), size)
-    share = weight / weight.sum()
+    y, n = np.searchsorted(names, grades), len(grades)
+    used, flat, times = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in samples])
+    often = times[flat] > 1
+    flat, row, i = flat[often], row[often], np.arange(n)
+    share = weight / np.bincount(y, weights=weight)[y] ** balance
+    share = share / share.sum()
     prior = np.cumsum(np.bincount(y, weights=share))[:-1]
-    theta = np.log(prior / (1 - prior))
-    w, seen, seen_t = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(len(theta), 1e-8)
-    for _ in range(steps):
-        score = np.bincount(row, weights=w[flat], minlength=len(samples))
-        edges = np.concatenate((np.full((len(y), 1), -np.inf), theta[None, :] - score[:, None], np.full((len(y), 1), np.inf)), axis=1)
-        with np.errstate(over="ignore"):
-            cdf = np.where(np.isinf(edges), edges > 0, _sigmoid(edges))
-        slope = cdf * (1 - cdf)
-        i = np.arange(len(y))
+
+    def loss(w: np.ndarray, theta: np.ndarray):
+        edges = theta[None, :] - np.bincount(row, weights=w[flat], minlength=n)[:, None]
+        cdf = np.concatenate((np.zeros((n, 1)), _sigmoid(edges), np.ones((n, 1))), axis=1)
         p = np.maximum(cdf[i, y + 1] - cdf[i, y], 1e-12)
+        return -(np.log(p) * share).sum(), cdf * (1 - cdf), p
+
+    def slopes(slope: np.ndarray, p: np.ndarray):
         high, low = slope[i, y + 1] / p * share, slope[i, y] / p * share
-        g = np.bincount(flat, weights=(high - low)[row], minlength=len(used))
-        g_t = np.array([low[y == k + 1].sum() - high[y == k].sum() for k in range(len(theta))])
-        seen += g * g
-        seen_t += g_t * g_t
-        move = rate / np.sqrt(seen)
-        w -= move * g
-        w = np.sign(w) * np.maximum(np.abs(w) - move * l1, 0)
-        theta = np.maximum.accumulate(theta - rate / np.sqrt(seen_t) * g_t)
-    model.weights[used] = w
-    model.thresholds = theta
+        return np.bincount(flat, weights=(high - low)[row], minlength=len(used)), np.array([low[y == k + 1].sum() - high[y == k].sum() for k in range(len(prior))])
+
+    l1, bound, t = penalty / np.sqrt(n), 1.0, 1.0
+    w, theta = np.zeros(len(used)), np.log(prior / (1 - prior))
+    ahead, ahead_t = w, theta
+    for _ in range(steps):
+        value, slope, p = loss(ahead, ahead_t)
+        g, g_t = slopes(slope, p)
+        while True:  # the step is halved until a parabola over the loss holds
+            new = ahead - g / bound
+            new = np.sign(new) * np.maximum(np.abs(new) - l1 / bound, 0)
+            new_t = np.maximum.accumulate(ahead_t - g_t / bound)
+            d, d_t = new - ahead, new_t - ahead_t
+            if loss(new, new_t)[0] <= value + g @ d + g_t @ d_t + bound / 2 * (d @ d + d_t @ d_t) + 1e-12:
+                break
+            bound *= 2
+        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, ahead_t = new + (last - 1) / t * (new - w), np.maximum.accumulate(new_t + (last - 1) / t * (new_t - theta))
+        w, theta = new, new_t
+    model.weights[used], model.thresholds = w, theta
     return model
 
 
+#: How the two uses weigh their grades: clean documents are to be kept, toxic ones, which are few, to be found.
+SETTINGS = {"quality": {"balance": 0.3, "penalty": 0.01}, "toxic": {"balance": 1.0, "penalty": 0.04}}
+
+
 def train(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = PER_GRADE) -> OrdinalModel:
-    """A model of labels' column `grade`. What is collected is bounded by per_grade and the number of grades."""
+    """A model of labels' column `grade`, fitted as SETTINGS has it. What is collected is bounded by per_grade and the number of grades."""
     rated = labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(grade).cast("int")).alias("grade"))
     totals = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
     sample = None
@@ -130,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = PER_G
     grades = rows["grade"].to_numpy()
     counts = rows["grade"].value_counts()
     weight = np.array([totals[g] / counts[g] for g in grades.tolist()])
-    return fit([np.asarray(x) for x in rows["found"]], grades, weight)
+    return fit([np.asarray(x) for x in rows["found"]], grades, weight, **SETTINGS.get(grade, {}))
 
 
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
