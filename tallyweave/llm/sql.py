@@ -1,3 +1,33 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""The queries of this subpackage that SQL can express, in DuckDB's SQL.
 
-ORACLE: dict[str, str] = {}
+The others have models, a tokeniser, a parser of HTML or pseudo-random draws and are tested against brute force.
+"""
+
+_SOUND = "embedding IS NOT NULL AND len(embedding) > 0 AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]), false)"
+
+ORACLE: dict[str, str] = {
+    "op1_topk_search": f"""
+        WITH q AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings WHERE {_SOUND}),
+             s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op2_vector_dedup": f"""
+        WITH RECURSIVE s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND {_SOUND} AND list_bool_or([x <> 0 FOR x IN embedding])),
+             l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+             r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.w, r.root FROM r JOIN l ON r.id = l.u),
+             c AS (SELECT id, min(root) AS component FROM r GROUP BY id)
+        SELECT e.vec_id, (SELECT count(*) FROM l WHERE u = e.vec_id) AS n_links, component AS component_id, e.vec_id = component AS kept FROM embeddings e JOIN c ON id = vec_id""",
+    "op8_archives": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+        SELECT page_id, bytes AS payload_bytes, digest AS payload_digest, CASE WHEN bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
+    "op9_minhash_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+             s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE [words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)] END) AS found FROM w),
+             x AS (SELECT doc_id, len(found) AS n, unnest(found) AS shingle FROM s),
+             l AS (SELECT a.doc_id AS u, b.doc_id AS w FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+                   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+             r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.w, r.root FROM r JOIN l ON r.id = l.u),
+             c AS (SELECT id, min(root) AS component FROM r GROUP BY id)
+        SELECT doc_id, CAST(len(found) AS BIGINT) AS n_shingles, component AS component_id, doc_id = component AS kept FROM s JOIN c ON id = doc_id""",
+}
