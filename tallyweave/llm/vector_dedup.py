@@ -26,6 +26,9 @@ BLOCKS = 8
 SCALE = 1 << 20
 #: Vectors at home in one task's cell.
 CELL_ROWS = 4096
+#: Vectors of a label that one cell may hold on average before a further coordinate cuts the cells. A further coordinate
+#: doubles the copies that are shuffled and leaves four fifths of the comparisons, of which a copy costs some ten thousand.
+CELL_AIM = 8192
 _SLACK = 1e-5
 
 
@@ -63,7 +66,7 @@ def vector_duplicates(vectors: DataFrame, similarity: float = 0.98, cell_rows: i
     rows = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False))).withColumn("f1", F.xxhash64("v")).withColumn("f2", F.xxhash64(F.lit("v"), "v"))
     sets = written(rows.where("sound").groupBy("label", "f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.any_value("v").alias("v")), "vectors")
     most = sets.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    grid = int(max(1, np.ceil(np.log(max(most, 1) / 512) / np.log(2.5))))
+    grid = int(max(1, np.ceil(np.log(max(most, 1) / CELL_AIM) / np.log(2.5))))
 
     def place(frames):
         for frame in frames:
