@@ -20,8 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: A template is on so many pages of its host at least, and on such a share of them.
 LEAST_PAGES, LEAST_SHARE = 8, 0.2
+#: Pages of a host that meet its templates in one place, and how many hosts with more of them there can be.
+HOT_PAGES, HOT_HOSTS = 500, 10_000
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -218,8 +222,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, templates: subtree hashes on many of a host's pages. A host has at most its mean of subtrees a page / least_share."""
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(host, templates): subtree hashes on many of a host's pages, at most its mean of subtrees a page / least_share; and (host, pages)."""
 
     def count(frames):
         for frame in frames:
@@ -233,14 +237,32 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
 
     rows = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).where("host is not null")
     counted = rows.mapInPandas(count, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
+    # written, as both what is below and the hosts' sizes read it: pages are parsed once for it
+    counted = written(counted.where(F.col("digest").isNull() | (F.col("n") >= least_pages)), "subtrees")
     totals = counted.where("digest is null").select("host", F.col("n").alias("pages"))
-    often = counted.where(F.col("digest").isNotNull() & (F.col("n") >= least_pages)).join(totals, "host").where(F.col("n") >= F.col("pages") * least_share)
-    return often.groupBy("host").agg(F.collect_list("digest").alias("templates"))
+    often = counted.where("digest is not null").join(totals, "host").where(F.col("n") >= F.col("pages") * least_share)
+    return often.groupBy("host").agg(F.collect_list("digest").alias("templates")), totals
+
+
+def salted(rows: DataFrame, templates: DataFrame, totals: DataFrame, hot_pages: int = HOT_PAGES) -> tuple[DataFrame, DataFrame]:
+    """Rows with a salt and templates once for each salt of their host, so that no (host, salt) has much more than hot_pages rows.
+
+    Hosts above hot_pages pages, and above one in HOT_HOSTS of all pages, are salted: there are HOT_HOSTS of them at most,
+    which bounds what is broadcast.
+    """
+    total = totals.agg(F.sum("pages")).first()[0] or 0
+    most = max(hot_pages, -(-total // HOT_HOSTS))
+    hot = totals.where(F.col("pages") > most).select("host", F.expr(f"cast(ceil(pages / {most}) as long)").alias("salts"))
+    # rows without a host meet nothing and are spread
+    salt = F.expr("pmod(xxhash64(page_id, url), if(host is null, 1000000L, coalesce(salts, 1L)))")
+    rows = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", salt).drop("salts")
+    templates = templates.join(F.broadcast(hot), "host", "left").withColumn("salt", F.explode(F.expr("sequence(0L, coalesce(salts, 1L) - 1)"))).drop("salts")
+    return rows, templates
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, hot_pages: int = HOT_PAGES) -> DataFrame:
     """page_id, url, text, n_chars."""
-    templates = site_templates(pages, least_pages, least_share)
+    templates, totals = site_templates(pages, least_pages, least_share)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host())
 
     def read(frames):
@@ -254,4 +276,5 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
                 texts.append(main_text(parse(source or ""), sets[host] if host else frozenset()))
             yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.join(templates, "host", "left").select("page_id", "url", "html", "host", "templates").mapInPandas(read, "page_id long, url string, text string, n_chars long")
+    rows, templates = salted(rows, templates, totals, hot_pages)
+    return rows.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "host", "templates").mapInPandas(read, "page_id long, url string, text string, n_chars long")
