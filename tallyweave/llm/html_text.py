@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed.
 
 Pages are parsed into element trees. The hashes of their block subtrees are counted per host, a page once each; a subtree that
-recurs on many pages of its host is a template and goes, but never the article itself or what is in it. What is left within
+recurs on many pages of its host is a template and goes, within the article too, but never the article itself. What is left within
 the article (the main element, else the outermost articles, else the body) is the text, without the elements and the class,
 id and role names that mark navigation, notices, adverts, forms and comments.
 
@@ -202,16 +202,25 @@ def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
                     flush()
                 else:
                     text.append(" ")
-                if not part.dropped and not (whole and part.digest in templates):
+                if not part.dropped and part.digest not in templates:
                     if not (whole and part.tag == "header"):
                         stack.append(iter(part.parts))
     return "\n".join(blocks)
 
 
 def template_digests(root: Node) -> set[int]:
-    """The subtrees of a page that can be templates: its blocks outside the article."""
-    inside = {id(n) for top in _article(root) for n in _nodes(top, True)}
-    return {n.digest for n in _nodes(root, True) if n is not root and id(n) not in inside and n.tag in BLOCK | DROPPED and n.parts and not any(isinstance(p, Node) and id(p) in inside for p in n.parts)}
+    """The subtrees of a page that can be templates: its blocks, within the article too, but neither the article nor what holds it."""
+    article = {id(n) for n in _article(root)}
+    holding, path, stack = {id(root)} | article, [], [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        del path[depth:]
+        if id(node) in article:
+            holding.update(path)
+            continue
+        path.append(id(node))
+        stack += [(p, depth + 1) for p in node.parts if isinstance(p, Node) and not p.dropped]
+    return {n.digest for n in _nodes(root, True) if id(n) not in holding and n.tag in BLOCK | DROPPED and n.parts}
 
 
 def _host() -> F.Column:

@@ -43,6 +43,13 @@ def test_templates_go_and_articles_stay(spark):
     assert html_text.extract(df.where("false")).isEmpty()
 
 
+def test_templates_within_articles_go(spark):
+    html = lambda i: f"<body><div class='w'><article><h1>Title {i}</h1><div class='x1'><p>Read more</p><p>of this</p></div><p>Text number {i}.</p><section>Written by staff</section></article></div></body>"
+    rows = [(i, f"http://a.example/{i}", html(i)) for i in range(40)] + [(99, "http://b.example/", html(99))]
+    texts = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert texts == {i: f"Title {i}\nText number {i}." for i in range(40)} | {99: "Title 99\nRead more\nof this\nText number 99.\nWritten by staff"}
+
+
 def test_whole_table(spark, sf):
     pages = {r["page_id"]: r for r in read_table(spark, sf, "pages").collect()}
     rows = op6_html_text(spark, sf).collect()
