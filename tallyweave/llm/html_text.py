@@ -37,6 +37,17 @@ NAMES = frozenset(
     "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo masthead topbar toolbar "
     "cookie cookies consent gdpr notice notices notification popup modal overlay dialog alert newsletter subscribe subscription signup login search share sharing social related recommended comment comments disqus respond replies widget skip".split()
 )
+# The compounds of them that mark it too; other compounds, as has-sidebar or share-price, don't.
+COMPOUNDS = frozenset(
+    "site-footer page-footer main-footer global-footer footer-nav footer-menu footer-links footer-widgets site-nav main-nav primary-nav secondary-nav top-nav global-nav nav-bar nav-menu nav-links site-navigation main-navigation post-navigation "
+    "posts-navigation page-navigation main-menu site-menu primary-menu side-bar primary-sidebar secondary-sidebar sidebar-widget widget-area breadcrumb-nav breadcrumb-trail page-numbers site-banner top-banner ad-banner banner-ad ad-box ad-slot "
+    "ad-unit ad-container ad-wrapper ads-box ads-container advert-box google-ads sponsored-content sponsored-links promo-box promo-banner cookie-notice cookie-banner cookie-bar cookie-consent cookie-popup cookie-policy-notice consent-banner "
+    "consent-popup gdpr-notice gdpr-banner newsletter-signup newsletter-form newsletter-box newsletter-popup email-signup signup-form subscribe-form subscribe-box subscription-form login-form login-box search-form search-box share-bar share-box "
+    "share-buttons share-links share-this sharing-buttons social-share social-sharing social-links social-media social-icons social-buttons related-posts related-articles related-links related-content related-stories recommended-posts "
+    "recommended-articles comment-list comment-form comments-area comments-section comment-section comments-list disqus-thread reply-form modal-dialog popup-overlay skip-link skip-links skip-nav skip-to-content".split()
+)
+# Names of what stands beside an article and is made of articles itself.
+BESIDE = frozenset("comment comments disqus respond replies related recommended".split())
 _CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend li tbody td tfoot th thead tr".split())
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 _P_SCOPE = frozenset("button td th caption table html object template".split())
@@ -48,25 +59,26 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\
 _NAME = re.compile(r"[A-Za-z]+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> tuple[bool, int]:
+    """Whether an element is hidden, and whether a name marks it: 1, or 2 if the name is of what stands beside an article."""
+    named = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, 0
         if name in ("class", "id", "role"):
-            for one in value.split():
-                parts = _NAME.findall(one)
-                # "ad", "site-footer" and "cookie_notice" are marks, "article-with-comments-open" and the like are not
-                if one in NAMES or parts and (parts[0] in NAMES or parts[-1] in NAMES) and not {"article", "content", "main", "body", "post", "entry"} & set(parts):
-                    return True
-    return False
+            for one in value.replace("_", "-").split():
+                if one in NAMES or one in COMPOUNDS:
+                    named = max(named, 1 if BESIDE.isdisjoint(one.split("-")) else 2)
+    return False, named
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "parts", "digest")
+    __slots__ = ("tag", "dropped", "named", "parts", "digest")
 
-    def __init__(self, tag: str, dropped: bool) -> None:
-        self.tag, self.dropped, self.parts, self.digest = tag, dropped, [], 0
+    def __init__(self, tag: str, dropped: bool, named: int = 0) -> None:
+        """named: dropped for its name alone."""
+        self.tag, self.dropped, self.named, self.parts, self.digest = tag, dropped, named, [], 0
 
     def close(self) -> None:
         text = "\x1f".join(" ".join(p.split()) if isinstance(p, str) else f"\x1e{p.digest:x}" for p in self.parts)
@@ -135,10 +147,12 @@ def parse(source: str) -> Node:
         if tag in ("html", "body") or len(stack) > _DEEPEST:
             continue
         attributes = m[3]
-        dropped = tag in DROPPED or bool(attributes and attributes.strip(" /")) and _marked(attributes)
+        hidden, named = _marked(attributes) if attributes and attributes.strip(" /") else (False, 0)
+        named = 0 if hidden or tag in DROPPED else named
+        dropped = tag in DROPPED or hidden or named > 0
         # inline elements matter only where they are dropped, and then those of the same name within
         if tag in BLOCK or dropped or stack[-1].tag == tag:
-            node = Node(tag, dropped)
+            node = Node(tag, dropped, named)
             stack[-1].parts.append(node)
             if tag != "hr":
                 stack.append(node)
@@ -151,9 +165,29 @@ def parse(source: str) -> Node:
         stack[-1].parts.append(entities.unescape(source[at:]))
     pop_to(1)
     root.close()
+    _keep_article(root)
     return root
 
 
+def _keep_article(root: Node) -> None:
+    """Undoes drops by name of what holds the main element or, where no article is left otherwise, the articles."""
+    held: dict[str, list[list[Node]]] = {"main": [], "article": []}
+    path: list[Node] = []
+    stack = [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        del path[depth:]
+        if node.tag in held:
+            held[node.tag].append([n for n in (*path, node) if n.named])
+        path.append(node)
+        stack += [(p, depth + 1) for p in reversed(node.parts) if isinstance(p, Node) and (p.named or not p.dropped)]
+    # of several ones the unnamed are the article: teasers and comments are articles too
+    found = held["main"] or [names for names in held["article"] if all(n.named == 1 for n in names)]
+    if found and all(found):
+        for node in (n for names in found for n in names):
+            node.dropped, node.named = False, 0
+
+
 def _nodes(root: Node, into_dropped: bool = False):
     stack = [root]
     while stack:

@@ -50,6 +50,21 @@ def test_templates_within_articles_go(spark):
     assert texts == {i: f"Title {i}\nText number {i}." for i in range(40)} | {99: "Title 99\nRead more\nof this\nText number 99.\nWritten by staff"}
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "layout-sidebar", "no-banner", "has-navbar", "share-price", "social-science", "sidebar", "site-footer"])
+def test_names_do_not_drop_the_article(name):
+    for tag in ("main", "article"):
+        source = f"<body><div class='{name}'><div class=ad>buy</div><{tag}><p>text</p></{tag}></div><div class=comments>no</div></body>"
+        assert html_text.main_text(html_text.parse(source)) == "text"
+    kept = name not in ("sidebar", "site-footer")
+    assert html_text.main_text(html_text.parse(f"<body><p>a</p><div class='{name}'>b</div></body>")) == ("a\nb" if kept else "a")
+
+
+def test_named_articles_beside_the_article_go():
+    source = "<body><article><p>text</p></article><div id=comments><article>comment</article></div></body>"
+    assert html_text.main_text(html_text.parse(source)) == "text"
+    assert html_text.main_text(html_text.parse(source.replace("article>", "div>", 2))) == "text"
+
+
 def test_whole_table(spark, sf):
     pages = {r["page_id"]: r for r in read_table(spark, sf, "pages").collect()}
     rows = op6_html_text(spark, sf).collect()
