@@ -52,7 +52,6 @@ _CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend li tbody td t
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 _P_SCOPE = frozenset("button td th caption table html object template".split())
 _HEAD = frozenset("base link meta noscript script style template title".split())
-_DEEPEST = 400
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -89,19 +88,21 @@ def parse(source: str) -> Node:
     """The tree of block elements and dropped ones; inline elements leave their text in the block they are in."""
     root = Node("html", False)
     stack = [root]
+    #: where the open elements of each tag are in the stack
+    depths: dict[str, list[int]] = {}
     at = 0
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
+            depths[stack[-1].tag].pop()
             stack.pop().close()
 
+    def last(tags) -> int:
+        return max((d[-1] for t in tags if (d := depths.get(t))), default=0)
+
     def find(tags, scope) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in scope:
-                return 0
-        return 0
+        i = last(tags)
+        return i if i and i >= last(scope) else 0
 
     scan = _TOKEN.search
     while True:
@@ -144,7 +145,7 @@ def parse(source: str) -> Node:
             closes, scope = _IMPLIED[tag]
             while i := find(closes, scope):
                 pop_to(i)
-        if tag in ("html", "body") or len(stack) > _DEEPEST:
+        if tag in ("html", "body"):
             continue
         attributes = m[3]
         hidden, named = _marked(attributes) if attributes and attributes.strip(" /") else (False, 0)
@@ -155,6 +156,7 @@ def parse(source: str) -> Node:
             node = Node(tag, dropped, named)
             stack[-1].parts.append(node)
             if tag != "hr":
+                depths.setdefault(tag, []).append(len(stack))
                 stack.append(node)
             else:
                 node.close()
@@ -171,16 +173,17 @@ def parse(source: str) -> Node:
 
 def _keep_article(root: Node) -> None:
     """Undoes drops by name of what holds the main element or, where no article is left otherwise, the articles."""
-    held: dict[str, list[list[Node]]] = {"main": [], "article": []}
-    path: list[Node] = []
-    stack = [(root, 0)]
+    held: dict[str, list[tuple[Node, ...]]] = {"main": [], "article": []}
+    stack: list[tuple[Node, tuple[Node, ...], bool]] = [(root, (), False)]
     while stack:
-        node, depth = stack.pop()
-        del path[depth:]
-        if node.tag in held:
-            held[node.tag].append([n for n in (*path, node) if n.named])
-        path.append(node)
-        stack += [(p, depth + 1) for p in reversed(node.parts) if isinstance(p, Node) and (p.named or not p.dropped)]
+        node, names, within = stack.pop()
+        if node.named:
+            names = (*names, node)
+        if node.tag == "main" or node.tag == "article" and not within:
+            held[node.tag].append(names)
+        within = within or node.tag == "article"
+        if node.tag != "main":
+            stack += [(p, names, within) for p in reversed(node.parts) if isinstance(p, Node) and (p.named or not p.dropped)]
     # of several ones the unnamed are the article: teasers and comments are articles too
     found = held["main"] or [names for names in held["article"] if all(n.named == 1 for n in names)]
     if found and all(found):
@@ -245,15 +248,18 @@ def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
 def template_digests(root: Node) -> set[int]:
     """The subtrees of a page that can be templates: its blocks, within the article too, but neither the article nor what holds it."""
     article = {id(n) for n in _article(root)}
-    holding, path, stack = {id(root)} | article, [], [(root, 0)]
+    holding, above, stack = {id(root)} | article, {}, [root]
     while stack:
-        node, depth = stack.pop()
-        del path[depth:]
+        node = stack.pop()
         if id(node) in article:
-            holding.update(path)
-            continue
-        path.append(id(node))
-        stack += [(p, depth + 1) for p in node.parts if isinstance(p, Node) and not p.dropped]
+            up = above.get(id(node))
+            while up is not None and up not in holding:
+                holding.add(up)
+                up = above.get(up)
+        else:
+            below = [p for p in node.parts if isinstance(p, Node) and not p.dropped]
+            above.update((id(p), id(node)) for p in below)
+            stack += below
     return {n.digest for n in _nodes(root, True) if id(n) not in holding and n.tag in BLOCK | DROPPED and n.parts}
 
 

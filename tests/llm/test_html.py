@@ -65,6 +65,16 @@ def test_named_articles_beside_the_article_go():
     assert html_text.main_text(html_text.parse(source.replace("article>", "div>", 2))) == "text"
 
 
+@pytest.mark.parametrize("depth", [450, 20_000])
+def test_deep_pages_are_whole(depth):
+    deep = "<div>" * depth
+    source = f"<body><div><article><p>first</p>{deep}<nav>menu</nav><div>one</div><div>two</div>{'</div>' * depth}<p>last</p></article></div><p>outside</p></body>"
+    assert html_text.main_text(html_text.parse(source)) == "first\none\ntwo\nlast"
+    # never closed, with a list of which each item looks for the one before it
+    items = "".join(f"<li>{i}</li>" for i in range(depth))
+    assert html_text.main_text(html_text.parse(f"<li><ul>{deep}{items}")) == "\n".join(map(str, range(depth)))
+
+
 def test_whole_table(spark, sf):
     pages = {r["page_id"]: r for r in read_table(spark, sf, "pages").collect()}
     rows = op6_html_text(spark, sf).collect()
