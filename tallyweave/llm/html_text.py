@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed.
 
-Pages are parsed into element trees. The hashes of their block subtrees are counted per host, a page once each; a subtree that
-recurs on many pages of its host is a template and goes, within the article too, but never the article itself. What is left within
+Pages are parsed into element trees. The hashes of their block subtrees are counted per host, once for each different article;
+a subtree that recurs with so many articles of its host is a template and goes, within the article too, but never the article itself. What is left within
 the article (the main element, else the outermost articles, else the body) is the text, without the elements and the class,
 id and role names that mark navigation, notices, adverts, forms and comments.
 
@@ -12,8 +12,9 @@ templates; rows that share a page_id are pages of their own; an empty table give
 from __future__ import annotations
 
 import html as entities
+import json
 import re
-from collections import Counter
+import zlib
 
 import pandas as pd
 import xxhash
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: A template is on so many pages of its host at least, and on such a share of them.
-LEAST_PAGES, LEAST_SHARE = 8, 0.2
-#: Pages of a host that meet its templates in one place, and how many hosts with more of them there can be.
-HOT_PAGES, HOT_HOSTS = 500, 10_000
+#: A template is in so many different pages of its host at least, however many there are.
+LEAST_PAGES = 8
+#: Rows of a subtree or an article that meet in one place, and how many of them with more rows there can be.
+HOT_PAGES, HOT_KEYS = 500, 10_000
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -213,36 +214,54 @@ def _article(root: Node) -> list[Node]:
     return found
 
 
-def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
+def article_form(root: Node) -> tuple[list[tuple[str, int]], list[int], list[int]]:
+    """The lines of the article, each with the innermost block that it is in; for each block, the one around it and its digest."""
     roots = _article(root)
     whole = not roots
-    blocks: list[str] = []
+    lines: list[tuple[str, int]] = []
+    around, digests = [0], [0]
     text: list[str] = []
 
-    def flush() -> None:
+    def flush(block: int) -> None:
         if text:
             if joined := " ".join("".join(text).split()):
-                blocks.append(joined)
+                lines.append((joined, block))
             text.clear()
 
     for top in roots or [root]:
-        stack = [iter(top.parts)]
+        stack = [(iter(top.parts), 0)]
         while stack:
-            part = next(stack[-1], None)
+            parts, block = stack[-1]
+            part = next(parts, None)
             if part is None:
-                flush()
+                flush(block)
                 stack.pop()
             elif isinstance(part, str):
                 text.append(part)
             else:
                 if part.tag in BLOCK:
-                    flush()
+                    flush(block)
                 else:
                     text.append(" ")
-                if not part.dropped and part.digest not in templates:
-                    if not (whole and part.tag == "header"):
-                        stack.append(iter(part.parts))
-    return "\n".join(blocks)
+                if not part.dropped and not (whole and part.tag == "header"):
+                    if part.tag in BLOCK:
+                        around.append(block)
+                        digests.append(part.digest)
+                        block = len(around) - 1
+                    stack.append((iter(part.parts), block))
+    return lines, around, digests
+
+
+def form_text(lines, around, digests, templates) -> str:
+    """The lines that are in no template."""
+    gone = [False]
+    for up, digest in zip(around[1:], digests[1:], strict=True):
+        gone.append(gone[up] or digest in templates)
+    return "\n".join(line for line, block in lines if not gone[block])
+
+
+def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
+    return form_text(*article_form(root), templates)
 
 
 def template_digests(root: Node) -> set[int]:
@@ -271,59 +290,91 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(host, templates): subtree hashes on many of a host's pages, at most its mean of subtrees a page / least_share; and (host, pages)."""
-
-    def count(frames):
-        for frame in frames:
-            seen: Counter = Counter()
-            for host, source in zip(frame["host"], frame["html"], strict=True):
-                seen[host, None] += 1
-                seen.update((host, _signed(d)) for d in template_digests(parse(source or "")))
-            # a column of whole numbers and nulls: as floats the digests would lose their last bits
-            digests = pd.array([d for _, d in seen], dtype="Int64")
-            yield pd.DataFrame({"host": [h for h, _ in seen], "digest": digests, "n": list(seen.values())})
-
-    rows = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).where("host is not null")
-    counted = rows.mapInPandas(count, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
-    # written, as both what is below and the hosts' sizes read it: pages are parsed once for it
-    counted = written(counted.where(F.col("digest").isNull() | (F.col("n") >= least_pages)), "subtrees")
-    totals = counted.where("digest is null").select("host", F.col("n").alias("pages"))
-    often = counted.where("digest is not null").join(totals, "host").where(F.col("n") >= F.col("pages") * least_share)
-    return often.groupBy("host").agg(F.collect_list("digest").alias("templates")), totals
+def _key(host: str, *digests: int) -> int:
+    """A subtree or an article of a host."""
+    return _signed(xxhash.xxh3_64_intdigest(f"{host}\x1d{digests}".encode("utf-8", "surrogatepass")))
+
+
+def _article_key(host: str, root: Node) -> int:
+    return _key(host, 0, *(n.digest for n in _article(root) or [root]))
+
+
+def _marks(frames):
+    """For each page a row without a key, and one for each of its subtrees; within: its article can lose it."""
+    for frame in frames:
+        keys, articles, within = [], [], []
+        for host, source in zip(frame["host"], frame["html"], strict=True):
+            root = parse(source or "")
+            found, inside = template_digests(root), set(article_form(root)[2])
+            keys += [None, *(_key(host, d) for d in found)]
+            within += [False, *(d in inside for d in found)]
+            articles += [_article_key(host, root)] * (len(found) + 1)
+            if len(keys) > 100_000:
+                yield pd.DataFrame({"key": pd.array(keys, dtype="Int64"), "article": articles, "within": within})
+                keys, articles, within = [], [], []
+        # a column of whole numbers and nulls: as floats the keys would lose their last bits
+        yield pd.DataFrame({"key": pd.array(keys, dtype="Int64"), "article": pd.Series(articles, dtype="int64"), "within": pd.Series(within, dtype=bool)})
+
+
+def article_templates(rows: DataFrame, least_pages: int = LEAST_PAGES, hot_pages: int = HOT_PAGES) -> tuple[DataFrame, DataFrame]:
+    """(article, templates): the templates in an article, as keys; and (article, pages). No list grows with a host."""
+    # written, as what is below reads it again: pages are parsed once for it
+    marked = written(rows.where("host is not null").select("host", "html").mapInPandas(_marks, "key long, article long, within boolean"), "subtrees")
+    totals = marked.where("key is null").groupBy("article").agg(F.count("*").alias("pages"))
+    # copies of an article count once: else its own text would be a template
+    counted = marked.where("key is not null").groupBy("key", "article").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("articles"), F.sum("n").alias("n"))
+    templates = written(counted.where(F.col("articles") >= least_pages).select("key", "n"), "templates")
+    # few of them can be in more than one in HOT_KEYS of their rows: those are broadcast, so no key takes many rows to a task
+    most = max(hot_pages, -(-(templates.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS))
+    hot = templates.where(F.col("n") > most).select("key", F.lit(True).alias("hot"))
+    met = marked.where("within and key is not null").join(F.broadcast(hot), "key", "left")
+    cold = met.where("hot is null").join(templates.where(F.col("n") <= most).select("key"), "key")
+    hits = met.where("hot").select("article", "key").unionByName(cold.select("article", "key"))
+    return hits.groupBy("article").agg(F.collect_set("key").alias("templates")), totals
 
 
 def salted(rows: DataFrame, templates: DataFrame, totals: DataFrame, hot_pages: int = HOT_PAGES) -> tuple[DataFrame, DataFrame]:
-    """Rows with a salt and templates once for each salt of their host, so that no (host, salt) has much more than hot_pages rows.
+    """Rows with a salt and templates once for each salt of their article, so that no (article, salt) has much more than hot_pages rows.
 
-    Hosts above hot_pages pages, and above one in HOT_HOSTS of all pages, are salted: there are HOT_HOSTS of them at most,
-    which bounds what is broadcast.
+    Articles on more than hot_pages pages, and on more than one in HOT_KEYS of all pages, are salted: there are HOT_KEYS of them
+    at most, which bounds what is broadcast.
     """
     total = totals.agg(F.sum("pages")).first()[0] or 0
-    most = max(hot_pages, -(-total // HOT_HOSTS))
-    hot = totals.where(F.col("pages") > most).select("host", F.expr(f"cast(ceil(pages / {most}) as long)").alias("salts"))
+    most = max(hot_pages, -(-total // HOT_KEYS))
+    hot = totals.where(F.col("pages") > most).select("article", F.expr(f"cast(ceil(pages / {most}) as long)").alias("salts"))
     # rows without a host meet nothing and are spread
-    salt = F.expr("pmod(xxhash64(page_id, url), if(host is null, 1000000L, coalesce(salts, 1L)))")
-    rows = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", salt).drop("salts")
-    templates = templates.join(F.broadcast(hot), "host", "left").withColumn("salt", F.explode(F.expr("sequence(0L, coalesce(salts, 1L) - 1)"))).drop("salts")
+    salt = F.expr("pmod(xxhash64(page_id, url), if(article is null, 1000000L, coalesce(salts, 1L)))")
+    rows = rows.join(F.broadcast(hot), "article", "left").withColumn("salt", salt).drop("salts")
+    templates = templates.join(F.broadcast(hot), "article", "left").withColumn("salt", F.explode(F.expr("sequence(0L, coalesce(salts, 1L) - 1)"))).drop("salts")
     return rows, templates
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, hot_pages: int = HOT_PAGES) -> DataFrame:
+def _forms(frames):
+    """The pages' articles, packed: they are smaller to shuffle than the pages."""
+    for frame in frames:
+        articles, forms = [], []
+        for host, source in zip(frame["host"], frame["html"], strict=True):
+            root = parse(source or "")
+            lines, around, digests = article_form(root)
+            articles.append(_article_key(host, root) if host else None)
+            keys = [_key(host, d) for d in digests] if host else digests
+            forms.append(zlib.compress(json.dumps((lines, around, keys), ensure_ascii=False).encode("utf-8", "surrogatepass"), 1))
+        yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "article": pd.array(articles, dtype="Int64"), "form": forms})
+
+
+def _texts(frames):
+    for frame in frames:
+        texts = []
+        for form, known in zip(frame["form"], frame["templates"], strict=True):
+            lines, around, keys = json.loads(zlib.decompress(form).decode("utf-8", "surrogatepass"))
+            texts.append(form_text(lines, around, keys, frozenset(map(int, known)) if known is not None else ()))
+        yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, hot_pages: int = HOT_PAGES) -> DataFrame:
     """page_id, url, text, n_chars."""
-    templates, totals = site_templates(pages, least_pages, least_share)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host())
-
-    def read(frames):
-        sets: dict = {}
-        for frame in frames:
-            texts = []
-            for host, source, known in zip(frame["host"], frame["html"], frame["templates"], strict=True):
-                if host not in sets:
-                    sets = dict(list(sets.items())[-200:])
-                    sets[host] = frozenset(int(x) & (2**64 - 1) for x in known) if known is not None else frozenset()
-                texts.append(main_text(parse(source or ""), sets[host] if host else frozenset()))
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    rows, templates = salted(rows, templates, totals, hot_pages)
-    return rows.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "host", "templates").mapInPandas(read, "page_id long, url string, text string, n_chars long")
+    templates, totals = article_templates(rows, least_pages, hot_pages)
+    forms = rows.mapInPandas(_forms, "page_id long, url string, article long, form binary")
+    forms, templates = salted(forms, templates, totals, hot_pages)
+    return forms.join(templates, ["article", "salt"], "left").select("page_id", "url", "form", "templates").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")

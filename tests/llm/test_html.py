@@ -75,6 +75,16 @@ def test_deep_pages_are_whole(depth):
     assert html_text.main_text(html_text.parse(f"<li><ul>{deep}{items}")) == "\n".join(map(str, range(depth)))
 
 
+def test_templates_do_not_depend_on_the_size_of_the_host(spark):
+    html = lambda i: f"<body><p>Text number {i}.</p>" + ("<div>Section menu</div>" if i < 12 else "") + "</body>"
+    # 12 of 400 pages have the menu; one article is on 20 pages and stays
+    rows = [(i, f"http://a.example/{i}", html(i)) for i in range(400)] + [(1000 + i, f"http://a.example/c{i}", "<article><p>The same</p><p>article</p></article>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for hot in (500, 3):
+        texts = {r["page_id"]: r["text"] for r in html_text.extract(df, hot_pages=hot).collect()}
+        assert texts == {i: f"Text number {i}." for i in range(400)} | {1000 + i: "The same\narticle" for i in range(20)}
+
+
 def test_whole_table(spark, sf):
     pages = {r["page_id"]: r for r in read_table(spark, sf, "pages").collect()}
     rows = op6_html_text(spark, sf).collect()
