@@ -5,7 +5,8 @@ above the match threshold has at least t tokens in common, so it shares one of i
 frequency (prefix), m being the tokens of a document that any other document has at all. Short posting lists are joined and
 the collisions counted. Long lists are skipped: who reaches the threshold by frequent tokens alone is put in one candidate
 group through the list's smallest id, so that a list never becomes pairs. Candidate groups, cut into parts of bounded size,
-are then confirmed on full shingle sets by a breadth-first search that compares only what isn't linked yet.
+are then confirmed on full shingle sets by a breadth-first search that compares only what isn't linked yet. What is in several
+parts is compared in blocks of bounded size, if it shares one of the rare shingles that a link must share.
 
 Defined cases: null text is empty; a text without words has no shingles and links with nothing; rows with a null doc_id link
 with nothing and are left out of the links; rows that share a doc_id are one document for links and appear once each; an empty table gives an empty result;
@@ -27,6 +28,8 @@ COORDINATES = 32
 LONG_LIST = 64
 #: Shingles in one part of a candidate group.
 PART_SHINGLES = 1 << 20
+#: Shingles counted to order them by frequency, and the most frequent that are told apart; any order gives the same links.
+COUNTED_SHINGLES, FREQUENT = 1 << 24, 1 << 17
 
 
 def _family(k: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +79,11 @@ def candidate_edges(sets: DataFrame, t: int, long_list: int = LONG_LIST) -> Data
     hubs = skipped.groupBy("token").agg(F.min("rep").alias("hub"))
     # a document hangs on the smallest of its hubs, and so do the other hubs: as connected as with an edge to each, but fewer
     held = skipped.join(hubs, "token").groupBy("rep").agg(F.collect_set("hub").alias("hubs"))
-    stars = held.select(F.explode(F.array_union("hubs", F.array("rep"))).alias("u"), F.array_min("hubs").alias("v")).where("u <> v").distinct()
-    return pairs.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).unionByName(stars)
+    return pairs.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).unionByName(_stars(held))
+
+
+def _stars(held: DataFrame) -> DataFrame:
+    return held.select(F.explode(F.array_union("hubs", F.array("rep"))).alias("u"), F.array_min("hubs").alias("v")).where("u <> v").distinct()
 
 
 def _linked_groups(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -145,7 +151,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     groups = connected_components(candidate_edges(sets, t, long_list)).withColumnsRenamed({"id": "rep", "component": "cand"})
     sized = groups.join(sets.select("rep", "n"), "rep")
     parts = sized.groupBy("cand").agg(F.ceil(F.sum("n") / part_shingles).cast("long").alias("parts"))
-    members = written(sized.join(parts, "cand").select("cand", "rep", "parts", F.expr("pmod(xxhash64(rep), parts)").alias("part")), "members")
+    members = written(sized.join(parts, "cand").select("cand", "rep", "n", "parts", F.expr("pmod(xxhash64(rep), parts)").alias("part")), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
     def confirm(frames):
@@ -165,23 +171,79 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     found = linked.where("parts = 1").groupBy("u").agg(F.min("v").alias("component"))
     several = linked.where("parts > 1").select("u", "v", "cand", "parts")
     if not several.isEmpty():
-        found = found.unionByName(_across_parts(several, members, texts, width, num, den))
+        found = found.unionByName(_across_parts(several, members, texts, width, num, den, part_shingles))
     placed = sets.select("f1", "f2", "rep").join(found.withColumnRenamed("u", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(placed, ["f1", "f2"], "left")
     least = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", least.alias("component_id"), (F.col("doc_id") == least).alias("kept"))
 
 
-def _across_parts(several: DataFrame, members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Components of candidate groups that were cut into parts: what isn't in its group's main component is compared with every part."""
+def _prefixes(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """token, rep, component: the shingles of each row (cand, rep, component, n, text), of which linked rows of a cand share one.
+
+    Of n shingles in a fixed order the first n - ceil(n * num / den) + 1 are such; in order of frequency these are rare ones.
+    """
+    total = rows.agg(F.sum("n")).first()[0] or 0
+
+    def shingles(frames):
+        for frame in frames:
+            texts = frame["text"].fillna("").tolist()
+            for i, j in batches(texts):
+                yield pd.DataFrame({"token": np.concatenate(shingle_sets(texts[i:j], width)).view(np.int64)})
+
+    counted = rows.where(F.expr(f"pmod(xxhash64(rep, 1), {max(1, -(-total // COUNTED_SHINGLES))}) = 0")).select("text").mapInPandas(shingles, "token long")
+    often = counted.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    often = sorted((r["token"], r["count"]) for r in often)
+    known, counts = np.array([-(2**63), *(t for t, _ in often)], dtype=np.int64), np.array([0, *(n for _, n in often)], dtype=np.int64)
+
+    def first(frames):
+        for frame in frames:
+            texts = frame["text"].fillna("").tolist()
+            cand, rep, component = (frame[c].to_numpy() for c in ("cand", "rep", "component"))
+            for i, j in batches(texts):
+                taken = []
+                for x in shingle_sets(texts[i:j], width):
+                    x = x.view(np.int64)
+                    at = np.searchsorted(known, x, "right") - 1
+                    order = np.lexsort((x, np.where(known[at] == x, counts[at], 0)))
+                    taken.append(x[order[: len(x) + num * len(x) // -den + 1]] if len(x) else x)
+                n = [len(x) for x in taken]
+                yield pd.DataFrame({"cand": np.repeat(cand[i:j], n), "token": np.concatenate(taken), "rep": np.repeat(rep[i:j], n), "component": np.repeat(component[i:j], n)})
+
+    tokens = rows.select("cand", "rep", "component", "text").mapInPandas(first, "cand long, token long, rep long, component long")
+    return tokens.select(F.xxhash64("cand", "token").alias("token"), "rep", "component")
+
+
+def _blocks(rows: DataFrame, texts: DataFrame, width: int, num: int, den: int, part_shingles: int) -> DataFrame:
+    """cand, sub, part, moving, component, rep, text: blocks (cand, sub, part) in which all that can still be linked meets.
+
+    Rows (cand, rep, n, component) that share a prefix shingle with another component are grouped by these; what isn't in
+    the largest component of its group moves. Moving rows and all rows are cut into pieces of about part_shingles, each pair a block.
+    """
+    open_cands = rows.groupBy("cand").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cand")
+    rows = rows.join(open_cands, "cand")
+    posted = written(_prefixes(rows.join(texts, "rep"), width, num, den), "shingles")
+    live = posted.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).where("lo < hi").select("token", "hub")
+    groups = connected_components(_stars(posted.join(live, "token").groupBy("rep").agg(F.collect_set("hub").alias("hubs")))).toDF("rep", "cand")
+    rows = written(rows.drop("cand").join(groups, "rep"), "open")
+    sizes = rows.groupBy("cand", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    largest = F.max_by(F.struct("component", "n"), F.struct("count", "component"))
+    pieces = lambda x: F.greatest(F.lit(1), F.ceil(x / part_shingles)).cast("long")
+    cut = sizes.groupBy("cand").agg(largest.alias("main"), F.sum("n").alias("n")).select("cand", F.col("main.component").alias("main"), pieces(F.col("n") - F.col("main.n")).alias("subs"), pieces(F.col("n")).alias("parts"))
+    rows = rows.join(cut, "cand")
+    every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    moving = rows.where("component <> main").select("cand", F.expr("pmod(xxhash64(rep, 2), subs)").alias("sub"), every("parts").alias("part"), F.lit(True).alias("moving"), "component", "rep")
+    staying = rows.select("cand", every("subs").alias("sub"), F.expr("pmod(xxhash64(rep, 3), parts)").alias("part"), F.lit(False).alias("moving"), "component", "rep")
+    return moving.unionByName(staying).join(texts, "rep").select("cand", "sub", "part", "moving", "component", "rep", "text")
+
+
+def _across_parts(several: DataFrame, members: DataFrame, texts: DataFrame, width: int, num: int, den: int, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """Components of candidate groups that were cut into parts."""
     loops = several.select("u", F.col("u").alias("component"), "cand")
     inner = connected_components(several.select("u", "v"))
-    state = written(loops.join(inner.withColumnsRenamed({"id": "u", "component": "c"}), "u", "left").select("u", F.coalesce("c", "component").alias("component"), "cand"), "state")
-    sizes = state.groupBy("cand", "component").count()
-    main = sizes.groupBy("cand").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rows = members.where("parts > 1").join(state.select(F.col("u").alias("rep"), "component"), "rep").join(main, "cand")
-    rest = rows.where("component <> main").select("cand", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "rep", "component", F.lit(True).alias("moving"))
-    both = rest.unionByName(rows.select("cand", "part", "rep", "component", F.lit(False).alias("moving"))).join(texts, "rep")
+    state = written(loops.join(inner.withColumnsRenamed({"id": "u", "component": "c"}), "u", "left").select("u", F.coalesce("c", "component").alias("component"), "cand").distinct(), "state")
+    rows = written(members.where("parts > 1").select("rep", "n").join(state.withColumnRenamed("u", "rep"), "rep"), "rows")
+    both = _blocks(rows, texts, width, num, den, part_shingles)
 
     def confirm(frames):
         def work(group: pd.DataFrame) -> pd.DataFrame:
@@ -206,9 +268,9 @@ def _across_parts(several: DataFrame, members: DataFrame, texts: DataFrame, widt
                         v.append(c)
             return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
 
-        return _by_group(frames, ["cand", "part"], work)
+        return _by_group(frames, ["cand", "sub", "part"], work)
 
-    more = both.select("cand", "part", "moving", "component", "rep", "text").repartition("cand", "part").sortWithinPartitions("cand", "part").mapInPandas(confirm, "u long, v long")
+    more = both.repartition("cand", "sub", "part").sortWithinPartitions("cand", "sub", "part").mapInPandas(confirm, "u long, v long")
     joined = connected_components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
     return state.join(joined, "component", "left").groupBy("u").agg(F.min(F.coalesce("least", "component")).alias("component"))
 

@@ -56,6 +56,31 @@ def test_links_are_those_of_all_pairs(spark, long_list, part_shingles):
     assert sorted(tuple(r) for r in got.collect()) == _brute(rows, 3, 85, 100)
 
 
+def _templated(n=60):
+    """Documents of which each shares half its words with all others and is linked with the next one at most."""
+    half = [f"t{i}" for i in range(40)]
+    rows = [(i, " ".join(half + [f"u{i // 2 if i < 10 else i}x{j}" for j in range(40)] + [f"e{i}"])) for i in range(n)]
+    return rows
+
+
+def test_blocks_across_parts_are_thinned_and_bounded(spark, monkeypatch):
+    rows, seen = _templated(), []
+    blocks = minhash_dedup._blocks
+    monkeypatch.setattr(minhash_dedup, "_blocks", lambda *a: (seen.append(blocks(*a)), seen[-1])[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash_dedup.near_duplicates(df, 3, (80, 100), 2, 400)
+    assert sorted(tuple(r) for r in got.collect()) == _brute(rows, 3, 80, 100)
+    # only the ten that have something rare in common meet again, at most two at a time
+    assert {r["rep"] for r in seen[0].collect()} <= set(range(10))
+    assert max(r["count"] for r in seen[0].groupBy("cand", "sub", "part").count().collect()) <= 4
+    # many of no component: pieces on both sides are bounded
+    rows = _variants(5, 60)
+    wide = spark.createDataFrame([(1, i, len(_sets(t, 3)), i) for i, t in rows], "cand long, rep long, n long, component long")
+    texts = spark.createDataFrame(rows, "rep long, text string")
+    found = minhash_dedup._blocks(wide, texts, 3, 85, 100, 300).withColumn("n", minhash_dedup.F.size(minhash_dedup.F.split("text", " ")))
+    assert max(r["n"] for r in found.groupBy("cand", "sub", "part", "moving").agg(minhash_dedup.F.sum("n").alias("n")).collect()) < 1500
+
+
 def test_hard_cases(spark, doc_cases, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in doc_cases.collect() if r["doc_id"] is not None]
     got = minhash_dedup.near_duplicates(doc_cases, 3, (85, 100))
