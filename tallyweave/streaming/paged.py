@@ -3,7 +3,9 @@
 The service answers (since, skip, top, watermark) with a page of items and its own time. Offsets are the service's ingest
 times, and a batch is what it ingested after one, less a lookback, and up to the next: the cursor moves only after a batch.
 
-Options: url (of the service), page (rows in one page), lookback_ms. Any callable can stand in for the service in tests.
+The span of a batch is cut into ranges of time, which executors read page by page; the driver only asks for the service's time.
+
+Options: url (of the service), page (rows in one page), lookback_ms, ranges (of one batch). Any callable can stand in for the service in tests.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ import json
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..schemas import WIRE
 
-PAGE, LOOKBACK_MS = 1000, 10_000
+PAGE, LOOKBACK_MS, RANGES = 1000, 10_000, 16
 COLUMNS = [c for c in WIRE.split(", ") if not c.startswith("SyncTimestamp ")]
 
 
@@ -70,6 +72,48 @@ class PagedReader(SimpleDataSourceStreamReader):
         return iter([row(x) for x in pull(bounded, start["at"], self.page, self.lookback)[0]])
 
 
+class Range(InputPartition):
+    """What was ingested after `since` and up to `until`."""
+
+    def __init__(self, since: int, until: int) -> None:
+        self.since, self.until = since, until
+
+
+class RangeReader(DataSourceStreamReader):
+    def __init__(self, options) -> None:
+        self.url, self.page, self.lookback = options["url"], int(options.get("page", PAGE)), int(options.get("lookback_ms", LOOKBACK_MS))
+        self.since, self.ranges = int(options.get("since", 0)), int(options.get("ranges", RANGES))
+        self.last = self.since
+
+    def fetch(self, body: dict) -> dict:
+        return post(self.url, body)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"at": self.since}
+
+    def latestOffset(self, *_) -> dict:  # noqa: N802
+        answer = self.fetch({"since": self.last, "skip": 0, "top": 1, "watermark": None})
+        self.last = max(self.last, int(answer.get("serverTimestamp") or 0))
+        return {"at": self.last}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        begin, until = max(0, start["at"] - self.lookback), end["at"]
+        if until <= start["at"]:
+            return []
+        n = min(self.ranges, until - begin)
+        cuts = [begin + (until - begin) * i // n for i in range(n + 1)]
+        return [Range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        skip = 0
+        while True:
+            got = self.fetch({"since": partition.since, "skip": skip, "top": self.page, "watermark": partition.until}).get("items") or []
+            yield from map(row, got)
+            if len(got) < self.page:
+                return
+            skip += self.page
+
+
 class PagedPull(DataSource):
     """spark.dataSource.register(PagedPull); spark.readStream.format("paged_pull").option("url", ...).load()"""
 
@@ -80,7 +124,7 @@ class PagedPull(DataSource):
     def schema(self) -> str:
         return ", ".join(COLUMNS)
 
-    def simpleStreamReader(self, schema) -> PagedReader:  # noqa: N802
-        return PagedReader(self.options)
+    def streamReader(self, schema) -> RangeReader:  # noqa: N802
+        return RangeReader(self.options)
 
 

@@ -68,3 +68,51 @@ def test_paged_reader_gives_the_same_rows_again():
     rows = list(rows)
     assert len(rows) == 24 and end == {"at": 100} and list(reader.readBetweenOffsets({"at": 0}, end)) == rows
     assert len(rows[0]) == len(paged.PagedPull({}).schema().split(", "))
+
+
+def test_ranges_are_read_page_by_page_and_give_all_rows():
+    service = Service(25, 100)
+
+    class Reader(paged.RangeReader):
+        def fetch(self, body):
+            return service(body)
+
+    reader = Reader({"url": "http://localhost", "page": "3", "lookback_ms": "0", "ranges": "5"})
+    end = reader.latestOffset()
+    assert end == {"at": 100} and [c["top"] for c in service.calls] == [1]
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert len(parts) == 5 and [p.since for p in parts] == [0, 20, 40, 60, 80]
+    service.calls.clear()
+    first = reader.read(parts[0])
+    next(first)
+    assert len(service.calls) == 1  # a page at a time
+    rows = [x for p in parts for x in reader.read(p)]
+    assert sorted(r[0] for r in rows) == sorted(f"t{i}" for i in range(1, 25)) and reader.partitions(end, end) == []
+    assert isinstance(paged.PagedPull({"url": "http://localhost"}).streamReader(None), paged.RangeReader)
+
+
+def test_the_source_streams_from_a_service(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    service = Service(25, 100)
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            answer = json.dumps(service(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(paged.PagedPull)
+    stream = spark.readStream.format("paged_pull").option("url", f"http://127.0.0.1:{server.server_port}").option("page", "3").load()
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination(60)
+    server.shutdown()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 24
