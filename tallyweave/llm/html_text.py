@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import mapped, written
 
 #: A template is in so many different pages of its host at least, however many there are.
 LEAST_PAGES = 8
@@ -319,7 +319,7 @@ def _marks(frames):
 def article_templates(rows: DataFrame, least_pages: int = LEAST_PAGES, hot_pages: int = HOT_PAGES) -> tuple[DataFrame, DataFrame]:
     """(article, templates): the templates in an article, as keys; and (article, pages). No list grows with a host."""
     # written, as what is below reads it again: pages are parsed once for it
-    marked = written(rows.where("host is not null").select("host", "html").mapInPandas(_marks, "key long, article long, within boolean"), "subtrees")
+    marked = written(mapped(rows.where("host is not null").select("host", "html"), _marks, "key long, article long, within boolean"), "subtrees")
     totals = marked.where("key is null").groupBy("article").agg(F.count("*").alias("pages"))
     # copies of an article count once: else its own text would be a template
     counted = marked.where("key is not null").groupBy("key", "article").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("articles"), F.sum("n").alias("n"))
@@ -375,6 +375,6 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, hot_pages: int = H
     """page_id, url, text, n_chars."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host())
     templates, totals = article_templates(rows, least_pages, hot_pages)
-    forms = rows.mapInPandas(_forms, "page_id long, url string, article long, form binary")
+    forms = mapped(rows, _forms, "page_id long, url string, article long, form binary")
     forms, templates = salted(forms, templates, totals, hot_pages)
-    return forms.join(templates, ["article", "salt"], "left").select("page_id", "url", "form", "templates").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
+    return mapped(forms.join(templates, ["article", "salt"], "left").select("page_id", "url", "form", "templates"), _texts, "page_id long, url string, text string, n_chars long")

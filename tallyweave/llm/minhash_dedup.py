@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches, connected_components, match_floor, mix, shingle_sets, written
+from .shared import batches, connected_components, mapped, match_floor, mix, shingle_sets, written
 
 #: Coordinates of a signature.
 COORDINATES = 32
@@ -30,6 +30,8 @@ LONG_LIST = 64
 PART_SHINGLES = 1 << 20
 #: Shingles counted to order them by frequency, and the most frequent that are told apart; any order gives the same links.
 COUNTED_SHINGLES, FREQUENT = 1 << 24, 1 << 17
+#: Shingles hashed at a time.
+HASHED = 1 << 17
 
 
 def _family(k: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -51,17 +53,24 @@ def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> D
                 f1, f2 = np.zeros((2, j - i), dtype=np.uint64)
                 signed = [None] * (j - i)
                 if len(full):
-                    flat = np.concatenate([sets[x] for x in full])
-                    at = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-                    f1[full] = np.add.reduceat(mix(flat), at)
-                    f2[full] = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
-                    least = np.stack([np.minimum.reduceat(flat * a[c] + b[c], at) for c in range(coordinates)], axis=1)
+                    least = np.full((len(full), coordinates), np.iinfo(np.uint64).max, dtype=np.uint64)
+                    # sets in runs of some size, and a larger set piece by piece
+                    for lo, hi in batches([sets[x] for x in full], HASHED):
+                        every = np.concatenate([sets[x] for x in full[lo:hi]])
+                        own = full[lo:hi]
+                        for p in range(0, len(every), HASHED) if hi - lo == 1 else [0]:
+                            flat = every[p : p + HASHED] if hi - lo == 1 else every
+                            at = np.concatenate(([0], np.cumsum(sizes[own])[:-1])) if hi - lo > 1 else np.zeros(1, dtype=np.int64)
+                            f1[own] += np.add.reduceat(mix(flat), at)
+                            f2[own] += np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
+                            for c in range(coordinates):
+                                least[lo:hi, c] = np.minimum(least[lo:hi, c], np.minimum.reduceat(flat * a[c] + b[c], at))
                     for x, row in zip(full.tolist(), least.view(np.int64), strict=True):
                         signed[x] = row
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[i:j].to_numpy(), "n_shingles": sizes, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "signature": signed})
 
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInPandas(sketch, "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>")
+    return mapped(plain, sketch, "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>")
 
 
 def candidate_edges(sets: DataFrame, t: int, long_list: int = LONG_LIST) -> DataFrame:
@@ -166,7 +175,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
         return _by_group(frames, ["cand", "part"], work)
 
     held = members.join(texts, "rep").select("cand", "part", "parts", "rep", "text")
-    linked = written(held.repartition("cand", "part").sortWithinPartitions("cand", "part").mapInPandas(confirm, "u long, v long, parts long, cand long"), "linked")
+    linked = written(mapped(held.repartition("cand", "part").sortWithinPartitions("cand", "part"), confirm, "u long, v long, parts long, cand long"), "linked")
     # a group of one part is done: the smallest id reached there is the component
     found = linked.where("parts = 1").groupBy("u").agg(F.min("v").alias("component"))
     several = linked.where("parts > 1").select("u", "v", "cand", "parts")
@@ -191,7 +200,7 @@ def _prefixes(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
             for i, j in batches(texts):
                 yield pd.DataFrame({"token": np.concatenate(shingle_sets(texts[i:j], width)).view(np.int64)})
 
-    counted = rows.where(F.expr(f"pmod(xxhash64(rep, 1), {max(1, -(-total // COUNTED_SHINGLES))}) = 0")).select("text").mapInPandas(shingles, "token long")
+    counted = mapped(rows.where(F.expr(f"pmod(xxhash64(rep, 1), {max(1, -(-total // COUNTED_SHINGLES))}) = 0")).select("text"), shingles, "token long")
     often = counted.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
     often = sorted((r["token"], r["count"]) for r in often)
     known, counts = np.array([-(2**63), *(t for t, _ in often)], dtype=np.int64), np.array([0, *(n for _, n in often)], dtype=np.int64)
@@ -210,7 +219,7 @@ def _prefixes(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 n = [len(x) for x in taken]
                 yield pd.DataFrame({"cand": np.repeat(cand[i:j], n), "token": np.concatenate(taken), "rep": np.repeat(rep[i:j], n), "component": np.repeat(component[i:j], n)})
 
-    tokens = rows.select("cand", "rep", "component", "text").mapInPandas(first, "cand long, token long, rep long, component long")
+    tokens = mapped(rows.select("cand", "rep", "component", "text"), first, "cand long, token long, rep long, component long")
     return tokens.select(F.xxhash64("cand", "token").alias("token"), "rep", "component")
 
 
@@ -270,7 +279,7 @@ def _across_parts(several: DataFrame, members: DataFrame, texts: DataFrame, widt
 
         return _by_group(frames, ["cand", "sub", "part"], work)
 
-    more = both.repartition("cand", "sub", "part").sortWithinPartitions("cand", "sub", "part").mapInPandas(confirm, "u long, v long")
+    more = mapped(both.repartition("cand", "sub", "part").sortWithinPartitions("cand", "sub", "part"), confirm, "u long, v long")
     joined = connected_components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
     return state.join(joined, "component", "left").groupBy("u").agg(F.min(F.coalesce("least", "component")).alias("component"))
 

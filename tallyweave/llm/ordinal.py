@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import mapped
+
 #: The bound of the sample that is collected to fit a model: so many documents of each grade.
 PER_GRADE = 2500
 BITS = 18
@@ -147,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = PER_G
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "grade": frame["grade"], "found": [features(t) for t in frame["text"]]})
 
-    rows = texts.mapInPandas(read, "doc_id long, grade int, found array<int>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    # of rows that share a doc_id one is taken before they are collected, the same one whatever their order
+    found = mapped(texts, read, "doc_id long, grade int, found array<int>").groupBy("doc_id", "grade").agg(F.min("found").alias("found"))
+    rows = found.toPandas().sort_values("doc_id")
     grades = rows["grade"].to_numpy()
     counts = rows["grade"].value_counts()
     weight = np.array([totals[g] / counts[g] for g in grades.tolist()])
@@ -167,7 +171,7 @@ def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "expected": p @ names, "tail": 1 - p[:, 0] if len(names) > 1 else np.ones(len(p)), "grade": names[p.argmax(axis=1)] if len(p) else names[:0]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(read, "doc_id long, expected double, tail double, grade int")
+    return mapped(rows, read, "doc_id long, expected double, tail double, grade int")
 
 
 def selected(docs: DataFrame, model: OrdinalModel, least_tail: float) -> DataFrame:
@@ -181,4 +185,4 @@ def selected(docs: DataFrame, model: OrdinalModel, least_tail: float) -> DataFra
             tail = 1 - m.probabilities(score)[:, 0] if len(m.grades) > 1 else np.ones(len(frame))
             yield frame[tail >= least_tail]
 
-    return docs.mapInPandas(read, docs.schema)
+    return mapped(docs, read, docs.schema)

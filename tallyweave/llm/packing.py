@@ -13,6 +13,7 @@ are packed as documents of their own; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -22,9 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import mapped
+
 CAPACITY = 2048
 #: Remainders that one task holds at a time.
 WINDOW = 2048
+#: Words that a Python worker keeps for its next task.
+KEPT_WORDS = 40_000
 
 
 # Words of these characters alone take the short way: NFC leaves them as they are, they are lowered one by one, and their
@@ -50,33 +55,46 @@ class WordEncoder:
     of common characters are cut into the tokeniser's pieces here and only the pieces go to its model; others go to it whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    #: Bytes of an entry beside its characters, and characters of a piece that isn't kept.
+    ENTRY, LONG = 200, 64
+
+    def __init__(self, path: str, most: int = 48 << 20) -> None:
+        """most: bytes, about, that the words met take in memory."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known, self.pieces = Tokenizer.from_file(path), keep, {"": b""}, {}
+        self.tokenizer, self.most, self.held, self.known, self.pieces = Tokenizer.from_file(path), most, 0, {"": b""}, {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        if len(piece) <= self.LONG:
+            self.pieces[piece] = ids
+            self.held += self.ENTRY + len(ids)
         return ids
 
     def learn(self, words: list[str]) -> None:
         known, pieces = self.known, self.pieces
+        self.held += sum(map(len, words)) + self.ENTRY * len(words)
         for w in words:
             if _SHORT.fullmatch(w) and "<|" not in w:
                 known[w] = b"".join([pieces.get(p) or self.piece(p) for p in _PIECE.findall(w.lower())])
             else:
                 known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def forget(self, keep: int) -> None:
+        """Keeps the first `keep` words, which are frequent ones, and no pieces."""
+        self.known = {"": b""} | dict(itertools.islice(self.known.items(), keep))
+        self.pieces, self.held = {}, sum(map(len, self.known)) + self.ENTRY * len(self.known)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.keep:
-            self.known, self.pieces = {"": b""}, {}
+        if self.held > self.most:
+            self.forget(0)
         new = set().union(*split).difference(self.known)
         if new:
             self.learn(list(new))
@@ -207,10 +225,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
                     yield frame_of()
         for row in packer.drain(0, last=True):
             put(*row)
+        encoder.forget(KEPT_WORDS)
         yield frame_of()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return mapped(plain, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 _encoders: dict[str, WordEncoder] = {}

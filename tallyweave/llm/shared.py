@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -18,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = getattr(spark, "_tallyweave_dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark._tallyweave_dir = root
@@ -45,6 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a Python worker gets at a time, or one larger row.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, work, schema) -> DataFrame:
+    """df.mapInPandas(work, schema) with batches of bounded bytes, which the session keeps to from then on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInPandas(work, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -93,47 +106,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_powers.up):
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            out = np.full(size, base, dtype=np.uint64)
-            out[0] = 1
-            setattr(_powers, name, np.multiply.accumulate(out))
-    return _powers.up, _powers.down
+#: Characters, and bytes of them at most, that are hashed at a time.
+PIECE, _PIECE_BYTES = 1 << 16, 1 << 18
+_SPACES = "\t\n\v\f\r "
+_POWERS: list[np.ndarray] = []
 
 
-_powers.up = _powers.down = np.ones(1, dtype=np.uint64)
+def _powers() -> list[np.ndarray]:
+    """The base's powers up to a piece's length and their inverses; of one size, whatever the texts."""
+    if not _POWERS:
+        for base in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+            out = np.full(_PIECE_BYTES + 8, base, dtype=np.uint64)
+            out[0] = 1
+            _POWERS.append(np.multiply.accumulate(out))
+    return _POWERS
+
+
+def _long_word(word: np.ndarray) -> np.ndarray:
+    """The hash of one word longer than a piece, as _piece() has it."""
+    up, total = _powers()[0], 0
+    for at in range(0, len(word), _PIECE_BYTES):
+        part = word[at : at + _PIECE_BYTES].astype(np.uint64) + np.uint64(1)
+        total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
+    return mix(np.array([total + len(word) & (2**64 - 1)], dtype=np.uint64))
+
+
+def _piece(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of raw, which ends between words, and where they begin. The base begins anew at each word."""
+    buf = _LOWER[np.frombuffer(raw, dtype=np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf], [True]))))
+    start, end = edge[::2], edge[1::2]
+    if len(buf) > _PIECE_BYTES:
+        return np.concatenate([_long_word(buf[a:b]) for a, b in zip(start, end, strict=True)] or [np.zeros(0, np.uint64)]), start
+    up, down = _powers()
+    total = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def _pieces(text: str):
+    """text cut between words into pieces, longer only where a word is."""
+    at = 0
+    while len(text) - at > PIECE:
+        cut = max(text.rfind(c, at, at + PIECE) for c in _SPACES)
+        if cut < 0:
+            cut = min((x for c in _SPACES if (x := text.find(c, at + PIECE)) >= 0), default=len(text))
+        yield text[at : cut + 1]
+        at = cut + 1
+    yield text[at:]
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z in lower case, and where the words of each text begin (one entry more than texts)."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    buf = _LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
-    edges = np.cumsum([0] + [len(x) + 1 for x in raw])
-    space = _SPACE[buf]
-    inside = np.diff(np.concatenate(([0], (~space).astype(np.int8), [0])))
-    start, end = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
-    up, down = _powers(len(buf) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)))
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, edges)
+    found, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts) + 1, dtype=np.int64)
+    for i, j in batches(texts, PIECE):
+        if len(texts[i]) > PIECE:
+            for piece in _pieces(texts[i]):
+                found.append(_piece(piece.encode("utf-8", "surrogatepass"))[0])
+                counts[i + 1] += len(found[-1])
+        else:
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts[i:j]]
+            hashes, start = _piece(b" ".join(raw) + b" ")
+            found.append(hashes)
+            counts[i + 1 : j + 1] = np.diff(np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in raw])))
+    return np.concatenate(found), np.cumsum(counts)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """x sorted in place, each value once."""
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of `width` words; of all its words if it has fewer; none without words."""
     words, at = word_hashes(texts)
-    runs = [np.zeros(0, np.uint64)] * 0
+    runs = []
     n = len(words)
     if n >= width:
         rolled = np.zeros(n - width + 1, dtype=np.uint64)
         for j in range(width):
-            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + words[j : n - width + 1 + j]
-        rolled = mix(rolled + np.uint64(width))
+            rolled *= np.uint64(0x9E3779B97F4A7C15)
+            rolled += words[j : n - width + 1 + j]
+        rolled += np.uint64(width)
+        for a in range(0, len(rolled), PIECE):
+            rolled[a : a + PIECE] = mix(rolled[a : a + PIECE])
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= width:
-            runs.append(np.unique(rolled[a : b - width + 1]))
+            runs.append(_distinct(rolled[a : b - width + 1]))
         elif b > a:
             whole = reduce(lambda x, y: (x * 0x9E3779B97F4A7C15 + int(y)) & (2**64 - 1), words[a:b], 0)
             runs.append(mix(np.array([whole + (b - a) & (2**64 - 1)], dtype=np.uint64)))
