@@ -5,8 +5,11 @@ the last is the declared length. Each record becomes a WARC record with an ident
 type and digests. Records of equal payload are one response, that of the smallest page_id, and revisits of it.
 
 Defined cases: null html is an empty payload; a null or empty url becomes urn:page:<page_id>, and white space in a url is
-percent-encoded; rows with a null page_id are left out; rows that share a page_id are records of their own, told apart by
-their contents; payloads below `least` bytes are always responses; an empty table gives no records; other columns are ignored.
+percent-encoded; rows with a null page_id are left out, or with `unnamed` are records without a page, which come after all
+others when a response is chosen; rows that share a page_id, and rows alike in every column, are records of their own, told
+apart by their archive and where they are in it: one is the response, the others revisit it; payloads below `least` bytes are
+always responses; archives of other makers have no page_ids, and records of other types than responses and revisits are passed
+on as they are; an empty table gives no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ import uuid
 import zlib
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import mapped, new_path
 
 #: The fields of an ARC header line, by version.
 ARC_FIELDS = {
@@ -30,29 +34,36 @@ ARC_FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, ip string, date string, mime string, http string, payload binary, payload_bytes long, payload_digest string, record_id string"
 _PART = 1 << 20
+#: Payload bytes below which a page is in a class, and records in one file of the class: files of 128 MB at most, or of one record.
+FILES = [(1 << 17, 1000), (1 << 21, 60), (1 << 25, 4), (1 << 62, 1)]
 
 
-def _arc_url(url, page_id: int) -> str:
+def _arc_url(url, page_id) -> str:
     return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) if isinstance(url, str) and url else f"urn:page:{page_id}"
 
 
-def pages_to_arc(pages: DataFrame, version: int | None = None, date: str = "20240101000000") -> DataFrame:
-    """One column `archive` of ARC files of about a megabyte. version: 1, 2, or None for both in turn."""
+def pages_to_arc(pages: DataFrame, version: int | None = None, date: str = "20240101000000", unnamed: bool = False) -> DataFrame:
+    """One column `archive` of ARC files of about a megabyte, numbered so that no two are alike. version: 1, 2, or None for both in turn."""
 
     def write(frames):
-        number = 0
+        number = serial = 0
+        part = TaskContext.get().partitionId()
 
         def block(records: list[bytes], v: int) -> bytes:
-            body = f"{v} 0 tallyweave\n{' '.join(ARC_FIELDS[v])}\n".encode()
+            nonlocal serial
+            body = f"{v} 0 tallyweave\n{' '.join(ARC_FIELDS[v])}\nserial {part}-{serial}\n".encode()
+            serial += 1
             tail = ["200", "-", "-", "0", "pages.arc"] if v == 2 else []
             return " ".join(["filedesc://pages.arc", "0.0.0.0", date, "text/plain", *tail, str(len(body))]).encode() + b"\n" + body + b"".join(records)
 
         for frame in frames:
             records, size, out = [], 0, []
-            for page_id, url, html in zip(frame["page_id"].tolist(), frame["url"], frame["html"], strict=True):
+            for page_id, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
+                page_id = None if pd.isna(page_id) else int(page_id)
+                named = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
                 v = version or 1 + number % 2
                 payload = html.encode("utf-8", "surrogatepass") if isinstance(html, str) else b""
-                doc = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {page_id}\r\n\r\n".encode() + payload
+                doc = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n{named}\r\n".encode() + payload
                 offset = str(sum(map(len, records)) if len(records) < 2 else size)
                 extra = ["200", f"{zlib.crc32(payload):08x}", "-", offset, "pages.arc"] if v == 2 else []
                 head = " ".join([_arc_url(url, page_id), "0.0.0.0", date, "text/html", *extra, str(len(doc))])
@@ -66,7 +77,10 @@ def pages_to_arc(pages: DataFrame, version: int | None = None, date: str = "2024
                 number += 1
             yield pd.DataFrame({"archive": out})
 
-    return pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(write, "archive binary")
+    rows = pages if unnamed else pages.where("page_id is not null")
+    # ids as text: a column of whole numbers and nulls would become floats
+    rows = rows.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return mapped(rows, write, "archive binary")
 
 
 def parse_arc(data: bytes):
@@ -102,22 +116,24 @@ def arc_records(archives: DataFrame) -> DataFrame:
         for frame in frames:
             for data in frame["archive"]:
                 rows = []
-                for head, doc in parse_arc(bytes(data)):
+                whole = bytes(data)
+                made = hashlib.sha256(whole).hexdigest()
+                for number, (head, doc) in enumerate(parse_arc(whole)):
                     http, _, payload = doc.partition(b"\r\n\r\n")
                     page = re.search(rb"\r\nX-Page-Id: (-?\d+)", http)
                     d = head["Archive-date"]
                     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
                     digest = hashlib.sha256(payload).hexdigest()
-                    ident = uuid.UUID(bytes=hashlib.sha256(f"{page[1] if page else b''} {head['URL']} {date} {digest}".encode("utf-8", "surrogatepass")).digest()[:16], version=5)
+                    ident = uuid.UUID(bytes=hashlib.sha256(f"{made} {number} {head['URL']} {date} {digest}".encode("utf-8", "surrogatepass")).digest()[:16], version=5)
                     rows.append((int(page[1]) if page else None, head["URL"], head["IP-address"], date, head["Content-type"], http.decode("latin-1"), payload, len(payload), digest, f"<urn:uuid:{ident}>"))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64"})
 
-    return archives.select("archive").mapInPandas(read, RECORD)
+    return mapped(archives.select("archive"), read, RECORD)
 
 
 def to_warc(records: DataFrame, least: int = 100) -> DataFrame:
     """Column `record`: WARC records in UTF-8. Of equal payloads of `least` bytes or more the smallest page_id is the response."""
-    key = F.struct("page_id", "record_id", "url")
+    key = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "record_id", "url")
     firsts = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("same"), "first")
     joined = records.join(firsts, (F.col("payload_digest") == F.col("same")) & (F.col("payload_bytes") >= least), "left")
     revisit = F.coalesce(F.col("first.record_id") != F.col("record_id"), F.lit(False))
@@ -168,25 +184,37 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     left = unzip.unused_data
                 rows = []
                 for head, block in parse_warc(b"".join(parts)):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    page, size = (re.search(rb"\r\n" + x + rb": (-?\d+)", http) for x in (b"X-Page-Id", b"Content-Length"))
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    whole = head["WARC-Type"] == "response"
-                    if whole and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"the digest of {head['WARC-Record-ID']} is wrong")
-                    rows.append((int(page[1]), head["WARC-Record-ID"], head["WARC-Type"], head["WARC-Target-URI"], head["WARC-Date"], payload if whole else None, int(size[1]), digest, head.get("WARC-Refers-To")))
-                yield pd.DataFrame(rows, columns=["page_id", "record_id", "record_type", "url", "date", "payload", "payload_bytes", "payload_digest", "refers_to_id"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(read, "page_id long, record_id string, record_type string, url string, date string, payload binary, payload_bytes long, payload_digest string, refers_to_id string")
-
-
-def convert(pages: DataFrame) -> DataFrame:
+                    kind = head["WARC-Type"]
+                    http, _, payload = block.partition(b"\r\n\r\n") if kind in ("response", "revisit") else (b"", b"", block)
+                    page, size = (re.search(rb"\r\n" + x + rb": (-?\d+)", http, re.I) for x in (b"X-Page-Id", b"Content-Length"))
+                    digest = head.get("WARC-Payload-Digest", "")
+                    if kind == "revisit":
+                        payload, n = None, int(size[1]) if size else None
+                    else:
+                        found, n = hashlib.sha256(payload).hexdigest(), len(payload)
+                        if digest.startswith("sha256:") and digest != f"sha256:{found}":
+                            raise ValueError(f"the digest of {head['WARC-Record-ID']} is wrong")
+                        digest = digest or f"sha256:{found}"
+                    rows.append((int(page[1]) if page else None, head["WARC-Record-ID"], kind, head.get("WARC-Target-URI"), head["WARC-Date"], payload, n, digest.removeprefix("sha256:") or None, head.get("WARC-Refers-To")))
+                columns = ["page_id", "record_id", "record_type", "url", "date", "payload", "payload_bytes", "payload_digest", "refers_to_id"]
+                yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "payload_bytes": "Int64"})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
+    return mapped(files, read, "page_id long, record_id string, record_type string, url string, date string, payload binary, payload_bytes long, payload_digest string, refers_to_id string")
+
+
+def convert(pages: DataFrame, unnamed: bool = False) -> DataFrame:
     """Pages through ARC to WARC and back: page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id)."""
     path = new_path(pages.sparkSession, "warc")
-    write_warc(to_warc(arc_records(pages_to_arc(pages))), path)
+    # equal payloads are of equal size, so each class of sizes is converted by itself and its files are bounded
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    which = F.lit(len(FILES) - 1)
+    for i in range(len(FILES) - 2, -1, -1):
+        which = F.when(size < FILES[i][0], i).otherwise(which)
+    for i in sorted(r[0] for r in pages.select(which.alias("i")).distinct().collect()) or [0]:
+        write_warc(to_warc(arc_records(pages_to_arc(pages.where(which == i), unnamed=unnamed))), f"{path}/{i}", FILES[i][1])
     back = read_warc(pages.sparkSession, path).select("page_id", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_to_id")
     # only responses that are referred to take part: few, and one row each
     named = back.where("refers_to_id is not null").select(F.col("refers_to_id").alias("id")).distinct()
-    responses = back.where("record_type = 'response'").select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to")).join(named, "id", "left_semi")
+    responses = back.where("record_type = 'response'").select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to")).join(named, "id", "left_semi").dropDuplicates(["id"])
     return back.join(responses, F.col("refers_to_id") == F.col("id"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

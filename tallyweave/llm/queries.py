@@ -47,7 +47,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archives.convert(read_table(spark, sf_dir, "pages"))
+    return archives.convert(read_table(spark, sf_dir, "pages"), unnamed=True)
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

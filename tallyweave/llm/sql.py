@@ -19,8 +19,8 @@ ORACLE: dict[str, str] = {
         SELECT e.vec_id, (SELECT count(*) FROM l WHERE u = e.vec_id) AS n_links, component AS component_id, e.vec_id = component AS kept FROM embeddings e JOIN c ON id = vec_id""",
     "op8_archives": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
-             f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
-        SELECT page_id, bytes AS payload_bytes, digest AS payload_digest, CASE WHEN bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first, row_number() OVER (PARTITION BY digest ORDER BY page_id NULLS LAST) AS n FROM p)
+        SELECT page_id, bytes AS payload_bytes, digest AS payload_digest, CASE WHEN bytes >= 100 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN bytes >= 100 AND n > 1 THEN first END AS refers_to FROM f""",
     "op9_minhash_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
              s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE [words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)] END) AS found FROM w),

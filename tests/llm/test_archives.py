@@ -1,9 +1,11 @@
 import hashlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from tallyweave.llm import archives
+from tallyweave.llm.sql import ORACLE
 
 
 def _hold(rows, got):
@@ -58,3 +60,27 @@ def test_warc_bodies_survive(spark):
     html = dict(CASES)
     assert len(rows) == len(CASES)
     assert all(bytes(r["payload"]) == (html[r["page_id"]] or "").encode() for r in rows if r["record_type"] == "response")
+
+
+def test_repeated_and_unnamed_rows(spark, tmp_path):
+    html = "same page " * 20
+    rows = [(5, "http://e/5", html), (2, "http://e/2", html), (2, "http://e/2", html), (None, None, html), (7, "http://e/7", "x"), (7, "http://e/7", "x"), (8, None, "y" * 200_000), (9, None, "y" * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in archives.convert(df, unnamed=True).collect())
+    assert got == sorted([("2", "response", None), ("2", "revisit", 2), ("5", "revisit", 2), ("None", "revisit", 2), ("7", "response", None), ("7", "response", None), ("8", "response", None), ("9", "revisit", 8)])
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    rows = duckdb.sql(ORACLE["op8_archives"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted((str(r[0]), r[3], r[4]) for r in rows) == got
+
+
+def test_archives_of_other_makers(spark):
+    fields = " ".join(archives.ARC_FIELDS[1])
+    doc = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>old</p>"
+    body = f"1 0 other\n{fields}\n".encode()
+    arc = b"filedesc://old.arc 0.0.0.0 19990101000000 text/plain %d\n" % len(body) + body + (b"\nhttp://old.example/ 1.2.3.4 19990203040506 text/html %d\n" % len(doc) + doc) * 2
+    records = archives.arc_records(spark.createDataFrame([(arc,)], "archive binary"))
+    path = archives.new_path(spark, "warc-old")
+    archives.write_warc(archives.to_warc(records, least=5), path)
+    rows = sorted(archives.read_warc(spark, path).collect(), key=lambda r: r["record_type"])
+    assert [(r["page_id"], r["record_type"], r["url"], r["date"]) for r in rows] == [(None, t, "http://old.example/", "1999-02-03T04:05:06Z") for t in ("response", "revisit")]
+    assert bytes(rows[0]["payload"]) == b"<p>old</p>" and rows[1]["refers_to_id"] == rows[0]["record_id"] and rows[0]["payload_digest"] == rows[1]["payload_digest"]
