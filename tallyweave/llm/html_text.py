@@ -1,9 +1,11 @@
 """Main text of web pages, with site templates removed.
 
-Pages are parsed into element trees. The hashes of their block subtrees are counted per host, once for each different article;
-a subtree that recurs with so many articles of its host is a template and goes, within the article too, but never the article itself. What is left within
-the article (the main element, else the outermost articles, else the body) is the text, without the elements and the class,
-id and role names that mark navigation, notices, adverts, forms and comments.
+Pages are parsed into element trees, once. The hashes of their block subtrees are counted per host, once for each different
+article; a subtree that recurs with so many articles of its host is a template and goes, within the article too, but never the
+article itself. Running text (a paragraph, heading, list or table) recurs by chance where it is short and on purpose where it is
+quoted or copied, so by itself it is a template only if it is in most articles of its host. What is left within the article (the main element, else the
+outermost articles, else the body) is the text, without the elements and the class, id and role names that mark navigation,
+notices, adverts, forms and comments.
 
 Defined cases: null html is empty; a page without text has an empty string; rows with a null url belong to no host and lose no
 templates; rows that share a page_id are pages of their own; an empty table gives an empty result; other columns are ignored.
@@ -25,6 +27,10 @@ from .shared import mapped, written
 
 #: A template is in so many different pages of its host at least, however many there are.
 LEAST_PAGES = 8
+#: Words of the least template: of an element of running text, of any other block.
+FLOW_WORDS, OTHER_WORDS = 4, 2
+#: The least share of a host's articles that have a template of running text.
+FLOW_SHARE = 0.5
 #: Rows of a subtree or an article that meet in one place, and how many of them with more rows there can be.
 HOT_PAGES, HOT_KEYS = 500, 10_000
 
@@ -32,7 +38,8 @@ HOT_PAGES, HOT_KEYS = 500, 10_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe math menu meter nav noembed noframes noscript object output progress script search select style svg template textarea title".split())
+FLOW = frozenset("blockquote caption dd dl dt figcaption h1 h2 h3 h4 h5 h6 legend li ol p pre summary table tbody td tfoot th thead tr ul".split())
+DROPPED = frozenset("annotation annotation-xml aside button canvas datalist dialog footer form head iframe menu meter nav noembed noframes noscript object output progress script search select style svg template textarea title".split())
 # Names in class, id and role that mark what isn't the article.
 NAMES = frozenset(
     "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo masthead topbar toolbar "
@@ -74,14 +81,16 @@ def _marked(attributes: str) -> tuple[bool, int]:
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "named", "parts", "digest")
+    __slots__ = ("tag", "dropped", "named", "parts", "digest", "words")
 
     def __init__(self, tag: str, dropped: bool, named: int = 0) -> None:
         """named: dropped for its name alone."""
-        self.tag, self.dropped, self.named, self.parts, self.digest = tag, dropped, named, [], 0
+        self.tag, self.dropped, self.named, self.parts, self.digest, self.words = tag, dropped, named, [], 0, 0
 
     def close(self) -> None:
-        text = "\x1f".join(" ".join(p.split()) if isinstance(p, str) else f"\x1e{p.digest:x}" for p in self.parts)
+        split = [p.split() if isinstance(p, str) else p for p in self.parts]
+        self.words = sum(p.words if isinstance(p, Node) else len(p) for p in split)
+        text = "\x1f".join(f"\x1e{p.digest:x}" if isinstance(p, Node) else " ".join(p) for p in split)
         self.digest = xxhash.xxh3_64_intdigest(f"{self.tag}\x1d{text}".encode("utf-8", "surrogatepass"))
 
 
@@ -161,7 +170,7 @@ def parse(source: str) -> Node:
                 stack.append(node)
             else:
                 node.close()
-            if not attributes.endswith("/") or tag not in ("svg", "math"):
+            if not attributes.endswith("/") or tag != "svg":
                 continue
             pop_to(len(stack) - 1)
     if at < len(source):
@@ -264,8 +273,8 @@ def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
     return form_text(*article_form(root), templates)
 
 
-def template_digests(root: Node) -> set[int]:
-    """The subtrees of a page that can be templates: its blocks, within the article too, but neither the article nor what holds it."""
+def template_digests(root: Node) -> dict[int, bool]:
+    """The subtrees of a page that can be templates, and whether they are running text: its blocks of some words, within the article too, but neither the article nor what holds it."""
     article = {id(n) for n in _article(root)}
     holding, above, stack = {id(root)} | article, {}, [root]
     while stack:
@@ -279,7 +288,7 @@ def template_digests(root: Node) -> set[int]:
             below = [p for p in node.parts if isinstance(p, Node) and not p.dropped]
             above.update((id(p), id(node)) for p in below)
             stack += below
-    return {n.digest for n in _nodes(root, True) if id(n) not in holding and n.tag in BLOCK | DROPPED and n.parts}
+    return {n.digest: n.tag in FLOW for n in _nodes(root, True) if id(n) not in holding and n.tag in BLOCK | DROPPED and n.words >= (FLOW_WORDS if n.tag in FLOW else OTHER_WORDS)}
 
 
 def _host() -> F.Column:
@@ -299,35 +308,40 @@ def _article_key(host: str, root: Node) -> int:
     return _key(host, 0, *(n.digest for n in _article(root) or [root]))
 
 
-def _marks(frames):
-    """For each page a row without a key, and one for each of its subtrees; within: its article can lose it."""
+def _parsed(frames):
+    """A page's article, packed, as it is smaller to shuffle than the page; and its subtrees, and whether the article can lose them."""
     for frame in frames:
-        keys, articles, within = [], [], []
+        articles, hosts, forms, subtrees = [], [], [], []
         for host, source in zip(frame["host"], frame["html"], strict=True):
             root = parse(source or "")
-            found, inside = template_digests(root), set(article_form(root)[2])
-            keys += [None, *(_key(host, d) for d in found)]
-            within += [False, *(d in inside for d in found)]
-            articles += [_article_key(host, root)] * (len(found) + 1)
-            if len(keys) > 100_000:
-                yield pd.DataFrame({"key": pd.array(keys, dtype="Int64"), "article": articles, "within": within})
-                keys, articles, within = [], [], []
+            lines, around, digests = article_form(root)
+            own = [_key(host, d) for d in digests] if host else digests
+            found = template_digests(root) if host else {}
+            inside = set(digests)
+            articles.append(_article_key(host, root) if host else None)
+            forms.append(zlib.compress(json.dumps((lines, around, own), ensure_ascii=False).encode("utf-8", "surrogatepass"), 1))
+            hosts.append(_key(host) if host else None)
+            subtrees.append([{"key": _key(host, d), "within": d in inside, "flow": flow} for d, flow in sorted(found.items())])
         # a column of whole numbers and nulls: as floats the keys would lose their last bits
-        yield pd.DataFrame({"key": pd.array(keys, dtype="Int64"), "article": pd.Series(articles, dtype="int64"), "within": pd.Series(within, dtype=bool)})
+        yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "article": pd.array(articles, dtype="Int64"), "host": pd.array(hosts, dtype="Int64"), "form": forms, "subtrees": subtrees})
 
 
-def article_templates(rows: DataFrame, least_pages: int = LEAST_PAGES, hot_pages: int = HOT_PAGES) -> tuple[DataFrame, DataFrame]:
+def article_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, hot_pages: int = HOT_PAGES) -> tuple[DataFrame, DataFrame]:
     """(article, templates): the templates in an article, as keys; and (article, pages). No list grows with a host."""
-    # written, as what is below reads it again: pages are parsed once for it
-    marked = written(mapped(rows.where("host is not null").select("host", "html"), _marks, "key long, article long, within boolean"), "subtrees")
-    totals = marked.where("key is null").groupBy("article").agg(F.count("*").alias("pages"))
+    pages = pages.where("article is not null")
+    marked = pages.select("article", "host", F.explode("subtrees").alias("x")).select("article", "host", "x.*")
+    totals = pages.groupBy("article").agg(F.count("*").alias("pages"))
     # copies of an article count once: else its own text would be a template
-    counted = marked.where("key is not null").groupBy("key", "article").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("articles"), F.sum("n").alias("n"))
-    templates = written(counted.where(F.col("articles") >= least_pages).select("key", "n"), "templates")
+    counted = marked.groupBy("key", "article").agg(F.count("*").alias("n"), F.any_value("host").alias("host"), F.any_value("flow").alias("flow")).groupBy("key").agg(F.count("*").alias("articles"), F.sum("n").alias("n"), F.any_value("host").alias("host"), F.any_value("flow").alias("flow"))
+    counted = written(counted.where(F.col("articles") >= least_pages), "recurring")
+    hosts = pages.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    most_of_host = counted.where("flow").join(hosts, "host").where(F.col("articles") >= FLOW_SHARE * F.col("all"))
+    templates = counted.where("not flow").select("key", "n").unionByName(most_of_host.select("key", "n"))
+    templates = written(templates, "templates")
     # few of them can be in more than one in HOT_KEYS of their rows: those are broadcast, so no key takes many rows to a task
     most = max(hot_pages, -(-(templates.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS))
     hot = templates.where(F.col("n") > most).select("key", F.lit(True).alias("hot"))
-    met = marked.where("within and key is not null").join(F.broadcast(hot), "key", "left")
+    met = marked.where("within").join(F.broadcast(hot), "key", "left")
     cold = met.where("hot is null").join(templates.where(F.col("n") <= most).select("key"), "key")
     hits = met.where("hot").select("article", "key").unionByName(cold.select("article", "key"))
     return hits.groupBy("article").agg(F.collect_set("key").alias("templates")), totals
@@ -349,32 +363,21 @@ def salted(rows: DataFrame, templates: DataFrame, totals: DataFrame, hot_pages:
     return rows, templates
 
 
-def _forms(frames):
-    """The pages' articles, packed: they are smaller to shuffle than the pages."""
-    for frame in frames:
-        articles, forms = [], []
-        for host, source in zip(frame["host"], frame["html"], strict=True):
-            root = parse(source or "")
-            lines, around, digests = article_form(root)
-            articles.append(_article_key(host, root) if host else None)
-            keys = [_key(host, d) for d in digests] if host else digests
-            forms.append(zlib.compress(json.dumps((lines, around, keys), ensure_ascii=False).encode("utf-8", "surrogatepass"), 1))
-        yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "article": pd.array(articles, dtype="Int64"), "form": forms})
-
-
 def _texts(frames):
     for frame in frames:
         texts = []
         for form, known in zip(frame["form"], frame["templates"], strict=True):
             lines, around, keys = json.loads(zlib.decompress(form).decode("utf-8", "surrogatepass"))
             texts.append(form_text(lines, around, keys, frozenset(map(int, known)) if known is not None else ()))
-        yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        yield pd.DataFrame({"page_id": frame["page_id"].astype("string").astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, hot_pages: int = HOT_PAGES) -> DataFrame:
     """page_id, url, text, n_chars."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host())
-    templates, totals = article_templates(rows, least_pages, hot_pages)
-    forms = mapped(rows, _forms, "page_id long, url string, article long, form binary")
-    forms, templates = salted(forms, templates, totals, hot_pages)
-    return mapped(forms.join(templates, ["article", "salt"], "left").select("page_id", "url", "form", "templates"), _texts, "page_id long, url string, text string, n_chars long")
+    # ids as text: a column of whole numbers and nulls would become floats
+    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host())
+    parsed = written(mapped(rows, _parsed, "page_id string, url string, article long, host long, form binary, subtrees array<struct<key: long, within: boolean, flow: boolean>>"), "articles")
+    templates, totals = article_templates(parsed, least_pages, hot_pages)
+    forms, templates = salted(parsed.select("page_id", "url", "article", "form"), templates, totals, hot_pages)
+    joined = forms.join(templates, ["article", "salt"], "left").select("page_id", "url", "form", "templates")
+    return mapped(joined, _texts, "page_id long, url string, text string, n_chars long")
