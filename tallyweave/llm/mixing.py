@@ -1,12 +1,13 @@
 """Mixing of sources to target weights, by DataFrame functions alone.
 
-Each source's words are packed into blocks of fixed length. Output shards draw how many blocks they take of each source from
-a multinomial distribution, here one conditional on the sources' totals, so that every source gets exactly its slots: all
-slots are permuted pseudo-randomly before they are cut into shards. A source's n-th slot takes the block that the source's
-own permutation of indexes gives for n; a further permutation begins when all blocks are used. Slots join blocks by index.
+Each source's words are packed into blocks of fixed length. Every output shard draws how many blocks it takes of each source
+from a multinomial distribution by the sources' targets, and gets the next range of each source's slots; draws beyond a source's
+slots go to sources that were drawn too rarely, so that every source gets exactly its slots. A source's n-th slot takes the
+block that the source's own permutation of indexes gives for n; a further permutation begins when all blocks are used. Slots
+join blocks by index.
 
 Defined cases: null text has no words; a document without words is taken 0 times; a null source is a source of its own, the
-last; rows that share a doc_id are documents of their own; rows with a null doc_id are kept; an empty table gives an empty
+last; rows that share a doc_id, and rows alike in every column, are documents of their own; rows with a null doc_id are kept; an empty table gives an empty
 result; other columns are ignored, whatever their names.
 """
 
@@ -23,6 +24,8 @@ BLOCK, LEAST_BLOCKS = 1024, 1024
 SHARD = 4096
 #: Documents in one bucket of a source, about.
 BUCKET_DOCS = 20_000
+#: Slots that one task makes.
+SLOTS_A_TASK = 1 << 14
 ROUNDS = 10
 #: How many times a word may be taken.
 MOST = 3
@@ -56,74 +59,123 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 class Mix:
-    """The mix of `docs`: its documents' places in their sources, its slots, and how often each block is taken."""
+    """The mix of `docs`: its documents' places in their sources, its shards' draws and slots, and how often each block is taken."""
 
     def __init__(self, docs: DataFrame, seed: int = 1, block: int = BLOCK, shard: int = SHARD, bucket_docs: int = BUCKET_DOCS) -> None:
-        key = F.xxhash64("doc_id", "text")
+        self.seed, self.shard = seed, shard
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        rows = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key")), "sizes")
+        rows = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), _key().alias("key")), "sizes")
         buckets = rows.count() // bucket_docs + 1
         placed = rows.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit("bucket")), F.lit(buckets)))
         groups = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-        self.sources = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")))
+        sources = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")))
         width = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
-        sources = self.sources.withColumn("width", width)
         within = Window.partitionBy("source").orderBy("bucket")
-        named = sources.withColumnRenamed("source", "name")
-        groups = groups.join(named, F.col("source").eqNullSafe(F.col("name"))).select("source", "bucket", "words", "width", "source_size", "target")
-        groups = groups.withColumn("blocks", F.ceil(F.col("words") / F.col("width")))
+        groups = _with_source(groups, sources.withColumn("width", width)).withColumn("blocks", F.ceil(F.col("words") / F.col("width")))
         groups = written(groups.withColumn("first", F.sum("blocks").over(within) - F.col("blocks")), "groups")
         local = Window.partitionBy("source", "bucket").orderBy("key", "doc_id")
         placed = placed.withColumn("start", F.sum("size").over(local.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         g = groups.toDF(*(f"g_{c}" for c in groups.columns))
+        #: first and start tell where in the blocks of its source a document begins.
         self.docs = placed.join(g, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("bucket") == F.col("g_bucket"))).select(
             "doc_id", "source", "key", "size", "start", F.col("g_width").alias("width"), F.col("g_first").alias("first"), F.col("g_source_size").alias("source_size"), F.col("g_target").alias("target"))
         totals = groups.groupBy("source").agg(F.sum("blocks").alias("blocks"), F.any_value("source_size").alias("source_size"), F.any_value("target").alias("target")).where("blocks > 0")
-        totals = totals.withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
+        slots = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
         order = Window.orderBy(F.col("source").isNull(), "source")
-        totals = totals.withColumn("begin", F.sum("slots").over(order) - F.col("slots")).withColumn("all", F.sum("slots").over(Window.partitionBy(F.lit(1)))).where("slots > 0")
-        chunks = totals.withColumn("chunk", F.explode(F.expr("sequence(0L, (slots - 1) div 4096)"))).repartition("source", "chunk")
-        slots = chunks.withColumn("n", F.explode(F.expr("sequence(chunk * 4096, least(slots, (chunk + 1) * 4096) - 1)")))
-        place = permuted(F.col("begin") + F.col("n"), F.col("all"), F.lit(seed))
-        index = permuted(F.col("n") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.coalesce("source", F.lit("")), F.floor(F.col("n") / F.col("blocks")))
+        totals = totals.select("source", "blocks", slots.alias("slots")).where("slots > 0")
+        #: source, blocks, slots, low: the sources' shares of all slots, one after another.
+        self.totals = written(totals.withColumn("low", F.sum("slots").over(order) - F.col("slots")), "totals")
+        self.all = self.totals.agg(F.sum("slots")).first()[0] or 0
+        self.tasks = self.all // SLOTS_A_TASK + 1
+        self.drawn = written(self._drawn(), "draws")
         #: shard, slot, source, block: what the mix is made of.
-        self.slots = slots.select("source", index.alias("block"), place.alias("place")).select((F.col("place") / shard).cast("long").alias("shard"), (F.col("place") % shard).alias("slot"), "source", "block")
+        self.slots = self._slots()
         times = self.slots.groupBy("source", "block").agg(F.count("*").alias("times"))
         spans = self.docs.where("size > 0").withColumn("at", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")))
-        spans = spans.withColumn("block", F.col("first") + F.col("at")).withColumn("low", F.greatest("start", F.col("at") * F.col("width")) - F.col("start"))
-        spans = spans.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("at") + 1) * F.col("width")) - F.col("start") - F.col("low"))
+        spans = spans.withColumn("block", F.col("first") + F.col("at")).withColumn("begin", F.greatest("start", F.col("at") * F.col("width")) - F.col("start"))
+        spans = spans.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("at") + 1) * F.col("width")) - F.col("start") - F.col("begin"))
         t = times.toDF("t_source", "t_block", "times")
-        #: doc_id, key, low, words, times: runs of words of a document and how often they are taken.
-        self.spans = spans.join(t, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block"))).select("doc_id", "key", "source", "low", "words", "times")
+        #: doc_id, key, source, first, start, begin, words, times: runs of words of a document and how often they are taken.
+        self.spans = spans.join(t, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block"))).select("doc_id", "key", "source", "first", "start", "begin", "words", "times")
+
+    def _drawn(self) -> DataFrame:
+        """shard, source, begin, drawn, kept: each shard's multinomial draw of sources, and how many of it are among the source's slots.
+
+        Every slot of a shard draws a number below the sum of all slots; whose slot that is, that source it draws. begin counts
+        what earlier shards have drawn of the source, which gives the shard its range of the source's slots.
+        """
+        chunks = self.totals.withColumn("chunk", F.explode(F.expr("sequence(0L, (slots - 1) div 4096)"))).repartition(self.tasks, "source", "chunk")
+        owned = chunks.select("source", F.explode(F.expr("sequence(low + chunk * 4096, low + least(slots, (chunk + 1) * 4096) - 1)")).alias("number"))
+        asked = self.totals.sparkSession.range(0, self.all, 1, self.tasks).select((F.col("id") / self.shard).cast("long").alias("shard"), F.pmod(F.xxhash64(F.lit("draw"), F.lit(self.seed), "id"), F.lit(max(1, self.all))).alias("number"))
+        drawn = asked.join(owned, "number").groupBy("shard", "source").agg(F.count("*").alias("drawn"))
+        before = F.sum("drawn").over(Window.partitionBy("source").orderBy("shard")) - F.col("drawn")
+        ranged = _with_source(drawn.withColumn("begin", before), self.totals.select("source", "slots"))
+        return ranged.select("shard", "source", "begin", "drawn", F.greatest(F.lit(0), F.least("drawn", F.col("slots") - F.col("begin"))).cast("long").alias("kept"))
+
+    def _slots(self) -> DataFrame:
+        """The slots of the draws: n-th slots of sources. What a source has drawn beyond its slots goes to those that have drawn too few.
+
+        Both are few, about the square root of all slots, and are matched by their number.
+        """
+        in_shard = Window.partitionBy("shard").orderBy(F.col("source").isNull(), "source")
+        kept = self.drawn.withColumn("at", F.sum("kept").over(in_shard) - F.col("kept")).where("kept > 0").repartition(self.tasks, "shard", "source")
+        kept = kept.select("shard", "source", F.posexplode(F.expr("sequence(begin, begin + kept - 1)")).alias("p", "n"), "at").select("shard", "source", "n", (F.col("at") + F.col("p")).alias("place"))
+        free = self.drawn.groupBy("shard").agg(F.sum("kept").alias("at"), F.sum(F.col("drawn") - F.col("kept")).alias("free")).where("free > 0")
+        free = free.withColumn("low", F.sum("free").over(Window.orderBy("shard")) - F.col("free"))
+        free = free.select("shard", "at", F.posexplode(F.expr("sequence(low, low + free - 1)")).alias("p", "x")).select("shard", (F.col("at") + F.col("p")).alias("place"), "x")
+        got = self.drawn.groupBy("source").agg(F.sum("kept").alias("got")).withColumnRenamed("source", "name")
+        short = self.totals.join(got, F.col("source").eqNullSafe(F.col("name")), "left").select("source", F.coalesce("got", F.lit(0)).alias("got"), (F.col("slots") - F.coalesce("got", F.lit(0))).alias("short")).where("short > 0")
+        short = short.withColumn("low", F.sum("short").over(Window.orderBy(F.col("source").isNull(), "source")) - F.col("short"))
+        short = short.select("source", "got", F.posexplode(F.expr("sequence(low, low + short - 1)")).alias("p", "x")).select("source", (F.col("got") + F.col("p")).alias("n"), "x")
+        every = kept.unionByName(free.join(short, "x").select("shard", "source", "n", "place"))
+        every = _with_source(every, self.totals.select("source", "blocks"))
+        index = permuted(F.col("n") % F.col("blocks"), F.col("blocks"), F.lit(self.seed), F.coalesce("source", F.lit("")), F.floor(F.col("n") / F.col("blocks")))
+        # within its shard a slot's place is drawn by a permutation too, else a source's slots would be side by side
+        slot = permuted(F.col("place"), F.least(F.lit(self.shard).cast("long"), F.lit(self.all) - F.col("shard") * self.shard), F.lit(self.seed), F.lit("slot"), F.col("shard"))
+        return every.select("shard", slot.alias("slot"), "source", index.alias("block"))
 
     def draws(self) -> DataFrame:
-        """shard, source, blocks: what each shard has drawn."""
+        """shard, source, blocks: what each shard takes of each source."""
         return self.slots.groupBy("shard", "source").agg(F.count("*").alias("blocks"))
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken: the words of each document that the mix takes, repeats counted."""
-        some = self.spans.groupBy("doc_id", "key", "source").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.count("*").alias("runs"))
-        s = some.toDF("s_doc", "s_key", "s_source", "s_taken", "runs")
-        copies = self.docs.groupBy("doc_id", "key", "source").agg(F.count("*").alias("copies")).where("copies > 1").toDF("c_doc", "c_key", "c_source", "copies")
-        on = lambda p: F.col("doc_id").eqNullSafe(F.col(f"{p}_doc")) & (F.col("key") == F.col(f"{p}_key")) & F.col("source").eqNullSafe(F.col(f"{p}_source"))
-        # rows alike in every column share what they take: the first get a word more where it doesn't divide
-        joined = self.docs.join(s, on("s"), "left").join(copies, on("c"), "left")
-        nth = F.row_number().over(Window.partitionBy("doc_id", "key", "source").orderBy("start"))
-        joined = joined.withColumn("copies", F.coalesce("copies", F.lit(1))).withColumn("nth", nth).withColumn("t", F.coalesce("s_taken", F.lit(0)))
-        share = F.floor(F.col("t") / F.col("copies")) + (F.col("nth") <= F.col("t") % F.col("copies")).cast("long")
-        return joined.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
+        some = self.spans.groupBy("key", "source", "first", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        s = some.toDF("s_key", "s_source", "s_first", "s_start", "taken")
+        # a document without words may begin where another does, but has another key, and none of its own is taken
+        same = (F.col("key") == F.col("s_key")) & (F.col("first") == F.col("s_first")) & (F.col("start") == F.col("s_start")) & F.col("source").eqNullSafe(F.col("s_source"))
+        return self.docs.join(s, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _key() -> Column:
+    """What rows of a source share only if they have the same doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows joined with what `sources` has of their source, null being one of them."""
+    named = sources.withColumnRenamed("source", "name")
+    return rows.join(named, F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The documents of the mix: each text is the words taken of it, pass by pass, a pass to a line; those not taken go."""
+    """The documents of the mix: each text is the words taken of it, pass by pass, a pass to a line; those not taken go.
+
+    Rows alike in doc_id, text and source are told apart by their number, and each has the runs of its own place.
+    """
     mix = Mix(docs, seed)
-    runs = mix.spans.groupBy("doc_id", "key", "source").agg(F.sort_array(F.collect_list(F.struct("low", "words", "times"))).alias("runs"))
-    r = runs.toDF("r_doc", "r_key", "r_source", "r_runs")
+    # keys that are never null: rows are dealt once, for the join and for the numbers of rows alike
+    pair = lambda: (F.xxhash64("key", "source").alias("r_k1"), F.xxhash64(F.lit("again"), "source", "key").alias("r_k2"))
+    runs = mix.spans.select(*pair(), F.struct("first", "start", "begin", "words", "times").alias("run")).groupBy("r_k1", "r_k2").agg(F.sort_array(F.collect_list("run")).alias("r_runs"))
     # the documents as one column, so that no name of theirs meets ours
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r_d")).withColumn("r_k", F.xxhash64("r_d.doc_id", "r_d.text"))
-    joined = whole.join(r, F.col("r_d.doc_id").eqNullSafe(F.col("r_doc")) & (F.col("r_k") == F.col("r_key")) & F.col("r_d.source").cast("string").eqNullSafe(F.col("r_source")))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r_d"), _key().alias("key"), F.col("source").cast("string").alias("source")).select("r_d", *pair())
+    joined = whole.join(runs, ["r_k1", "r_k2"])
+    number = F.row_number().over(Window.partitionBy("r_k1", "r_k2").orderBy(F.xxhash64("r_d")))
+    starts = F.array_distinct(F.transform("r_runs", lambda r: F.struct(r["first"], r["start"])))
+    joined = joined.withColumn("r_start", F.try_element_at(starts, number))
+    joined = joined.withColumn("r_runs", F.filter("r_runs", lambda r: F.struct(r["first"], r["start"]) == F.col("r_start")))
     words = F.regexp_extract_all("r_d.text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    one = lambda p: F.trim(F.array_join(F.transform(F.filter("r_runs", lambda r: r["times"] > p), lambda r: F.array_join(F.slice(F.col("r_words"), r["low"].cast("int") + 1, r["words"].cast("int")), "")), ""))
+    one = lambda p: F.trim(F.array_join(F.transform(F.filter("r_runs", lambda r: r["times"] > p), lambda r: F.array_join(F.slice(F.col("r_words"), r["begin"].cast("int") + 1, r["words"].cast("int")), "")), ""))
     text = F.array_join(F.filter(F.array(*(one(p) for p in range(MOST))), lambda x: x != ""), "\n")
     made = joined.withColumn("r_words", words).withColumn("r_text", text).where("r_text <> ''")
     new = {"text": F.col("r_text"), "n_chars": F.length("r_text").cast("long")}

@@ -77,13 +77,47 @@ def test_shards_hold_their_draws(spark, sf):
     assert mix.draws().agg({"blocks": "sum"}).first()[0] == sum(r["count"] for r in per_shard)
 
 
+def test_draws_are_multinomial_and_reconciled(spark, sf):
+    mix = mixing.Mix(read_table(spark, sf, "documents"), shard=512)
+    slots = {r["source"]: r["slots"] for r in mix.totals.collect()}
+    total = sum(slots.values())
+    drawn, kept = Counter(), Counter()
+    for r in mix.drawn.collect():
+        drawn[r["shard"]] += r["drawn"]
+        kept[r["source"]] += r["kept"]
+        assert 0 <= r["kept"] <= r["drawn"] and r["begin"] + r["kept"] <= max(slots[r["source"]], r["begin"])
+        # a shard's draw is near its share: within six standard deviations of a binomial one
+        p, n = slots[r["source"]] / total, min(512, total - 512 * r["shard"])
+        assert abs(r["drawn"] - n * p) <= 6 * (n * p * (1 - p)) ** 0.5 + 6
+    assert all(drawn[h] == min(512, total - 512 * h) for h in drawn) and sum(drawn.values()) == total
+    assert all(kept[s] <= slots[s] for s in slots) and len({r["drawn"] for r in mix.drawn.where("source is not null").collect()}) > 3
+    rows = mix.slots.collect()
+    assert Counter(r["source"] for r in rows) == slots and len({(r["shard"], r["slot"]) for r in rows}) == total
+    assert "draws-" in mix.taken()._jdf.queryExecution().optimizedPlan().toString() or "shard" in mix.taken()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _taken_by_hand(mix):
+    """Words taken of each row, counted word by word from the slots."""
+    times = Counter((r["source"], r["block"]) for r in mix.slots.collect())
+    out = Counter()
+    for r in mix.docs.collect():
+        out[r["doc_id"], r["size"], sum(times[r["source"], r["first"] + (r["start"] + i) // r["width"]] for i in range(r["size"]))] += 1
+    return out
+
+
+def test_taken_is_what_the_slots_say(spark, sf, doc_cases):
+    for df in (doc_cases, read_table(spark, sf, "documents")):
+        mix = mixing.Mix(df)
+        assert _taken_by_hand(mix) == Counter((r["doc_id"], r["size"], r["taken"]) for r in mix.taken().collect())
+
+
 def test_mixed_documents_have_the_words_taken(doc_cases, no_docs):
-    rows = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.Mix(doc_cases.where("doc_id <> 2")).taken().collect()}
-    made = mixing.mixed_documents(doc_cases.where("doc_id <> 2"))
-    assert made.columns == doc_cases.columns
-    got = {r["doc_id"]: r for r in made.collect()}
-    assert set(got) == {d for (d, _), n in rows.items() if n}
-    for (d, _), n in rows.items():
-        if n:
-            assert _size(got[d]["text"]) == n and got[d]["n_chars"] == len(got[d]["text"])
+    # with rows alike in every column, and rows that have but their doc_id, text and source in common
+    again = doc_cases.where("doc_id in (1, 2, 6)").withColumn("lang", mixing.F.lit("zz"))
+    df = doc_cases.unionByName(again).unionByName(again)
+    want = Counter((r["doc_id"], r["taken"]) for r in mixing.Mix(df).taken().collect() if r["taken"])
+    made = mixing.mixed_documents(df)
+    assert made.columns == df.columns
+    rows = made.collect()
+    assert Counter((r["doc_id"], _size(r["text"])) for r in rows) == want and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert mixing.mixed_documents(no_docs).isEmpty() and mixing.Mix(no_docs).taken().isEmpty()
