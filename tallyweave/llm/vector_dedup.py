@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import connected_components, mapped, written
 
 BLOCKS = 8
 #: Steps of the rotated coordinates, which are held as integers so that every task sees the same distances.
 SCALE = 1 << 20
-#: Vectors at home in one task's cell.
+#: Vectors at home in one task's cell, and others that they meet there.
 CELL_ROWS = 4096
 #: Vectors of a label that one cell may hold on average before a further coordinate cuts the cells. A further coordinate
 #: doubles the copies that are shuffled and leaves four fifths of the comparisons, of which a copy costs some ten thousand.
@@ -85,17 +85,24 @@ def vector_duplicates(vectors: DataFrame, similarity: float = 0.98, cell_rows: i
 
     key = ["label", "dim", "block", "cell"]
     label = sets.schema["label"].dataType.simpleString()
-    placed = sets.select("label", "rep", "w", "v").mapInPandas(place, f"label {label}, dim int, block int, cell string, home boolean, rep long, w long, v array<double>")
-    heavy = placed.where("home").groupBy(*key).count().where(F.col("count") > cell_rows).select(*key, F.expr(f"cast(ceil(count / {cell_rows}) as long)").alias("chunks"))
-    spread = placed.join(heavy, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
-    spread = spread.withColumn("home", F.expr("home and pmod(xxhash64(rep), chunks) = chunk"))
+    placed = mapped(sets.select("label", "rep", "w", "v"), place, f"label {label}, dim int, block int, cell string, home boolean, rep long, w long, v array<double>")
+    # the rows of a heavy cell are cut on both sides: its home rows and all its rows meet in pairs of chunks of bounded size
+    cut = lambda n: F.ceil(n / cell_rows).cast("long")
+    heavy = placed.groupBy(*key).agg(F.count_if("home").alias("h"), F.count("*").alias("n")).where((F.col("n") > cell_rows) & (F.col("h") > 0)).select(*key, cut(F.col("h")).alias("homes"), cut(F.col("n")).alias("others"))
+    own, other = F.expr("pmod(xxhash64(rep, 1), homes)"), F.expr("pmod(xxhash64(rep, 2), others)")
+    role = lambda i, j, home, met: F.struct(i.alias("i"), j.alias("j"), home.alias("home"), met.alias("met"))
+    as_home = F.transform(F.expr("sequence(0L, others - 1)"), lambda j: role(own, j, F.lit(True), F.lit(False)))
+    as_met = F.transform(F.expr("sequence(0L, homes - 1)"), lambda i: role(i, other, F.lit(False), F.lit(True)))
+    light = F.array(role(F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("home"), F.lit(True)))
+    roles = F.when(F.col("homes").isNull(), light).when(F.col("home"), F.concat(as_home, as_met)).otherwise(as_met)
+    spread = placed.join(heavy, key, "left").select(*key, "rep", "w", "v", F.explode(roles).alias("role")).select(*key, "rep", "w", "v", "role.*")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         dim, block = int(frame["dim"].iloc[0]), int(frame["block"].iloc[0])
         frame = frame.sort_values("rep")
-        home = np.flatnonzero(frame["home"].to_numpy())
+        home, met = (np.flatnonzero(frame[c].to_numpy()) for c in ("home", "met"))
         layout = _layout(dim, similarity)
-        if not len(home):
+        if not len(home) or not len(met):
             return pd.DataFrame({"u": [], "links": [], "v": []}).astype(np.int64)
         x = np.stack(frame["v"].to_numpy()).astype(float)
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
@@ -106,10 +113,10 @@ def vector_duplicates(vectors: DataFrame, similarity: float = 0.98, cell_rows: i
         links, left, right = np.zeros(len(frame), dtype=np.int64), [home[:0]], [home[:0]]
         for at in range(0, len(home), 256):
             some = home[at : at + 256]
-            near = square[some][:, None] + square - 2 * part[some] @ part.T <= share * SCALE**2
-            near[np.arange(len(some)), some] = False
+            near = square[some][:, None] + square[met] - 2 * part[some] @ part[met].T <= share * SCALE**2
+            near &= rep[some][:, None] != rep[met]
             a, b = np.nonzero(near)
-            a = some[a]
+            a, b = some[a], met[b]
             for c in range(0, len(a), 50_000):
                 i, j = a[c : c + 50_000], b[c : c + 50_000]
                 ok = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= similarity
@@ -128,7 +135,7 @@ def vector_duplicates(vectors: DataFrame, similarity: float = 0.98, cell_rows: i
         used = np.unique(np.concatenate((i, j)))
         return pd.DataFrame({"u": rep[used], "links": links[used], "v": rep[root[used]]})
 
-    found = written(spread.groupBy(*key, "chunk").applyInPandas(compare, "u long, links long, v long"), "links")
+    found = written(spread.groupBy(*key, "i", "j").applyInPandas(compare, "u long, links long, v long"), "links")
     comps = connected_components(found.select("u", "v")).withColumnsRenamed({"id": "rep", "component": "c"})
     counts = found.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "rep")
     classes = sets.select("label", "f1", "f2", "rep", "w").join(counts, "rep", "left").join(comps, "rep", "left")
