@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archives, html_text, minhash_dedup, mixing, ordinal, packing, pii, topk_search, vector_dedup
-from .shared import read_table, written
+from .shared import read_table
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = written(topk_search.quantized(read_table(spark, sf_dir, "embeddings")), "quantized")
-    return topk_search.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
+    rows = read_table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(topk_search.quantized(rows.where("vec_id % 50 = 0")), topk_search.quantized(rows, merge=False), 5)
 
 
 def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,29 @@ def test_top_k_is_exact(spark):
         assert len(got) == len(set(got)) and set(got) == _top(rows, 3, 4)
 
 
+def test_products_are_pruned(spark):
+    """Vectors of many lengths: the longest give least scores, and far fewer products than all are verified."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.standard_normal(8) * (10.0 if i % 50 == 7 else rng.random())).tolist(), 0) for i in range(1500)]
+    vectors = topk_search.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3))
+    verified = spark.sparkContext.accumulator(0)
+    got = {tuple(r) for r in topk_search.top_k(vectors.where("vec_id % 10 = 0"), vectors, 5, block=50, query_block=40, seeds=30, verified=verified).collect()}
+    assert got == _top(rows, 10, 5)
+    assert 0 < verified.value < 0.5 * 150 * 1500
+
+
+def test_huge_components_and_repeated_candidates(spark):
+    rows = [(0, [4e6, 1.0, 3.0]), (1, [4e6, 1.0, 5.0]), (2, [4e6 + 1 / 256, 1.0, 3.0]), (3, [1e300, 0.0, 0.0]), (4, [-1e300, 1.0, 1.0]), (5, [1.0, 1.0, 1.0]), (1, [4e6, 1.0, 5.0]), (6, [2e9, 2e9, 2e9]), (7, [2e9, 2e9, 2e9 + 1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q, every = topk_search.quantized(df), topk_search.quantized(df, merge=False)
+    whole = [(i, [min(max(int(np.floor(256 * x)), -(2**62)), 2**62) for x in v]) for i, v in rows]
+    for r in (0, 1, 6):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(dict(whole)[r], w)))), j) for j, w in whole if j != r)
+        want = [(r, n + 1, j, -s) for n, (s, j) in enumerate(scores[:4])]
+        got = sorted(tuple(x) for x in topk_search.top_k(q.where(f"vec_id = {r}"), every, 4).collect())
+        assert got == want
+
+
 def test_top_k_of_the_table(spark, sf):
     rows = [(r[0], r[1], r[2]) for r in read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label").collect()]
     assert {tuple(r) for r in op1_topk_search(spark, sf).collect()} == _top(rows, 50, 5)
