@@ -6,6 +6,7 @@ after what they remove. The merge is independent of that order: it is an anti-jo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ DELETED = "deleted"
 BATCH = 50
 LOOKBACK_S = 10
 STALE_H = 12
+ROWS_A_BUCKET = 100_000
 
 
 def to_wire(ledger: DataFrame, device: str) -> DataFrame:
@@ -28,6 +30,56 @@ def to_wire(ledger: DataFrame, device: str) -> DataFrame:
     )
 
 
+def to_migration(ledger: DataFrame) -> DataFrame:
+    """Transactions of an old store as they are sent, all in the name of one device; quantities that are no numbers are 0."""
+    rows = ledger.withColumns({"qty": whole_number(F.col("qty").cast("string")), "device_id": F.lit("migration_v2")})
+    wire = to_wire(rows, "migration_v2")
+    return wire.withColumn("Timestamp", F.coalesce("Timestamp", F.lit(0)))
+
+
+def pushed(ledger: DataFrame, post: Callable[[list[dict]], dict], device: str, size: int = BATCH, tries: int = 4, wait_s: float = 2.0) -> DataFrame:
+    """batch_no, txn_ids, sent, processed, error: what is unsynced, posted in batches by the executors, with what the service answered.
+
+    post takes the rows of a batch and returns the answer; a batch that fails is posted again after a wait that grows. The service
+    knows rows by their TransactionId, so a task that runs again does no harm. Write the result before it is used twice.
+    """
+    rows = batched(unsynced(ledger), size)
+    wire = to_wire(rows.withColumn("txn_id", F.struct("txn_id", "batch_no")), device)
+    wire = wire.select(F.col("TransactionId.batch_no").alias("batch_no"), F.col("TransactionId.txn_id").alias("TransactionId"), *wire.columns[1:])
+
+    def send(batch):
+        import time
+
+        import pandas as pd
+
+        body = batch.drop(columns="batch_no").astype(object).where(lambda x: x.notna(), None).to_dict("records")
+        answer, error = {}, None
+        for n in range(tries):
+            try:
+                answer, error = post(body) or {}, None
+                break
+            except Exception as e:  # whatever the service or the network says
+                error = str(e)
+                if n + 1 < tries:
+                    time.sleep(wait_s * (n + 1))
+        done = pd.array([answer.get("processedCount")], dtype="Int64")
+        return pd.DataFrame({"batch_no": batch["batch_no"].iloc[:1], "txn_ids": [batch["TransactionId"].tolist()], "sent": len(batch), "processed": done, "error": [error]})
+
+    return wire.groupBy("batch_no").applyInPandas(send, "batch_no bigint, txn_ids array<string>, sent bigint, processed bigint, error string")
+
+
+def confirmed(acks: DataFrame) -> DataFrame:
+    """txn_id of all rows of batches that the service has confirmed as a whole: those that marked_synced() is to mark."""
+    return acks.where(acknowledged(F.col("processed"), F.col("sent"))).select(F.explode("txn_ids").alias("txn_id"))
+
+
+def push_totals(acks: DataFrame) -> DataFrame:
+    """batches, sent, failed: rows of confirmed batches, and of those that failed or weren't confirmed as a whole."""
+    ok = acknowledged(F.col("processed"), F.col("sent"))
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("sent"))), F.lit(0)).cast("bigint")
+    return acks.agg(F.count("*").alias("batches"), total(ok).alias("sent"), total(~ok).alias("failed"))
+
+
 def from_wire(pulled: DataFrame) -> DataFrame:
     """Received rows as transactions, marked as synced; quantities that are no numbers are 0."""
     return pulled.select(
@@ -101,11 +153,14 @@ def marked_synced(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.withColumn("synced", is_true(F.col("sent")) | is_true(F.col("synced"))).select(*ledger.columns)
 
 
-def batched(ledger: DataFrame, size: int = BATCH, buckets: int = 1024) -> DataFrame:
+def batched(ledger: DataFrame, size: int = BATCH, buckets: int | None = None) -> DataFrame:
     """ledger with batch_no, from 0: runs of `size` rows, all full but the last, in order of the hash bucket and id of a row.
 
+    Without `buckets` their number follows the rows, about ROWS_A_BUCKET in each.
+
     Rows are numbered within their buckets and the buckets' counts give where each begins, so that no task numbers them all.
     """
+    buckets = buckets or ledger.count() // ROWS_A_BUCKET + 1
     spread = ledger.withColumn("_bucket", F.pmod(F.xxhash64("txn_id"), F.lit(buckets)))
     counts = spread.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -48,6 +48,12 @@ def upserted(base: DataFrame, edits: DataFrame) -> DataFrame:
     return both.select("store_key", "product_id", pick("min_qty"), pick("optimum_qty"))
 
 
+def saved_count(products: DataFrame, edits: DataFrame) -> DataFrame:
+    """saved: how many active products have an edit."""
+    named = products.where(~F.col("active").eqNullSafe(F.lit(False))).select(F.col("id").alias("product_id"))
+    return named.join(edits.select("product_id"), "product_id", "left_semi").agg(F.count("*").alias("saved"))
+
+
 def stock_take_draft(counted: DataFrame, thresholds: DataFrame) -> DataFrame:
     """store_id, product_id, qty to order for each counted line that is below its optimum."""
     rows = resolved(counted, thresholds).withColumn("optimum", wanted())

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.loose import every, first_text, is_true, some
+from ..functions.loose import every, first_text, is_true, some, wire_id
 
 # What may become of a transfer, by the step.
 TRANSITIONS = {"submit": ("draft",), "receive": ("in_transit",), "resolve": ("received", "in_transit"), "cancel": ("draft", "in_transit")}
@@ -23,6 +23,9 @@ CAPABILITIES = {
     "view_history": ("director", "head_office", "franchisee", "store_manager"),
 }
 EMITTED = ["transfer_id", "product_id", "store_id", "type", "qty"]
+# The reasons that entries give, by the step; a store's name or a number of units follows or stands in between.
+REASONS = {"sent": "Transfer to ", "received": "Received from ", "cancelled": "Transfer cancelled — stock returned", "accept_as_is": "Flag resolved — accepted as-is from ", "adjust": "Flag resolved — adjusted qty from ", "reject": "Rejected — full qty returned to ", "short": "Shortfall returned — ", "remainder": "Adjustment remainder returned — "}
+NO_SHORTFALL = "No shortfalls detected"
 
 
 def _guard(transfers: DataFrame, step: str) -> DataFrame:
@@ -41,6 +44,66 @@ def _emitted(rows: DataFrame, *entries: Column) -> DataFrame:
     return rows.select("transfer_id", "product_id", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("transfer_id", "product_id", "e.*")
 
 
+def _set(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with those of the columns set that they have."""
+    return rows.withColumns({c: v for c, v in values.items() if c in rows.columns})
+
+
+def ledger_entries(emitted: DataFrame, transfers: DataFrame, stores: DataFrame, step: str, staff: Column, at: Column) -> DataFrame:
+    """Entries of a step ("sent", "received" or "cancelled") as ledger rows: id, date, staff and the reason, with the other store's name."""
+    other = {"sent": "to_store", "received": "from_store"}.get(step)
+    reason = F.lit(REASONS[step])
+    rows = emitted
+    if other:
+        ends = transfers.select(F.col("id").alias("transfer_id"), F.col(other).alias("other"))
+        rows = rows.join(ends, "transfer_id").join(stores.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other", "left")
+        reason = F.concat(reason, F.coalesce("other_name", F.lit("")))
+    return _as_ledger(rows, step, reason, staff, at)
+
+
+def resolution_ledger(flagged: DataFrame, stores: DataFrame, staff: Column, at: Column) -> DataFrame:
+    """The entries of resolution_entries() as ledger rows, each with its reason."""
+    acts = flagged.select("transfer_id", "product_id", "action", "from_store", "to_store")
+    names = stores.select(F.col("id").alias("from_store"), F.col("name").alias("from_name"))
+    rows = resolution_entries(flagged).join(acts, ["transfer_id", "product_id"]).join(names, "from_store", "left")
+    units = F.concat(F.col("qty").cast("string"), F.lit(" units"))
+    name, back = F.coalesce("from_name", F.lit("")), F.col("store_id") == F.col("from_store")
+    reason = (
+        F.when(F.col("action") == "reject", F.concat(F.lit(REASONS["reject"]), name))
+        .when(back & (F.col("action") == "accept_as_is"), F.concat(F.lit(REASONS["short"]), units))
+        .when(back, F.concat(F.lit(REASONS["remainder"]), units))
+        .when(F.col("action") == "accept_as_is", F.concat(F.lit(REASONS["accept_as_is"]), name))
+        .otherwise(F.concat(F.lit(REASONS["adjust"]), name))
+    )
+    return _as_ledger(rows, "resolved", reason, staff, at)
+
+
+def _as_ledger(rows: DataFrame, step: str, reason: Column, staff: Column, at: Column) -> DataFrame:
+    ident = wire_id(F.lit("txn"), "transfer_id", F.lit(step), "product_id", "store_id")
+    return rows.select(ident.alias("txn_id"), *EMITTED, F.to_date(at).alias("date"), F.coalesce(staff, F.lit("unknown")).alias("staff_name"), reason.alias("reason"), at.alias("created_at"))
+
+
+def from_stock_take(lines: DataFrame, head_office, at: Column, staff: Column) -> DataFrame:
+    """One draft from head office for each store of lines (store_id, product_id, qty to order), as created() has them."""
+    items = F.sort_array(F.collect_list(F.struct("product_id", F.col("qty").cast("bigint").alias("qty"))))
+    asked = lines.where("qty > 0").groupBy("store_id").agg(items.alias("items"))
+    made = asked.select(
+        wire_id(F.lit("draft"), "store_id").alias("id"), F.lit(head_office).cast(lines.schema["store_id"].dataType).alias("from_store"), F.col("store_id").alias("to_store"), "items", F.lit(True).alias("is_draft"),
+        F.lit(False).alias("is_return"), F.lit(None).cast("string").alias("return_reason"), staff.alias("created_by"), F.lit("Auto-generated from stock take").alias("notes"))
+    return created(made, at)
+
+
+def without_shortfall(counted: DataFrame, lines: DataFrame) -> DataFrame:
+    """store_id, error: the stores that were counted and need nothing."""
+    none = counted.select("store_id").distinct().join(lines.where("qty > 0").select("store_id"), "store_id", "left_anti")
+    return none.select("store_id", F.lit(NO_SHORTFALL).alias("error"))
+
+
+def by_id(transfers: DataFrame, ident) -> DataFrame:
+    """The transfer of this id, or no row."""
+    return transfers.where(F.col("id") == F.lit(ident)).limit(1)
+
+
 def items_of(transfers: DataFrame) -> DataFrame:
     """A row for each item: transfer_id, from_store, to_store, transfer_status and the item's fields."""
     rows = transfers.select(F.col("id").alias("transfer_id"), "from_store", "to_store", F.col("status").alias("transfer_status"), F.explode("items").alias("item"))
@@ -90,10 +153,11 @@ def submitted(transfers: DataFrame, edits: DataFrame, at: Column) -> DataFrame:
     return joined.withColumn("items", F.transform("items", edit)).withColumn("status", F.lit("in_transit")).withColumn("date", at).select(*transfers.columns)
 
 
-def received(transfers: DataFrame, receipts: DataFrame) -> DataFrame:
+def received(transfers: DataFrame, receipts: DataFrame, by: Column | None = None, at: Column | None = None) -> DataFrame:
     """Transfers in transit after receipts (transfer_id, product_id, received_qty): items accepted or flagged, transfers completed or received.
 
-    An item without a receipt has received 0; of several receipts of an item the smallest counts.
+    An item without a receipt has received 0; of several receipts of an item the smallest counts. received_by and received_date
+    become `by` and `at`, and completed_date `at` where nothing is flagged, in rows that have these columns.
     """
     r = receipts.groupBy(F.col("transfer_id").alias("id"), "product_id").agg(F.min("received_qty").cast("bigint").alias("qty"))
     r = r.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("product_id", "qty"))).alias("got"))
@@ -101,7 +165,12 @@ def received(transfers: DataFrame, receipts: DataFrame) -> DataFrame:
     judge = lambda i: i.withField("received_qty", got(i)).withField("status", F.when(got(i) == i["sent_qty"], "accepted").otherwise("flagged"))
     joined = _guard(transfers, "receive").join(r, "id", "left").withColumn("items", F.transform("items", judge))
     flagged = some("items", lambda i: i["status"] == "flagged")
-    return joined.withColumn("status", F.when(flagged, "received").otherwise("completed")).select(*transfers.columns)
+    done = joined.withColumn("status", F.when(flagged, "received").otherwise("completed"))
+    if by is not None:
+        done = _set(done, received_by=by)
+    if at is not None:
+        done = _set(done, received_date=at, completed_date=F.when(F.col("status") == "completed", at))
+    return done.select(*transfers.columns)
 
 
 def receipt_entries(done: DataFrame) -> DataFrame:
@@ -120,18 +189,36 @@ def resolution_entries(flagged: DataFrame) -> DataFrame:
     return _emitted(flagged, _entry("to_store", "transfer_in", came, came.isNotNull()), _entry("from_store", "transfer_in", back, (F.col("action") == "reject") | (back > 0)))
 
 
-def resolved(transfers: DataFrame, actions: DataFrame) -> DataFrame:
-    """Transfers with the flagged items that actions (transfer_id, product_id, action, note) name resolved; completed if none is left."""
+def resolved(transfers: DataFrame, actions: DataFrame, by: Column | None = None, at: Column | None = None) -> DataFrame:
+    """Transfers with the flagged items that actions (transfer_id, product_id, action, note) name resolved; completed if none is left.
+
+    Items that have resolved_by, resolved_action and flag_note get who, what and the note; completed transfers their completed_date.
+    """
+    item = {f.name for f in transfers.schema["items"].dataType.elementType}
+    who = F.lit(None).cast("string") if by is None else by
     a = actions.groupBy(F.col("transfer_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("product_id", F.struct("action", "note")))).alias("acts"))
     act = lambda i: F.try_element_at("acts", i["product_id"])
-    settle = lambda i: F.when((i["status"] == "flagged") & act(i).isNotNull(), i.withField("status", F.lit("resolved"))).otherwise(i)
+    said = lambda i: {"resolved_by": who, "resolved_action": act(i)["action"], "flag_note": F.coalesce(act(i)["note"], F.lit(""))}
+
+    def marked(i: Column) -> Column:
+        out = i.withField("status", F.lit("resolved"))
+        for name, value in said(i).items():
+            out = out.withField(name, value) if name in item else out
+        return out
+
+    settle = lambda i: F.when((i["status"] == "flagged") & act(i).isNotNull(), marked(i)).otherwise(i)
     joined = _guard(transfers, "resolve").join(a, "id", "left").withColumn("items", F.transform("items", settle))
     done = every("items", lambda i: i["status"].isin("accepted", "resolved"))
-    return joined.withColumn("status", F.when(done & F.col("acts").isNotNull(), "completed").otherwise(F.col("status"))).select(*transfers.columns)
+    done = done & F.col("acts").isNotNull()
+    if at is not None:
+        joined = _set(joined, completed_date=F.when(done, at).otherwise(F.col("completed_date")) if "completed_date" in joined.columns else at)
+    return joined.withColumn("status", F.when(done, "completed").otherwise(F.col("status"))).select(*transfers.columns)
 
 
-def cancelled(transfers: DataFrame) -> DataFrame:
-    return _guard(transfers, "cancel").withColumn("status", F.lit("cancelled"))
+def cancelled(transfers: DataFrame, at: Column | None = None) -> DataFrame:
+    """Drafts and transfers in transit as cancelled, their completed_date being `at`."""
+    out = _guard(transfers, "cancel").withColumn("status", F.lit("cancelled"))
+    return out if at is None else _set(out, completed_date=at)
 
 
 def cancel_entries(transfers: DataFrame) -> DataFrame:
@@ -156,6 +243,12 @@ def pruned(transfers: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     return transfers.where(~F.col("status").isin("completed", "cancelled") | is_true(ended > as_of - F.make_dt_interval(F.lit(days))))
 
 
+def prune_count(transfers: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """pruned: how many transfers pruned() leaves out."""
+    gone = ~(~F.col("status").isin("completed", "cancelled") | is_true(F.coalesce("completed_date", "date") > as_of - F.make_dt_interval(F.lit(days))))
+    return transfers.agg(F.count_if(gone).alias("pruned"))
+
+
 def capability_matrix(users: DataFrame) -> DataFrame:
     """users (id, role) by what they may do: id, capability, allowed."""
     named = F.array(*(F.struct(F.lit(name).alias("capability"), is_true(F.col("role").isin(*roles)).alias("allowed")) for name, roles in CAPABILITIES.items()))

@@ -42,6 +42,13 @@ def hub_rows(transfers: DataFrame) -> DataFrame:
     return transfers.select("id", iso_time("created_at").alias("created_at"), "status", "from_store", "to_store", F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("item_count"), F.coalesce(units(), F.lit(0)).cast("bigint").alias("total_units"))
 
 
+def hub_summary(headers: DataFrame, units: DataFrame) -> DataFrame:
+    """hub_rows() of headers without items, from units (id, item_count, total_units) of those that have any."""
+    joined = headers.join(units, "id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return joined.select("id", iso_time("created_at").alias("created_at"), "status", "from_store", "to_store", count("item_count"), count("total_units"))
+
+
 def newest_first(transfers: DataFrame) -> DataFrame:
     return transfers.orderBy(F.desc_nulls_last("created_at"), "id")
 
@@ -107,13 +114,21 @@ def unit_totals(transfers: DataFrame) -> DataFrame:
     return transfers.select(F.col("id").alias("transfer_id"), n.cast("bigint").alias("item_count"), chosen.cast("bigint").alias("selected"), total.cast("bigint").alias("total_units"), text.alias("text"))
 
 
-def notifications(transfers: DataFrame, stores: DataFrame) -> DataFrame:
-    """transfer_id, payload: the JSON text of a message about each transfer."""
-    names = named(transfers, stores).withColumnRenamed("transfer_id", "id")
-    item = lambda i: F.struct(i["product_id"].alias("product"), i["sent_qty"].alias("qty"))
-    kind = F.when(F.col("status") == "completed", "transfer_completed").otherwise("transfer_created")
-    body = F.struct(kind.alias("type"), F.col("from_name").alias("fromStore"), F.col("to_name").alias("toStore"), F.transform("items", item).alias("items"), F.size("items").alias("totalItems"), units().alias("totalUnits"))
-    return transfers.join(names.select("id", "from_name", "to_name"), "id").select(F.col("id").alias("transfer_id"), F.to_json(body).alias("payload"))
+def notifications(transfers: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
+    """transfer_id, payload: the JSON text of a message about each transfer; that of a completed one tells what came and what was flagged."""
+    rows = transfers.select("id", F.posexplode("items").alias("at", "i")).join(products.select(F.col("id").alias("p"), F.col("name").alias("product")), F.col("i.product_id") == F.col("p"), "left")
+    named_items = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "product", "i"))).alias("found"))
+    names = named(transfers, stores).select(F.col("transfer_id").alias("id"), "from_name", "to_name")
+    joined = transfers.join(names, "id").join(named_items, "id", "left").withColumn("found", F.coalesce("found", F.array()))
+    done = F.col("status") == "completed"
+    sent = F.transform("found", lambda x: F.struct(x["product"].alias("product"), x["i"]["sent_qty"].alias("qty")))
+    came = F.transform("found", lambda x: F.struct(x["product"].alias("product"), x["i"]["sent_qty"].alias("sent"), x["i"]["received_qty"].alias("received"), x["i"]["status"].alias("status")))
+    settled = F.filter("found", lambda x: x["i"]["status"] == "resolved")
+    flagged = F.transform(settled, lambda x: F.struct(x["product"].alias("product"), x["i"]["sent_qty"].alias("sent"), x["i"]["received_qty"].alias("received"), x["i"]["resolved_action"].alias("action"), x["i"]["flag_note"].alias("note"), x["i"]["resolved_by"].alias("resolvedBy")))
+    ends = [F.col("from_name").alias("fromStore"), F.col("to_name").alias("toStore")]
+    made = F.struct(F.lit("transfer_created").alias("type"), *ends, iso_time("date").alias("date"), F.col("created_by").alias("createdBy"), sent.alias("items"), F.size("found").alias("totalItems"), units().alias("totalUnits"))
+    over = F.struct(F.lit("transfer_completed").alias("type"), *ends, iso_time("completed_date").alias("date"), F.col("received_by").alias("receivedBy"), came.alias("items"), flagged.alias("flaggedItems"))
+    return joined.select(F.col("id").alias("transfer_id"), F.when(done, F.to_json(over)).otherwise(F.to_json(made)).alias("payload"))
 
 
 def picker(products: DataFrame, stock: DataFrame, origin, destination, thresholds: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ _VIEWS = {
     "sums": "SELECT l_orderkey AS transfer_id, l_partkey AS product_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sent_qty FROM lineitem GROUP BY ALL",
     "t": """
         SELECT o_orderkey AS id, o_orderdate AS created_at, o_custkey % n AS from_store, (o_custkey + 1 + o_orderkey % (n - 1)) % n AS to_store,
-               (['draft','in_transit','received','flagged','completed','cancelled'])[CAST(o_orderkey % 6 + 1 AS INT)] AS status, CASE WHEN o_orderpriority = '5-LOW' THEN 'Excess' END AS return_reason
+               (['draft','in_transit','received','flagged','completed','cancelled'])[CAST(o_orderkey % 6 + 1 AS INT)] AS status, CASE WHEN o_orderpriority = '5-LOW' THEN 'Excess' END AS return_reason,
+               'user-' || (o_custkey % 5) AS created_by, CASE WHEN o_orderkey % 6 IN (2, 3, 4) THEN 'user-' || (o_custkey % 7) END AS received_by, CASE WHEN o_orderkey % 6 IN (4, 5) THEN o_orderdate + INTERVAL 1 DAY * (o_orderkey % 45) END AS completed_date
         FROM orders, (SELECT count(*) AS n FROM supplier)""",
     "came": "SELECT *, CASE WHEN product_id % 4 <> 0 THEN sent_qty WHEN product_id % 8 = 0 THEN sent_qty - 1 ELSE sent_qty + 1 END AS came FROM sums",
     "items": """
@@ -104,9 +105,11 @@ _BODIES = {
     "transfer_names": "SELECT id AS transfer_id, a.s_name AS from_name, b.s_name AS to_name, replace(status, '_', ' ') AS label FROM t LEFT JOIN supplier a ON a.s_suppkey = from_store LEFT JOIN supplier b ON b.s_suppkey = to_store",
     "transfer_item_names": "SELECT transfer_id, product_id, p_name AS product, sent_qty AS sent, coalesce(CAST(received_qty AS VARCHAR), '-') AS received FROM items LEFT JOIN part ON product_id = p_partkey",
     "notification_payload": """
-        SELECT h.id AS transfer_id, CASE h.status WHEN 'completed' THEN 'transfer_completed' ELSE 'transfer_created' END AS type, a.s_name AS from_name, b.s_name AS to_name, item_count AS total_items, total_units,
-               (SELECT min(product_id) FROM sums WHERE transfer_id = h.id) AS first_product
-        FROM hub h LEFT JOIN supplier a ON a.s_suppkey = from_store LEFT JOIN supplier b ON b.s_suppkey = to_store WHERE h.status IN ('in_transit', 'completed')""",
+        SELECT h.id AS transfer_id, CASE h.status WHEN 'completed' THEN 'transfer_completed' ELSE 'transfer_created' END AS type, a.s_name AS from_name, b.s_name AS to_name,
+               CASE WHEN h.status <> 'completed' THEN item_count END AS total_items, CASE WHEN h.status <> 'completed' THEN total_units END AS total_units,
+               p_name AS first_product, strftime(CASE h.status WHEN 'completed' THEN completed_date ELSE t.created_at END, '%Y-%m-%d') AS date, CASE h.status WHEN 'completed' THEN received_by ELSE created_by END AS person,
+               CASE h.status WHEN 'completed' THEN coalesce(n_resolved, 0) END AS n_flagged, CASE WHEN h.status = 'completed' AND n_resolved > 0 THEN 'accept_as_is' END AS first_action
+        FROM hub h JOIN t ON t.id = h.id LEFT JOIN (SELECT transfer_id, min(product_id) AS low, count(*) FILTER (status = 'resolved') AS n_resolved FROM items GROUP BY 1) f ON f.transfer_id = h.id LEFT JOIN part ON p_partkey = f.low LEFT JOIN supplier a ON a.s_suppkey = h.from_store LEFT JOIN supplier b ON b.s_suppkey = h.to_store WHERE h.status IN ('in_transit', 'completed')""",
     "capability_matrix": f"""
         SELECT c_custkey AS id, capability, list_contains(roles, {_ROLES}) AS allowed FROM customer, (VALUES ('create', ['director','head_office','franchisee','store_manager']),
             ('receive', ['director','head_office','franchisee','store_manager','staff']), ('resolve', ['director','head_office','franchisee']), ('set_thresholds', ['director','head_office']),
@@ -120,18 +123,52 @@ _BODIES = {
     "transfer_draft_submit": "SELECT transfer_id, product_id, from_store AS store_id, 'transfer_out' AS type, CASE WHEN product_id % 3 = 0 THEN sent_qty + 2 ELSE sent_qty END AS qty FROM items WHERE transfer_status = 'draft' AND status = 'confirmed'",
     "transfer_receive": """
         SELECT transfer_id, product_id, sent_qty, received_qty, CASE WHEN received_qty = sent_qty THEN 'accepted' ELSE 'flagged' END AS item_status,
-               CASE WHEN bool_and(received_qty = sent_qty) OVER (PARTITION BY transfer_id) THEN 'completed' ELSE 'received' END AS transfer_status
+               CASE WHEN bool_and(received_qty = sent_qty) OVER (PARTITION BY transfer_id) THEN 'completed' ELSE 'received' END AS transfer_status,
+               'user-9' AS received_by, '2000-01-01' AS received_date, CASE WHEN bool_and(received_qty = sent_qty) OVER (PARTITION BY transfer_id) THEN '2000-01-01' END AS completed_date
         FROM (SELECT c.transfer_id, c.product_id, c.sent_qty, CASE WHEN c.product_id % 11 = 0 THEN 0 ELSE came END AS received_qty FROM came c JOIN t ON transfer_id = id WHERE status = 'in_transit')""",
     "transfer_receive_entries": "SELECT transfer_id, product_id, to_store AS store_id, 'transfer_in' AS type, sent_qty AS qty FROM came JOIN t ON transfer_id = id WHERE status = 'in_transit' AND CASE WHEN product_id % 11 = 0 THEN 0 ELSE came END = sent_qty",
     "transfer_resolve_flags": "SELECT transfer_id, product_id, store_id, type, CAST(qty AS BIGINT) AS qty FROM settled",
-    "transfer_resolved_status": "SELECT id, CASE WHEN bool_or(i.status = 'flagged' AND product_id % 16 <> 0) AND NOT bool_or(i.status = 'flagged' AND product_id % 16 = 0) THEN 'completed' ELSE 'received' END AS status FROM t LEFT JOIN items i ON id = transfer_id WHERE t.status = 'received' GROUP BY id",
+    "transfer_resolved_status": """SELECT id, CASE WHEN bool_or(i.status = 'flagged' AND product_id % 16 <> 0) AND NOT bool_or(i.status = 'flagged' AND product_id % 16 = 0) THEN 'completed' ELSE 'received' END AS status,
+            CASE WHEN bool_or(i.status = 'flagged' AND product_id % 16 <> 0) AND NOT bool_or(i.status = 'flagged' AND product_id % 16 = 0) THEN '2000-01-01' END AS completed_date,
+            max(CASE WHEN i.status = 'flagged' AND product_id % 16 <> 0 THEN (['accept_as_is','adjust','reject'])[CAST(product_id % 3 + 1 AS INT)] END) AS resolved_action,
+            max(CASE WHEN i.status = 'flagged' AND product_id % 16 <> 0 AND product_id % 3 = 2 THEN 'broken' WHEN product_id IS NOT NULL THEN '' END) AS flag_note,
+            count(*) FILTER (i.status = 'flagged' AND product_id % 16 <> 0) AS n_resolved FROM t LEFT JOIN items i ON id = transfer_id WHERE t.status = 'received' GROUP BY id""",
     "transfer_cancel": "SELECT transfer_id, product_id, from_store AS store_id, 'transfer_in' AS type, sent_qty AS qty FROM items WHERE transfer_status = 'in_transit'",
-    "transfer_cancelled": "SELECT id, 'cancelled' AS status FROM t WHERE status IN ('draft', 'in_transit')",
+    "transfer_cancelled": "SELECT id, 'cancelled' AS status, '2000-01-01' AS completed_date FROM t WHERE status IN ('draft', 'in_transit')",
     "transfer_conservation": """
         SELECT i.transfer_id, i.product_id, sent_qty, CAST(coalesce(c.qty, 0) AS BIGINT) AS credited_qty, CAST(coalesce(c.qty, 0) - sent_qty AS BIGINT) AS imbalance FROM items i LEFT JOIN
             (SELECT transfer_id, product_id, sum(qty) AS qty FROM (SELECT transfer_id, product_id, qty FROM settled UNION ALL SELECT transfer_id, product_id, received_qty FROM items WHERE status = 'accepted' AND transfer_status = 'received') GROUP BY ALL) c
             ON i.transfer_id = c.transfer_id AND i.product_id = c.product_id WHERE transfer_status = 'received'""",
-    "transfer_prune": "SELECT id, status FROM t WHERE status NOT IN ('completed', 'cancelled') OR created_at > TIMESTAMP '2000-01-01' - INTERVAL 30 DAY",
+    "transfer_prune": "SELECT id, status, strftime(completed_date, '%Y-%m-%d') AS completed_date FROM t WHERE status NOT IN ('completed', 'cancelled') OR completed_date > TIMESTAMP '2000-01-01' - INTERVAL 30 DAY",
+    "prune_count": "SELECT count(*) AS pruned FROM t WHERE status IN ('completed', 'cancelled') AND completed_date <= TIMESTAMP '2000-01-01' - INTERVAL 30 DAY",
+    "transfer_by_id": "SELECT id, status, strftime(created_at, '%Y-%m-%d') AS date FROM t WHERE id = 7",
+    "transfer_ledger": """
+        SELECT concat_ws('_', 'txn', e.transfer_id, step, e.product_id, e.store_id) AS txn_id, e.transfer_id, e.product_id, e.store_id, 'transfer_in' AS type, qty, '2000-01-01' AS date, 'user-9' AS staff_name, reason FROM (
+            SELECT i.transfer_id, i.product_id, i.to_store AS store_id, 'received' AS step, i.sent_qty AS qty, 'Received from ' || s_name AS reason FROM items i JOIN came c ON i.transfer_id = c.transfer_id AND i.product_id = c.product_id JOIN supplier ON s_suppkey = i.from_store
+                WHERE transfer_status = 'in_transit' AND CASE WHEN i.product_id % 11 = 0 THEN 0 ELSE came END = i.sent_qty
+            UNION ALL SELECT transfer_id, product_id, from_store, 'cancelled', sent_qty, 'Transfer cancelled — stock returned' FROM items WHERE transfer_status = 'in_transit'
+            UNION ALL SELECT transfer_id, product_id, to_store, 'resolved', kept, CASE product_id % 3 WHEN 0 THEN 'Flag resolved — accepted as-is from ' ELSE 'Flag resolved — adjusted qty from ' END || s_name FROM acts JOIN supplier ON s_suppkey = from_store WHERE kept IS NOT NULL
+            UNION ALL SELECT transfer_id, product_id, from_store, 'resolved', sent_qty - coalesce(kept, 0), CASE product_id % 3 WHEN 2 THEN 'Rejected — full qty returned to ' || s_name WHEN 0 THEN 'Shortfall returned — ' || (sent_qty - kept) || ' units' ELSE 'Adjustment remainder returned — ' || (sent_qty - kept) || ' units' END
+                FROM acts JOIN supplier ON s_suppkey = from_store WHERE kept IS NULL OR sent_qty - kept > 0) e
+        UNION ALL SELECT concat_ws('_', 'txn', transfer_id, 'sent', product_id, from_store), transfer_id, product_id, from_store, 'transfer_out', sent_qty, '2000-01-01', 'user-9', 'Transfer to ' || s_name FROM items JOIN supplier ON s_suppkey = to_store WHERE transfer_status = 'in_transit'""",
+    "stocktake_transfer": """
+        SELECT 'draft_' || store_id AS id, CAST(0 AS BIGINT) AS from_store, store_id AS to_store, 'draft' AS status, 'user-9' AS created_by, 'Auto-generated from stock take' AS notes, count(*) AS n_items, CAST(sum(optimum - greatest(0, on_hand)) AS BIGINT) AS units
+        FROM stock JOIN best USING (store_id, product_id) WHERE optimum <> 0 AND greatest(0, on_hand) < optimum AND store_id <> 0 GROUP BY store_id""",
+    "stocktake_errors": """
+        SELECT store_id, 'No shortfalls detected' AS error FROM stock JOIN best USING (store_id, product_id) WHERE store_id % 3 IN (0, 1) GROUP BY store_id HAVING NOT bool_or(optimum <> 0 AND CASE WHEN store_id % 3 = 0 THEN 1000 ELSE 0 END < optimum)""",
+    "threshold_saved": "SELECT count(*) AS saved FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 10 <> 1",
+    "sync_merged_rows": """
+        SELECT txn_id, type, CAST(CAST(txn_id AS BIGINT) % 50 AS VARCHAR) AS product_id, CAST(trunc(value) AS BIGINT) AS qty, true AS synced FROM log WHERE txn_id NOT IN (SELECT coalesce(target, txn_id) FROM pull WHERE type = 'deleted')
+            AND (txn_id IN (SELECT txn_id FROM local_rows) OR txn_id IN (SELECT txn_id FROM pull WHERE type <> 'deleted' AND device <> '7'))""",
+    "sync_leader": "SELECT user_id AS tab_id FROM events ORDER BY date_trunc('hour', ts), user_id LIMIT 1",
+    "migration_wire": """
+        SELECT txn_id AS "TransactionId", strftime(date, '%Y-%m-%d') AS "Date", CAST(store_id AS VARCHAR) AS "StoreId", CAST(product_id AS VARCHAR) AS "ProductId", type AS "Type", qty AS "Qty", l_linestatus AS "StaffName", l_returnflag AS "Reason",
+               'migration_v2' AS "DeviceId", epoch_ms(created_at) AS "Timestamp", CAST(transfer_id AS VARCHAR) AS "TransferId" FROM ledger""",
+    "push_totals": "SELECT CAST(ceil(n / 50.0) AS BIGINT) AS batches, n - n % 50 AS sent, n % 50 AS failed FROM (SELECT count(*) AS n FROM ledger WHERE transfer_id % 3 <> 0)",
+    "map_items": "SELECT l_orderkey AS id, l_partkey AS product_id, CAST(sum(CAST(l_quantity AS BIGINT) - 10) AS BIGINT) AS qty FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2 HAVING sum(CAST(l_quantity AS BIGINT) - 10) > 0",
+    "value_rules_more": """
+        SELECT p_partkey, lpad(lower(to_hex(CAST(p_size AS BIGINT))), 4, '0') AS hex, CAST(p_size AS BIGINT) AS unhex, CAST(p_size * p_size AS BIGINT) AS squared, replace(p_name, ' ', '|') AS joined, TRY_CAST(p_brand AS DOUBLE) IS NULL AS not_a_number,
+               'key,size' AS keys, CAST(p_size + p_partkey AS BIGINT) AS total, CAST(1 AS BIGINT) AS more FROM part""",
     "sync_push_batch": """
         SELECT txn_id AS "TransactionId", strftime(date, '%Y-%m-%d') AS "Date", CAST(store_id AS VARCHAR) AS "StoreId", CAST(product_id AS VARCHAR) AS "ProductId", type AS "Type", qty AS "Qty", l_linestatus AS "StaffName", l_returnflag AS "Reason",
                CAST(transfer_id % 10 AS VARCHAR) AS "DeviceId", epoch_ms(created_at) AS "Timestamp", CAST(transfer_id AS VARCHAR) AS "TransferId" FROM ledger WHERE transfer_id % 3 <> 0""",
@@ -148,7 +185,7 @@ _BODIES = {
     "migration_batches": "SELECT n // 50 AS batch_no, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY txn_id) - 1 AS n FROM ledger) GROUP BY 1",
     "latest_versions": "SELECT transfer_id, product_id, txn_id, qty FROM ledger QUALIFY row_number() OVER (PARTITION BY transfer_id, product_id ORDER BY qty DESC, txn_id DESC) = 1",
     "table_counts": "SELECT 'stores' AS table_name, count(*) AS n_rows FROM supplier UNION ALL SELECT 'products', count(*) FROM part UNION ALL SELECT 'users', count(*) FROM customer UNION ALL SELECT 'transactions', count(*) FROM lineitem UNION ALL SELECT 'transfers', count(*) FROM orders",
-    "store_upsert": "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey - 5 NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) UNION ALL SELECT s_suppkey + 5, upper(s_name) FROM supplier WHERE s_suppkey % 2 = 0",
+    "store_upsert": "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey - 5 NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) UNION ALL SELECT s_suppkey + 5, CASE WHEN s_suppkey % 4 = 0 THEN lower(s_name) ELSE upper(s_name) END FROM supplier WHERE s_suppkey % 2 = 0",
     "json_props": "SELECT event_type, CAST(sum(k) AS BIGINT) AS k_sum, count(*) FILTER (k > 50) AS k_high, CAST(max(length(props)) AS BIGINT) AS longest FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
     "value_rules": """
         SELECT p_partkey, CAST(coalesce(nullif(p_size % 5, 0), nullif(p_size % 3, 0), -1) AS BIGINT) AS truthy, CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT) AS parsed, CAST(0 AS BIGINT) AS no_number,

@@ -91,35 +91,57 @@ def stocktake_draft(s, d):
     return thresholds.stock_take_draft(counted, b.thresholds(s, d))
 
 
+def stocktake_transfer(s, d):
+    """The drafts from head office that a stock take makes."""
+    made = transfers.from_stock_take(stocktake_draft(s, d), 0, F.lit(AS_OF), F.lit("user-9"))
+    return made.select("id", "from_store", "to_store", "status", "created_by", "notes", F.size("items").cast("bigint").alias("n_items"), F.aggregate("items", F.lit(0).cast("bigint"), lambda a, i: a + i["sent_qty"]).alias("units"))
+
+
+def stocktake_errors(s, d):
+    counted = _stock(s, d).select("store_id", "product_id", F.lit(1000).alias("counted")).where("store_id % 3 = 0").unionByName(_stock(s, d).select("store_id", "product_id", F.lit(0).alias("counted")).where("store_id % 3 = 1"))
+    return transfers.without_shortfall(counted, thresholds.stock_take_draft(counted, b.thresholds(s, d)))
+
+
+def threshold_saved(s, d):
+    edits = b.products(s, d).where("id % 3 = 0").select(F.col("id").alias("product_id"))
+    return thresholds.saved_count(b.products(s, d), edits)
+
+
 def product_picker(s, d):
     return views.picker(b.products(s, d), _stock(s, d), 0, 1, b.thresholds(s, d))
 
 
 def _hub(tab: str) -> Query:
     def run(s, d):
-        return views.hub_rows(views.in_tab(b.transfers(s, d), tab, _mine(s, d)))
+        return views.hub_summary(views.in_tab(b.transfer_headers(s, d), tab, _mine(s, d)), b.transfer_units(s, d))
 
     return run
 
 
 def hub_page(s, d):
-    return views.hub_rows(views.page(views.in_tab(b.transfers(s, d), "in_transit"), 1))
+    return _hub_page(s, d, "in_transit", 1)
 
 
 def hub_last_page(s, d):
-    return views.hub_rows(views.page(views.in_tab(b.transfers(s, d), "drafts"), 10**9))
+    return _hub_page(s, d, "drafts", 10**9)
+
+
+def _hub_page(s, d, tab: str, number: int):
+    """The page is cut from the headers; only then the items of its few rows are summed."""
+    rows = views.page(views.in_tab(b.transfer_headers(s, d), tab), number)
+    return views.hub_summary(rows, b.page_units(s, d, rows))
 
 
 def hub_page_count(s, d):
-    return views.page_count(views.in_tab(b.transfers(s, d), "completed"))
+    return views.page_count(views.in_tab(b.transfer_headers(s, d), "completed"))
 
 
 def hub_visibility(s, d):
-    return views.visible(b.transfers(s, d), _mine(s, d)).select("id", "from_store", "to_store")
+    return views.visible(b.transfer_headers(s, d), _mine(s, d)).select("id", "from_store", "to_store")
 
 
 def transfer_list(s, d):
-    return _date(views.listed(b.transfers(s, d), "received", 3).select("id", "date", "from_store", "to_store"), "date")
+    return _date(views.listed(b.transfer_headers(s, d), "received", 3).select("id", "date", "from_store", "to_store"), "date")
 
 
 def product_search(s, d):
@@ -131,7 +153,7 @@ def transfer_units(s, d):
 
 
 def transfer_names(s, d):
-    return views.named(b.transfers(s, d), b.stores(s, d))
+    return views.named(b.transfer_headers(s, d), b.stores(s, d))
 
 
 def transfer_item_names(s, d):
@@ -139,9 +161,10 @@ def transfer_item_names(s, d):
 
 
 def notification_payload(s, d):
-    done = views.notifications(b.transfers(s, d).where("status in ('in_transit', 'completed')"), b.stores(s, d))
+    done = views.notifications(b.transfers(s, d).where("status in ('in_transit', 'completed')"), b.stores(s, d), b.products(s, d))
     get = lambda name: F.get_json_object("payload", f"$.{name}")
-    return done.select("transfer_id", get("type").alias("type"), get("fromStore").alias("from_name"), get("toStore").alias("to_name"), get("totalItems").cast("bigint").alias("total_items"), get("totalUnits").cast("bigint").alias("total_units"), get("items[0].product").cast("bigint").alias("first_product"))
+    return done.select("transfer_id", get("type").alias("type"), get("fromStore").alias("from_name"), get("toStore").alias("to_name"), get("totalItems").cast("bigint").alias("total_items"), get("totalUnits").cast("bigint").alias("total_units"), get("items[0].product").alias("first_product"),
+        F.substring(get("date"), 1, 10).alias("date"), F.coalesce(get("createdBy"), get("receivedBy")).alias("person"), F.json_array_length(get("flaggedItems")).cast("bigint").alias("n_flagged"), get("flaggedItems[0].action").alias("first_action"))
 
 
 def capability_matrix(s, d):
@@ -149,7 +172,7 @@ def capability_matrix(s, d):
 
 
 def flag_diff(s, d):
-    return views.differences(transfers.items_of(b.transfers(s, d)))
+    return views.differences(b.transfer_items(s, d))
 
 
 def transfer_create(s, d):
@@ -184,8 +207,13 @@ def transfer_draft_submit(s, d):
 
 def transfer_receive(s, d):
     rows = b.transfers(s, d)
-    done = transfers.received(rows, b.receipts(rows))
-    return transfers.items_of(done).select("transfer_id", "product_id", "sent_qty", "received_qty", F.col("status").alias("item_status"), "transfer_status")
+    done = transfers.received(rows, b.receipts(rows), F.lit("user-9"), F.lit(AS_OF))
+    items = done.select(F.col("id").alias("transfer_id"), F.col("status").alias("transfer_status"), "received_by", *_days(done, "received_date", "completed_date"), F.explode("items").alias("i"))
+    return items.select("transfer_id", "i.product_id", "i.sent_qty", "i.received_qty", F.col("i.status").alias("item_status"), "transfer_status", "received_by", "received_date", "completed_date")
+
+
+def _days(df, *names):
+    return [F.date_format(df[n], "yyyy-MM-dd").alias(n) for n in names]
 
 
 def transfer_receive_entries(s, d):
@@ -194,13 +222,16 @@ def transfer_receive_entries(s, d):
 
 
 def transfer_resolve_flags(s, d):
-    return transfers.resolution_entries(b.actions(transfers.items_of(b.transfers(s, d).where("status = 'received'"))))
+    return transfers.resolution_entries(b.actions(b.transfer_items(s, d, b.transfer_headers(s, d).where("status = 'received'"))))
 
 
 def transfer_resolved_status(s, d):
     rows = b.transfers(s, d).where("status = 'received'")
-    acts = b.actions(transfers.items_of(rows)).where("product_id % 16 <> 0").select("transfer_id", "product_id", "action", F.lit("").alias("note"))
-    return transfers.resolved(rows, acts).select("id", "status")
+    acts = b.actions(transfers.items_of(rows)).where("product_id % 16 <> 0").select("transfer_id", "product_id", "action", F.when(F.col("action") == "reject", "broken").alias("note"))
+    done = transfers.resolved(rows, acts, F.lit("user-8"), F.lit(AS_OF))
+    said = lambda name: F.array_max(F.transform("items", lambda i: i[name])).alias(name)
+    n = F.size(F.filter("items", lambda i: i["resolved_by"] == "user-8")).cast("bigint")
+    return done.select("id", "status", *_days(done, "completed_date"), said("resolved_action"), said("flag_note"), n.alias("n_resolved"))
 
 
 def transfer_cancel(s, d):
@@ -208,17 +239,40 @@ def transfer_cancel(s, d):
 
 
 def transfer_cancelled(s, d):
-    return transfers.cancelled(b.transfers(s, d)).select("id", "status")
+    done = transfers.cancelled(b.transfer_headers(s, d), F.lit(AS_OF))
+    return done.select("id", "status", *_days(done, "completed_date"))
+
+
+def transfer_ledger(s, d):
+    """The ledger rows of everything that is sent, received, cancelled and resolved, with reasons."""
+    rows, stores, who, at = b.transfers(s, d), b.stores(s, d), F.lit("user-9"), F.lit(AS_OF)
+    got = transfers.received(rows, b.receipts(rows), who, at)
+    steps = [(transfers.sent_entries(rows), "sent"), (transfers.receipt_entries(got), "received"), (transfers.cancel_entries(rows), "cancelled")]
+    flagged = b.actions(b.transfer_items(s, d, b.transfer_headers(s, d).where("status = 'received'")))
+    out = transfers.resolution_ledger(flagged, stores, who, at)
+    for entries, step in steps:
+        out = out.unionByName(transfers.ledger_entries(entries, rows, stores, step, who, at))
+    return _date(out, "date").drop("created_at")
+
+
+def transfer_by_id(s, d):
+    found = transfers.by_id(b.transfer_headers(s, d), 7)
+    return found.select("id", "status", *_days(found, "date"))
+
+
+def prune_count(s, d):
+    return transfers.prune_count(b.transfer_headers(s, d), F.lit(AS_OF))
 
 
 def transfer_conservation(s, d):
-    rows = transfers.items_of(b.transfers(s, d).where("status = 'received'"))
+    rows = b.transfer_items(s, d, b.transfer_headers(s, d).where("status = 'received'"))
     accepted = rows.where("status = 'accepted'").select("transfer_id", "product_id", F.col("to_store").alias("store_id"), F.lit("transfer_in").alias("type"), F.col("received_qty").alias("qty"))
     return transfers.conservation(rows, accepted.unionByName(transfers.resolution_entries(b.actions(rows))))
 
 
 def transfer_prune(s, d):
-    return transfers.pruned(b.transfers(s, d), F.lit(AS_OF)).select("id", "status")
+    kept = transfers.pruned(b.transfer_headers(s, d), F.lit(AS_OF))
+    return kept.select("id", "status", *_days(kept, "completed_date"))
 
 
 def sync_push_batch(s, d):
@@ -252,6 +306,35 @@ def sync_bootstrap_in_order(s, d):
     return sync.merged_in_order(_local(log).where(F.lit(False)), sync.window(log, None, UNTIL))
 
 
+def sync_merged_rows(s, d):
+    """The merged ledger itself."""
+    log = b.sync_log(s, d)
+    local = sync.from_wire(sync.live(sync.window(log, None, SINCE)))
+    return sync.merged(local, sync.window(log, SINCE, UNTIL), DEVICE).select("txn_id", "type", "product_id", "qty", "synced")
+
+
+def sync_leader(s, d):
+    claims = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("tab_id"), F.date_trunc("hour", "ts").alias("started_at"))
+    return sync.leader(claims)
+
+
+def migration_wire(s, d):
+    return sync.to_migration(b.ledger(s, d))
+
+
+def push_totals(s, d):
+    """Totals of a push to a service that refuses some batches and takes a part of others."""
+    unsynced = sync.unsynced(b.ledger(s, d))
+
+    def post(body: list[dict]) -> dict:
+        n = len(body)
+        if n < sync.BATCH:
+            raise OSError("unavailable")
+        return {"status": "ok", "processedCount": n}
+
+    return sync.push_totals(sync.pushed(unsynced, post, "dev", wait_s=0))
+
+
 def sync_replay(s, d):
     """Two pulls that overlap, as one: rows that come twice count once."""
     log = b.sync_log(s, d)
@@ -291,6 +374,7 @@ def store_upsert(s, d):
     """Stores with the names of some of them changed, and one that is new."""
     base = b.stores(s, d).select("id", "name")
     changes = base.where("id % 2 = 0").select((F.col("id") + 5).alias("id"), F.upper("name").alias("name"))
+    changes = changes.unionByName(base.where("id % 4 = 0").select((F.col("id") + 5).alias("id"), F.lower("name").alias("name")))  # a second change of some
     return tables.upserted(base, changes, ["id"])
 
 
@@ -310,6 +394,25 @@ def value_rules(s, d):
     )
 
 
+def map_items(s, d):
+    """Items of a map of quantities by product, as an edited order holds them; only positive quantities count."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 50 = 0").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("bigint") - 10).alias("qty"))
+    maps = lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("qty").alias("qty")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_partkey", "qty"))).alias("m"))
+    rows = maps.select(F.col("l_orderkey").alias("id"), F.explode(F.map_entries(F.map_filter("m", lambda k, v: v > 0))).alias("e"))
+    return rows.select("id", F.col("e.key").alias("product_id"), F.col("e.value").alias("qty"))
+
+
+def value_rules_more(s, d):
+    """Hexadecimal, powers, joined lists, numbers told from text, and maps."""
+    p = s.read.parquet(f"{d}/part.parquet")
+    size = F.col("p_size").cast("bigint")
+    m = F.create_map(F.lit("size"), size, F.lit("key"), F.col("p_partkey"))
+    return p.select(
+        "p_partkey", F.lpad(F.lower(F.hex(size)), 4, "0").alias("hex"), F.conv(F.hex(size), 16, 10).cast("bigint").alias("unhex"), F.pow(size, F.lit(2)).cast("bigint").alias("squared"), F.array_join(F.split("p_name", " "), "|").alias("joined"),
+        F.col("p_brand").try_cast("double").isNull().alias("not_a_number"), F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"), F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.map_concat(m, F.create_map(F.lit("more"), F.lit(1).cast("bigint")))["more"].alias("more"),
+    )
+
+
 QUERIES: dict[str, Query] = {f"hub_{t}": _hub(t) for t in views.TABS} | {
     f.__name__: f
     for f in (
@@ -317,5 +420,6 @@ QUERIES: dict[str, Query] = {f"hub_{t}": _hub(t) for t in views.TABS} | {
         hub_page, hub_last_page, hub_page_count, hub_visibility, transfer_list, product_search, transfer_units, transfer_names, transfer_item_names, notification_payload, capability_matrix, flag_diff,
         transfer_create, transfer_validate, transfer_draft_confirm, transfer_draft_submit, transfer_receive, transfer_receive_entries, transfer_resolve_flags, transfer_resolved_status, transfer_cancel, transfer_cancelled, transfer_conservation, transfer_prune,
         sync_push_batch, sync_ack_matrix, sync_mark_synced, sync_pull_merge, sync_bootstrap, sync_bootstrap_in_order, sync_replay, sync_tombstones, sync_overlap, stale_devices, migration_batches, latest_versions, table_counts, store_upsert, json_props, value_rules,
+        transfer_ledger, transfer_by_id, prune_count, stocktake_transfer, stocktake_errors, threshold_saved, sync_merged_rows, sync_leader, migration_wire, push_totals, map_items, value_rules_more,
     )
 }

@@ -61,28 +61,76 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("product_id")).distinct()
 
 
+def transfer_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as transfers, without their items."""
+    n = _table(spark, sf_dir, "supplier").count()
+    status, cust, order = _pick(STATUSES, F.col("o_orderkey") % 6), F.col("o_custkey"), F.col("o_orderkey")
+    came = status.isin("received", "flagged", "completed")
+    ended = F.col("o_orderdate") + F.make_dt_interval((order % 45).cast("int"))
+    return _table(spark, sf_dir, "orders").select(
+        order.alias("id"), F.col("o_orderdate").alias("date"), F.col("o_orderdate").alias("created_at"), (cust % n).cast("bigint").alias("from_store"), ((cust + 1 + order % (n - 1)) % n).cast("bigint").alias("to_store"),
+        status.alias("status"), F.when(F.col("o_orderpriority") == "5-LOW", "Excess").alias("return_reason"), F.concat(F.lit("user-"), (cust % 5).cast("string")).alias("created_by"),
+        F.when(came, F.concat(F.lit("user-"), (cust % 7).cast("string"))).alias("received_by"), F.when(came, F.col("o_orderdate") + F.make_dt_interval(F.lit(1))).alias("received_date"), F.when(status.isin("completed", "cancelled"), ended).alias("completed_date"),
+    )
+
+
+def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, l_partkey, sent: lines of one order and product summed; dealt by order, which serves what groups or joins by it."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("qty")).repartition("l_orderkey")
+    return lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("qty").cast("bigint").alias("sent"))
+
+
+def _came(part, sent):
+    return F.when(part % 4 != 0, sent).when(part % 8 == 0, sent - 1).otherwise(sent + 1)
+
+
+def _item_state(status, part, sent, came):
+    known = status.isin("received", "flagged", "completed")
+    return F.when(known, F.when(came == sent, "accepted").when(status == "completed", "resolved").otherwise("flagged")).when((status == "draft") & (part % 2 == 0), "confirmed").otherwise("pending")
+
+
+def transfer_items(spark: SparkSession, sf_dir: str, headers: DataFrame | None = None) -> DataFrame:
+    """The items of the headers' transfers (of all, without headers), as operators.transfers.items_of() has them: nothing is collected into arrays."""
+    headers = transfer_headers(spark, sf_dir) if headers is None else headers
+    part, sent, status = F.col("l_partkey"), F.col("sent"), F.col("transfer_status")
+    rows = _sums(spark, sf_dir).join(headers.select(F.col("id").alias("transfer_id"), "from_store", "to_store", F.col("status").alias("transfer_status")), F.col("l_orderkey") == F.col("transfer_id"))
+    known = status.isin("received", "flagged", "completed")
+    return rows.select("transfer_id", "from_store", "to_store", "transfer_status", part.alias("product_id"), sent.alias("sent_qty"), F.when(known, _came(part, sent)).alias("received_qty"), _item_state(status, part, sent, _came(part, sent)).alias("status"))
+
+
+def transfer_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, item_count, total_units of transfers that have items."""
+    return _sums(spark, sf_dir).groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("item_count"), F.sum("sent").cast("bigint").alias("total_units"))
+
+
+def page_units(spark: SparkSession, sf_dir: str, page: DataFrame) -> DataFrame:
+    """The same for one page of headers, whose few rows choose the lines before these are grouped."""
+    lines = _table(spark, sf_dir, "lineitem").join(F.broadcast(page.select(F.col("id").alias("l_orderkey"))), "l_orderkey", "left_semi")
+    sums = lines.groupBy("l_orderkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("sent"))
+    return sums.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("item_count"), F.sum("sent").cast("bigint").alias("total_units"))
+
+
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transfers, lines of one product summed into an item; an order without lines has no items.
 
     Lines are dealt by order once, which serves both groupings and the join.
     """
-    n = _table(spark, sf_dir, "supplier").count()
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("qty")).repartition("l_orderkey")
-    sums = lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("qty").cast("bigint").alias("sent"))
-    part, status = F.col("l_partkey"), _pick(STATUSES, F.col("o_orderkey") % 6)
-    came = F.when(part % 4 != 0, F.col("sent")).when(part % 8 == 0, F.col("sent") - 1).otherwise(F.col("sent") + 1)
+    headers, sums = transfer_headers(spark, sf_dir), _sums(spark, sf_dir)
+    part, status = F.col("l_partkey"), F.col("status")
+    came = _came(part, F.col("sent"))
     nested = sums.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(part.alias("product_id"), F.col("sent").alias("sent_qty"), came.alias("received_qty")))).alias("lines"))
     known = status.isin("received", "flagged", "completed")
-    match = lambda i: i["sent_qty"] == i["received_qty"]
-    state = lambda i: F.when(known, F.when(match(i), "accepted").when(status == "completed", "resolved").otherwise("flagged")).when((status == "draft") & (i["product_id"] % 2 == 0), "confirmed").otherwise("pending")
-    item = lambda i: F.struct(i["product_id"].alias("product_id"), i["sent_qty"].alias("sent_qty"), F.when(known, i["received_qty"]).alias("received_qty"), state(i).alias("status"))
-    joined = _table(spark, sf_dir, "orders").join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    origin, cust = F.col("o_custkey") % n, F.col("o_custkey")
-    return joined.select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("date"), F.col("o_orderdate").alias("created_at"), origin.cast("bigint").alias("from_store"), ((cust + 1 + F.col("o_orderkey") % (n - 1)) % n).cast("bigint").alias("to_store"),
-        status.alias("status"), F.when(F.col("o_orderpriority") == "5-LOW", "Excess").alias("return_reason"), F.coalesce(F.transform("lines", item), F.array().cast("array<struct<product_id: bigint, sent_qty: bigint, received_qty: bigint, status: string>>")).alias("items"),
-        F.lit(None).cast("timestamp_ntz").alias("completed_date"),
-    )
+    state = lambda i: _item_state(status, i["product_id"], i["sent_qty"], i["received_qty"])
+    item = lambda i: F.struct(i["product_id"].alias("product_id"), i["sent_qty"].alias("sent_qty"), F.when(known, i["received_qty"]).alias("received_qty"), state(i).alias("status"), *_said(state(i)))
+    joined = headers.join(nested, F.col("id") == F.col("l_orderkey"), "left")
+    none = F.array().cast("array<struct<product_id: bigint, sent_qty: bigint, received_qty: bigint, status: string, flag_note: string, resolved_by: string, resolved_action: string>>")
+    return joined.select(*headers.columns, F.coalesce(F.transform("lines", item), none).alias("items"))
+
+
+def _said(state):
+    """What is said of an item: resolved ones have been accepted by the first user."""
+    done = state == "resolved"
+    return F.when(done, "as counted").otherwise("").alias("flag_note"), F.when(done, "user-0").alias("resolved_by"), F.when(done, "accept_as_is").alias("resolved_action")
 
 
 def receipts(transfers: DataFrame) -> DataFrame:

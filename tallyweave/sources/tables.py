@@ -10,7 +10,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +75,24 @@ def latest(versions: DataFrame, key: list[str], version: list[str]) -> DataFrame
     return last.select(*(F.col(c) if c in key else F.col("last")[c].alias(c) for c in versions.columns))
 
 
-def upserted(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """base with the rows of `changes` in place of those of the same key; of changes to one key any one that is last in it."""
-    return base.join(changes.select(*key).distinct(), key, "left_anti").select(*changes.columns).unionByName(changes)
+def upserted(base: DataFrame, changes: DataFrame, key: list[str], version: list[str] | None = None) -> DataFrame:
+    """base with the rows of `changes` in place of those of the same key; of several changes to one key the last by `version`.
+
+    Without version the other columns decide, in their order, so that the same row counts whatever the order of the changes.
+    """
+    one = latest(changes, key, version or [c for c in changes.columns if c not in key])
+    return base.join(one.select(*key), key, "left_anti").select(*changes.columns).unionByName(one)
+
+
+def lookup(spark: SparkSession, root: str, table: str, key: str, value) -> DataFrame:
+    """The rows of a table with this key; the filter reaches the scan."""
+    return read(spark, root, table).where(F.col(key) == F.lit(value))
+
+
+def refreshed(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A table as it is now, whatever of its files the session has kept."""
+    spark.catalog.refreshByPath(f"{root}/{table}")
+    return read(spark, root, table)
 
 
 def without(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -118,6 +134,23 @@ def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
     return rows.join(done, "batch", "left_semi").drop("batch")
 
 
+def save_all(spark: SparkSession, root: str, version: int, tables: Mapping[str, DataFrame]) -> bool:
+    """Replaces several tables, such as all reference tables, at once: readers of snapshot() see all new ones or none.
+
+    meta, if among them, gets its data version one higher.
+    """
+    new = {t: versioned(df) if t == "meta" else df for t, df in tables.items()}
+    return commit(spark, root, version, new)
+
+
+def snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows that the last committed version of a table has."""
+    if not exists(spark, f"{root}/_commits"):
+        return spark.createDataFrame([], SCHEMAS[table])
+    last = spark.read.schema("batch long, table_name string").parquet(f"{root}/_commits/*").where(F.col("table_name") == table).agg(F.max("batch")).first()[0]
+    return spark.createDataFrame([], SCHEMAS[table]) if last is None else spark.read.parquet(f"{root}/{table}/batch={last}")
+
+
 def with_retry(work: Callable[[], None], attempts: int = 4, first_wait_s: float = 0.5) -> None:
     """Runs work until it succeeds, waiting twice as long after each failure; the last failure is raised."""
     for n in range(attempts):
@@ -142,9 +175,14 @@ def read_export(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def read_or_backup(spark: SparkSession, root: str, table: str, backup: str) -> DataFrame:
-    """A table of the store, or the same table from its JSON backup where the store can't be read."""
+    """A table of the store, or the same table from its JSON backup where the store is missing or can't be read."""
     if exists(spark, f"{root}/{table}"):
-        return read(spark, root, table)
+        try:
+            rows = read(spark, root, table)
+            rows.agg(*(F.count(c) for c in rows.columns)).collect()  # every page of every file
+            return rows
+        except (PySparkException, Py4JError):  # broken files
+            pass
     return read_export(spark, backup, table)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import loose
 from tallyweave.operators import ledger, sync, thresholds, transfers, views
+from tallyweave.schemas import SCHEMAS
 from tallyweave.sources import tables
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -139,3 +140,60 @@ def test_windows_and_stale_devices(spark):
     log = spark.createDataFrame([("x", at(1)), ("y", at(9)), ("x", at(2))], "DeviceId string, SyncTimestamp timestamp")
     assert [r["device_id"] for r in sync.stale(log, at(9)).collect()] == ["x"]
     assert sync.window(log, at(2), at(9), 0).count() == 1 and sync.window(log, at(2), at(9), 1).count() == 2 and sync.window(log, None, at(8)).count() == 2
+
+
+def test_stores_of_tables_change_together(spark, tmp_path):
+    root = f"file://{tmp_path}/all"
+    frames = lambda name: {"stores": spark.createDataFrame([("a", name, "s", True)], SCHEMAS["stores"]), "meta": spark.createDataFrame([("_v", "3")], SCHEMAS["meta"])}
+    assert tables.snapshot(spark, root, "stores").isEmpty()
+    assert tables.save_all(spark, root, 1, frames("old")) and tables.save_all(spark, root, 2, frames("new")) and not tables.save_all(spark, root, 2, frames("newer"))
+    assert [r["name"] for r in tables.snapshot(spark, root, "stores").collect()] == ["new"] and tables.snapshot(spark, root, "meta").first()["value"] == "4"
+    tables.append(frames("x")["stores"], root + "/t", "stores")
+    assert tables.lookup(spark, root + "/t", "stores", "id", "a").count() == 1 and tables.lookup(spark, root + "/t", "stores", "id", "b").isEmpty()
+    tables.append(frames("x")["stores"], root + "/t", "stores")
+    assert tables.refreshed(spark, root + "/t", "stores").count() == 2
+
+
+def test_upserts_keep_one_row_of_a_key(spark):
+    base = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id int, name string, n int")
+    changes = spark.createDataFrame([(1, "x", 1), (1, "y", 3), (1, "z", 2), (3, "c", 1), (3, "c", 1)], base.schema)
+    assert sorted(map(tuple, tables.upserted(base, changes, ["id"], ["n"]).collect())) == [(1, "y", 3), (2, "b", 0), (3, "c", 1)]
+    assert sorted(map(tuple, tables.upserted(base, changes, ["id"]).collect())) == [(1, "z", 2), (2, "b", 0), (3, "c", 1)]
+
+
+def test_broken_stores_fall_back(spark, tmp_path):
+    (tmp_path / "meta").mkdir()
+    (tmp_path / "meta" / "part-0.parquet").write_bytes(b"PAR1 broken PAR1")
+    backup = tmp_path / "backup.json"
+    backup.write_text('{"meta": [{"key": "_v", "value": "9"}]}')
+    assert tables.read_or_backup(spark, f"file://{tmp_path}", "meta", str(backup)).first()["value"] == "9"
+
+
+def test_push_retries_marks_and_counts(spark):
+    rows = spark.createDataFrame([(f"t{i}", "in", "p", 1, "s", None, None, None, "r", None, "d", i % 3 == 0, None) for i in range(40)], SCHEMAS["transactions"])
+    asked = spark.sparkContext.accumulator(0)
+
+    def post(body: list) -> dict:
+        asked.add(1)
+        if any(x["TransactionId"] == "t1" for x in body):
+            raise OSError("no")
+        return {"processedCount": len(body) - any(x["TransactionId"] == "t2" for x in body)}
+
+    found = sync.pushed(rows, post, "dev", size=5, tries=3, wait_s=0)
+    acks = spark.createDataFrame(found.collect(), found.schema)
+    ids = {i for r in acks.collect() for i in r["txn_ids"]}
+    assert ids == {f"t{i}" for i in range(40) if i % 3} and asked.value == 6 + 2
+    bad = {i for r in acks.collect() if r["error"] or r["processed"] != r["sent"] for i in r["txn_ids"]}
+    assert {"t1", "t2"} <= bad
+    done = sync.marked_synced(rows, sync.confirmed(acks))
+    assert {r["txn_id"] for r in done.collect() if not r["synced"]} == bad
+    totals = sync.push_totals(acks).first()
+    assert tuple(totals) == (6, len(ids - bad), len(bad))
+
+
+def test_drafts_of_stock_takes(spark):
+    lines = spark.createDataFrame([(1, 5, 3), (1, 6, 0), (2, 5, 4)], "store_id long, product_id long, qty long")
+    made = transfers.from_stock_take(lines, 0, F.lit(datetime(2024, 1, 1)), F.lit("me")).collect()
+    assert sorted((r["from_store"], r["to_store"], r["status"], r["created_by"], [(i["product_id"], i["sent_qty"]) for i in r["items"]]) for r in made) == [(0, 1, "draft", "me", [(5, 3)]), (0, 2, "draft", "me", [(5, 4)])]
+    counted = spark.createDataFrame([(1, 5), (3, 5)], "store_id long, product_id long")
+    assert [tuple(r) for r in transfers.without_shortfall(counted, lines).collect()] == [(3, "No shortfalls detected")]
