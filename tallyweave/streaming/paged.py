@@ -13,13 +13,14 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..schemas import WIRE
 
 PAGE, LOOKBACK_MS, RANGES = 1000, 10_000, 16
-COLUMNS = [c for c in WIRE.split(", ") if not c.startswith("SyncTimestamp ")]
+COLUMNS = WIRE.split(", ")
 
 
 def post(url: str, body: dict, timeout_s: float = 30) -> dict:
@@ -45,6 +46,8 @@ def pull(fetch, since_ms: int, page: int = PAGE, lookback_ms: int = LOOKBACK_MS)
 def row(item: dict) -> tuple:
     def value(name: str):
         v = item.get(name)
+        if name == "SyncTimestamp" and v is not None:  # milliseconds or ISO text; watermarks go by it
+            return datetime.fromtimestamp(v / 1000, timezone.utc) if isinstance(v, int | float) else datetime.fromisoformat(v.replace("Z", "+00:00"))
         return v if v is None or name == "Timestamp" else str(v)
 
     return tuple(value(c.split()[0]) for c in COLUMNS)

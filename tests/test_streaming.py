@@ -116,3 +116,6 @@ def test_the_source_streams_from_a_service(spark, tmp_path):
     query.awaitTermination(60)
     server.shutdown()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 24
+    got = paged.row({"TransactionId": "t", "SyncTimestamp": 1_700_000_000_000})
+    assert got[-1] == paged.row({"SyncTimestamp": "2023-11-14T22:13:20Z"})[-1] and paged.row({})[-1] is None
+    assert stream.withWatermark("SyncTimestamp", "10 minutes").isStreaming
