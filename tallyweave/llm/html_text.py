@@ -1,6 +1,6 @@
 """Main text of web pages, with site templates removed.
 
-Pages are parsed into element trees, once. The hashes of their block subtrees are counted per host, once for each different
+Pages are parsed into element trees. The hashes of their block subtrees are counted per host, once for each different
 article; a subtree that recurs with so many articles of its host is a template and goes, within the article too, but never the
 article itself. Running text (a paragraph, heading, list or table) recurs by chance where it is short and on purpose where it is
 quoted or copied, so by itself it is a template only if it is in most articles of its host. What is left within the article (the main element, else the
@@ -308,27 +308,35 @@ def _article_key(host: str, root: Node) -> int:
     return _key(host, 0, *(n.digest for n in _article(root) or [root]))
 
 
-def _parsed(frames):
-    """A page's article, packed, as it is smaller to shuffle than the page; and its subtrees, and whether the article can lose them."""
+def _subtrees(frames):
+    """A page's article, its host, and its subtrees with whether the article can lose them."""
     for frame in frames:
-        articles, hosts, forms, subtrees = [], [], [], []
+        articles, hosts, subtrees = [], [], []
+        for host, source in zip(frame["host"], frame["html"], strict=True):
+            root = parse(source or "")
+            inside = set(article_form(root)[2])
+            articles.append(_article_key(host, root))
+            hosts.append(_key(host))
+            subtrees.append([{"key": _key(host, d), "within": d in inside, "flow": flow} for d, flow in sorted(template_digests(root).items())])
+        yield pd.DataFrame({"article": articles, "host": hosts, "subtrees": subtrees})
+
+
+def _forms(frames):
+    """The pages' articles, packed: they are smaller to shuffle than the pages."""
+    for frame in frames:
+        articles, forms = [], []
         for host, source in zip(frame["host"], frame["html"], strict=True):
             root = parse(source or "")
             lines, around, digests = article_form(root)
             own = [_key(host, d) for d in digests] if host else digests
-            found = template_digests(root) if host else {}
-            inside = set(digests)
             articles.append(_article_key(host, root) if host else None)
             forms.append(zlib.compress(json.dumps((lines, around, own), ensure_ascii=False).encode("utf-8", "surrogatepass"), 1))
-            hosts.append(_key(host) if host else None)
-            subtrees.append([{"key": _key(host, d), "within": d in inside, "flow": flow} for d, flow in sorted(found.items())])
         # a column of whole numbers and nulls: as floats the keys would lose their last bits
-        yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "article": pd.array(articles, dtype="Int64"), "host": pd.array(hosts, dtype="Int64"), "form": forms, "subtrees": subtrees})
+        yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "article": pd.array(articles, dtype="Int64"), "form": forms})
 
 
 def article_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, hot_pages: int = HOT_PAGES) -> tuple[DataFrame, DataFrame]:
     """(article, templates): the templates in an article, as keys; and (article, pages). No list grows with a host."""
-    pages = pages.where("article is not null")
     marked = pages.select("article", "host", F.explode("subtrees").alias("x")).select("article", "host", "x.*")
     totals = pages.groupBy("article").agg(F.count("*").alias("pages"))
     # copies of an article count once: else its own text would be a template
@@ -376,8 +384,9 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, hot_pages: int = H
     """page_id, url, text, n_chars."""
     # ids as text: a column of whole numbers and nulls would become floats
     rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host())
-    parsed = written(mapped(rows, _parsed, "page_id string, url string, article long, host long, form binary, subtrees array<struct<key: long, within: boolean, flow: boolean>>"), "articles")
-    templates, totals = article_templates(parsed, least_pages, hot_pages)
-    forms, templates = salted(parsed.select("page_id", "url", "article", "form"), templates, totals, hot_pages)
+    # pages are parsed for their subtrees and again for their articles: kept between, these would take more disk than they spare time
+    subtrees = mapped(rows.where("host is not null").select("host", "html"), _subtrees, "article long, host long, subtrees array<struct<key: long, within: boolean, flow: boolean>>")
+    templates, totals = article_templates(written(subtrees, "subtrees"), least_pages, hot_pages)
+    forms, templates = salted(mapped(rows, _forms, "page_id string, url string, article long, form binary"), templates, totals, hot_pages)
     joined = forms.join(templates, ["article", "salt"], "left").select("page_id", "url", "form", "templates")
     return mapped(joined, _texts, "page_id long, url string, text string, n_chars long")
