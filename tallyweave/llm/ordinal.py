@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped
+from .shared import mapped, mapped_rows
 
 #: The bound of the sample that is collected to fit a model: so many documents of each grade.
 PER_GRADE = 2500
@@ -168,9 +169,10 @@ def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         for frame in frames:
             score = np.array([m.score(features(t)) for t in frame["text"].fillna("")], dtype=float)
             p = m.probabilities(score)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "expected": p @ names, "tail": 1 - p[:, 0] if len(names) > 1 else np.ones(len(p)), "grade": names[p.argmax(axis=1)] if len(p) else names[:0]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("string").astype("Int64"), "expected": p @ names, "tail": 1 - p[:, 0] if len(names) > 1 else np.ones(len(p)), "grade": names[p.argmax(axis=1)] if len(p) else names[:0]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # ids as text: a column of whole numbers and nulls would become floats
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return mapped(rows, read, "doc_id long, expected double, tail double, grade int")
 
 
@@ -178,11 +180,11 @@ def selected(docs: DataFrame, model: OrdinalModel, least_tail: float) -> DataFra
     """The rows of docs whose tail probability is `least_tail` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def read(frames):
+    def read(found):
         m = shared.value
-        for frame in frames:
-            score = np.array([m.score(features(t)) for t in frame["text"].fillna("")], dtype=float)
-            tail = 1 - m.probabilities(score)[:, 0] if len(m.grades) > 1 else np.ones(len(frame))
-            yield frame[tail >= least_tail]
+        for rows in found:
+            score = np.array([m.score(features(t or "")) for t in rows.column("text").to_pylist()], dtype=float)
+            tail = 1 - m.probabilities(score)[:, 0] if len(m.grades) > 1 else np.ones(rows.num_rows)
+            yield rows.filter(pa.array(tail >= least_tail))
 
-    return mapped(docs, read, docs.schema)
+    return mapped_rows(docs, read, docs.schema)
