@@ -198,7 +198,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
         def frame_of():
             nonlocal held
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            # from the rows: with nulls pandas has made floats of them
+            out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
             rows.clear()
             waiting = {p for some in packer.pool.values() for p, _ in some}
             held = {p: held[p] for p in waiting}
@@ -228,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
         encoder.forget(KEPT_WORDS)
         yield frame_of()
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return mapped(plain, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
