@@ -126,7 +126,10 @@ def arc_records(archives: DataFrame) -> DataFrame:
                     digest = hashlib.sha256(payload).hexdigest()
                     ident = uuid.UUID(bytes=hashlib.sha256(f"{made} {number} {head['URL']} {date} {digest}".encode("utf-8", "surrogatepass")).digest()[:16], version=5)
                     rows.append((int(page[1]) if page else None, head["URL"], head["IP-address"], date, head["Content-type"], http.decode("latin-1"), payload, len(payload), digest, f"<urn:uuid:{ident}>"))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64"})
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
+                # from the rows: with nulls pandas has made floats of them
+                out["page_id"] = pd.array([r[0] for r in rows], dtype="Int64")
+                yield out
 
     return mapped(archives.select("archive"), read, RECORD)
 
@@ -197,7 +200,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         digest = digest or f"sha256:{found}"
                     rows.append((int(page[1]) if page else None, head["WARC-Record-ID"], kind, head.get("WARC-Target-URI"), head["WARC-Date"], payload, n, digest.removeprefix("sha256:") or None, head.get("WARC-Refers-To")))
                 columns = ["page_id", "record_id", "record_type", "url", "date", "payload", "payload_bytes", "payload_digest", "refers_to_id"]
-                yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "payload_bytes": "Int64"})
+                out = pd.DataFrame(rows, columns=columns)
+                for name in ("page_id", "payload_bytes"):
+                    out[name] = pd.array([r[columns.index(name)] for r in rows], dtype="Int64")
+                yield out
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
     return mapped(files, read, "page_id long, record_id string, record_type string, url string, date string, payload binary, payload_bytes long, payload_digest string, refers_to_id string")
