@@ -24,29 +24,35 @@ def read_log(spark: SparkSession, path: str, schema, per_trigger: int | None = N
     return reader.parquet(path)
 
 
-def merge_batch(root: str, device: str | None = None):
-    """A function for foreachBatch: appends what is new in the batch to the store at root."""
+def merge_batch(root: str, device: str | None = None, pack_every: int = 64):
+    """A function for foreachBatch: appends what is new in the batch to the store at root, and packs every so many batches."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            known = tables.committed(spark, root, "transactions").select("txn_id")
             new = sync.live(batch)
             if device is not None:
                 new = new.where(~F.col("DeviceId").eqNullSafe(device))
-            added = sync.from_wire(new).join(known, "txn_id", "left_anti")
+            new = sync.from_wire(new)
+            # packs are in order of txn_id, so the files that hold none of the batch's range of ids aren't read
+            least, most = new.agg(F.min("txn_id"), F.max("txn_id")).first()
+            known = tables.committed(spark, root, "transactions").where(F.col("txn_id").between(least, most)).select("txn_id")
+            added = new.join(known, "txn_id", "left_anti")
             marks = batch.where(F.col("Type") == sync.DELETED).dropDuplicates(["TransactionId"])
             tables.commit(spark, root, batch_id, {"transactions": added, "deleted_transactions": sync.from_wire(marks)})
+            if (batch_id + 1) % pack_every == 0:
+                for table in ("transactions", "deleted_transactions"):
+                    tables.pack(spark, root, table, "txn_id")
         finally:
             batch.unpersist()
 
     return run
 
 
-def start(log: DataFrame, root: str, checkpoint: str, device: str | None = None, every: str | None = None) -> StreamingQuery:
+def start(log: DataFrame, root: str, checkpoint: str, device: str | None = None, every: str | None = None, pack_every: int = 64) -> StreamingQuery:
     """Merges the log into the store at root: all there is, then ends; or `every` so often, such as 30 seconds, until stopped."""
-    writer = log.writeStream.foreachBatch(merge_batch(root, device)).option("checkpointLocation", checkpoint)
+    writer = log.writeStream.foreachBatch(merge_batch(root, device, pack_every)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

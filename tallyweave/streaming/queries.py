@@ -9,13 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import bindings
+from ..sources import bindings, tables
 from . import merge
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: in spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyweave-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="tallyweave-stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
@@ -34,6 +37,15 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.ledger(spark, f"{folder}/store").select("txn_id")
 
 
+def stream_merge_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As stream_merge, with every second micro-batch packed and the batches in packs deleted."""
+    folder = _folder(spark)
+    merge.start(_replayed_log(spark, sf_dir, folder), f"{folder}/store", f"{folder}/checkpoint", pack_every=2).awaitTermination()
+    for table in ("transactions", "deleted_transactions"):
+        tables.delete_packed(spark, f"{folder}/store", table)
+    return merge.ledger(spark, f"{folder}/store").select("txn_id")
+
+
 def stream_on_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """store_id, product_id, on_hand: running sums over the log once, as its last trigger leaves them."""
     folder = _folder(spark)
@@ -49,4 +61,4 @@ def stream_on_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("store_id").cast("string"), F.col("product_id").cast("string"), "on_hand")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_on_hand)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_merge_packed, stream_on_hand)}

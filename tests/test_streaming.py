@@ -11,8 +11,9 @@ from tallyweave.streaming.queries import QUERIES
 def test_merge_in_batches_equals_the_batch_merge(spark, sf):
     log = bindings.sync_log(spark, sf)
     want = {r[0] for r in sync.merged_ids(log.where(F.lit(False)).select(F.col("TransactionId").alias("txn_id")), log).collect()}
-    got = [r[0] for r in QUERIES["stream_merge"](spark, sf).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for name in ("stream_merge", "stream_merge_packed"):
+        got = [r[0] for r in QUERIES[name](spark, sf).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_running_sums_equal_the_batch_sums(spark, sf):
@@ -33,6 +34,38 @@ def test_a_batch_run_again_changes_nothing(spark, sf, tmp_path):
     assert tables.committed(spark, str(tmp_path), "transfers").isEmpty()
 
 
+def test_packs_hold_what_the_batches_held(spark, sf, tmp_path):
+    log, root = bindings.sync_log(spark, sf), str(tmp_path)
+    run = merge.merge_batch(root, pack_every=2)
+    for batch in range(5):
+        run(log.where(f"pmod(cast(TransactionId as int), 7) in ({batch}, {batch + 1})"), batch)  # half of it came before
+    rows = sorted(r[0] for r in merge.ledger(spark, root).select("txn_id").collect())
+    whole = sync.merged_ids(log.where(F.lit(False)).select(F.col("TransactionId").alias("txn_id")), log.where("pmod(cast(TransactionId as int), 7) < 6"))
+    assert rows == sorted(r[0] for r in whole.collect()) and len(rows) > 0
+    assert tables._last_pack(spark, root, "transactions") == 3
+    assert tables.delete_packed(spark, root, "transactions") == 4 and tables.delete_packed(spark, root, "deleted_transactions") == 4
+    assert tables.delete_packed(spark, root, "transactions") == 0
+    # a pack that broke off has no manifest
+    tables.committed(spark, root, "transactions").write.parquet(f"{root}/_packed/transactions/batch=4")
+    run(log, 2)  # a batch run again, whose turn it isn't to pack
+    assert sorted(r[0] for r in merge.ledger(spark, root).select("txn_id").collect()) == rows
+    assert tables.pack(spark, root, "transactions", "txn_id") == 4 and tables.pack(spark, root, "transactions", "txn_id") is None
+    assert sorted(r[0] for r in merge.ledger(spark, root).select("txn_id").collect()) == rows
+    plan = tables.committed(spark, root, "transactions").where(F.col("txn_id").between("1", "2"))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(txn_id,1)" in plan and "LessThanOrEqual(txn_id,2)" in plan
+
+
+def test_batches_without_new_rows_are_committed(spark, sf, tmp_path):
+    log, root = bindings.sync_log(spark, sf), str(tmp_path)
+    run = merge.merge_batch(root, pack_every=1)
+    run(log.where(F.lit(False)), 0)
+    run(log.where(F.col("Type") == sync.DELETED), 1)
+    assert tables.committed(spark, root, "transactions").isEmpty()
+    run(log, 2)
+    whole = sync.merged_ids(log.where(F.lit(False)).select(F.col("TransactionId").alias("txn_id")), log)
+    assert {r[0] for r in merge.ledger(spark, root).select("txn_id").collect()} == {r[0] for r in whole.collect()}
+
+
 class Service:
     """Answers pulls as the real one would: items ingested after `since`, up to the watermark, a page at a time."""
 
