@@ -62,3 +62,13 @@ def stream_on_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_merge_packed, stream_on_hand)}
+
+_MERGED = """SELECT CAST(event_id AS VARCHAR) AS txn_id FROM events WHERE event_type <> 'error' AND CAST(event_id AS VARCHAR) NOT IN
+    (SELECT coalesce(json_extract_string(props, '$.k'), CAST(event_id AS VARCHAR)) FROM events WHERE event_type = 'error')"""
+ORACLE: dict[str, str] = {
+    "stream_merge": _MERGED,
+    "stream_merge_packed": _MERGED,
+    "stream_on_hand": """SELECT CAST(user_id % 7 AS VARCHAR) AS store_id, CAST(event_id % 50 AS VARCHAR) AS product_id,
+        CAST(sum(CASE event_type WHEN 'purchase' THEN -1 WHEN 'error' THEN 0 ELSE 1 END * CAST(trunc(value) AS BIGINT)) AS BIGINT) AS on_hand
+        FROM events GROUP BY 1, 2""",
+}
