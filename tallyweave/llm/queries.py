@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, html_text, minhash_dedup, mixing, ordinal, packing, pii, topk_search, vector_dedup
+from . import archives, chat_format, html_text, minhash_dedup, mixing, ordinal, packing, pii, structure_repair, topk_search, vector_dedup
 from .shared import read_table
 
 
@@ -58,10 +58,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # one more conversation, whose texts hold the template's own control strings
+    trap = F.lit(r"\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), trap.alias("text"))
+    return chat_format.digests(chat_format.formatted(rows.unionByName(more)))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.digests(structure_repair.repaired(structure_repair.damaged(read_table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_vector_dedup, op3_packing, op4_toxicity, op5_mixing, op6_html_text, op7_quality, op8_archives, op9_minhash_dedup, op10_pii, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_vector_dedup, op3_packing, op4_toxicity, op5_mixing, op6_html_text, op7_quality, op8_archives, op9_minhash_dedup, op10_pii, op12_chat_format, op13_structure_repair, pipeline)}
