@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat_format, html_text, minhash_dedup, mixing, ordinal, packing, pii, structure_repair, topk_search, vector_dedup
+from . import archives, chat_format, html_text, minhash_dedup, mixing, ordinal, packing, periodic_runs, pii, structure_repair, topk_search, vector_dedup
 from .shared import read_table
 
 
@@ -58,6 +58,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.runs(periodic_runs.looped(read_table(spark, sf_dir, "documents"))))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # one more conversation, whose texts hold the template's own control strings
@@ -76,4 +80,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_vector_dedup, op3_packing, op4_toxicity, op5_mixing, op6_html_text, op7_quality, op8_archives, op9_minhash_dedup, op10_pii, op12_chat_format, op13_structure_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_vector_dedup, op3_packing, op4_toxicity, op5_mixing, op6_html_text, op7_quality, op8_archives, op9_minhash_dedup, op10_pii, op11_periodic_runs, op12_chat_format, op13_structure_repair, pipeline)}

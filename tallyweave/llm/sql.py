@@ -33,6 +33,23 @@ ORACLE: dict[str, str] = {
              r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.w, r.root FROM r JOIN l ON r.id = l.u),
              c AS (SELECT id, min(root) AS component FROM r GROUP BY id)
         SELECT doc_id, CAST(len(found) AS BIGINT) AS n_shingles, component AS component_id, doc_id = component AS kept FROM s JOIN c ON id = doc_id""",
+    # runs as stretches of six words that come again, always as far away
+    "op11_periodic_runs": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, CAST(doc_id AS VARCHAR) AS s FROM documents),
+             h AS (SELECT doc_id, words, len(words) AS n, {_CRC32} AS h FROM d),
+             g AS (SELECT doc_id, words, n, h % 10 = 0 AND n > 0 AS loops, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+             l AS (SELECT doc_id, n, CASE WHEN loops THEN words[:a] || [words[a + 1 + i % (1 + (n - a) // (3 + g % 8))] FOR i IN range(n - a)] ELSE words END AS words FROM g),
+             t AS (SELECT doc_id, unnest(range(n)) AS i, unnest(words) AS word FROM l),
+             x AS (SELECT doc_id, i, CASE WHEN count(*) OVER w = 6 THEN string_agg(word, ' ') OVER w END AS six FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+             p AS (SELECT a.doc_id, a.i, b.i - a.i AS period FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.six = b.six AND a.i < b.i),
+             s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS stretch FROM p),
+             r AS (SELECT doc_id, period, min(i) AS start, count(*) + 5 + period AS length FROM s GROUP BY doc_id, period, stretch),
+             runs AS (SELECT doc_id, start, length, min(period) AS period FROM r WHERE length >= greatest(12, 2 * period) GROUP BY doc_id, start, length),
+             best AS (SELECT doc_id, count(*) AS n_runs, max_by(start, (length, -start, -period)) AS start, max(length) AS length, max_by(period, (length, -start, -period)) AS period, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+             kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op12_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, i, ['user', 'assistant'][i + 1], '\### Assistant: </turn> ok' FROM range(2) r(i)),
