@@ -156,3 +156,29 @@ def sync_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(deleted, "deleted").otherwise(F.col("event_type")).alias("Type"), F.col("value").cast("bigint").cast("string").alias("Qty"), F.lit("").alias("StaffName"), F.lit("").alias("Reason"), F.col("user_id").cast("string").alias("DeviceId"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("Timestamp"), F.lit("").alias("TransferId"), F.when(deleted, F.get_json_object("props", "$.k")).alias("TargetTransactionId"), F.col("ts").cast("timestamp").alias("SyncTimestamp"),
     )
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of commands, as operators.replay.COMMAND has them, made of orders and lines; many of them aren't allowed."""
+    n = _table(spark, sf_dir, "supplier").count()
+    k, cust, part, sent = F.col("l_orderkey"), F.col("o_custkey"), F.col("l_partkey"), F.col("sent")
+    heads = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = lambda p, q: F.sort_array(F.collect_list(F.struct(p.alias("product_id"), q.alias("qty"))))
+    edited = F.when((k % 2 == 0) & (part % 3 == 0), sent + 2).otherwise(sent)
+    came = F.when(part % 4 == 0, sent - 1).otherwise(edited)
+    whole = _sums(spark, sf_dir).groupBy("l_orderkey").agg(
+        lines(part, sent).alias("all"), lines(part, edited).alias("edits"), lines(F.when(part % 11 != 0, part), came).alias("came"), F.min(part).alias("low"), F.max(part).alias("high"),
+    ).join(heads, k == F.col("o_orderkey"))
+    none = F.lit(None).cast("array<struct<product_id: bigint, qty: bigint>>")
+
+    def command(seq: int, step: str, when=F.lit(True), product=None, lines=none):
+        value = F.lit(None).cast("bigint") if product is None else F.col(product)
+        return F.when(when, F.struct(F.lit(seq).cast("bigint").alias("seq"), F.lit(step).alias("step"), value.alias("product_id"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("bigint").alias("qty"), lines.alias("lines")))
+
+    steps = F.array(command(0, "create", lines=F.col("all")), command(1, "confirm", product="low"), command(2, "confirm", k % 3 == 0, "high"), command(3, "submit", lines=F.col("edits")), command(4, "cancel", k % 7 == 0), command(5, "receive", lines=F.filter("came", lambda x: x["product_id"].isNotNull())), command(10**9, "submit"))
+    ends = [k.alias("transfer_id"), (cust % n).cast("bigint").alias("from_store"), F.when(k % 29 == 0, cust % n).otherwise((cust + 1 + k % (n - 1)) % n).cast("bigint").alias("to_store"), (k % 2 == 0).alias("draft")]
+    first = whole.select(*ends, F.explode(F.array_compact(steps)).alias("c")).select("transfer_id", "c.seq", "c.step", "from_store", "to_store", "draft", "c.product_id", "c.action", "c.qty", "c.lines")
+    action = F.element_at(F.array(F.lit("accept_as_is"), F.lit("adjust"), F.lit("reject")), (part % 3 + 1).cast("int"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    flags = _sums(spark, sf_dir).where((part % 4 == 0) | (part % 11 == 0)).select(k.alias("transfer_id"), (part + 10).alias("seq"), F.lit("resolve").alias("step"), null("bigint", "from_store"), null("bigint", "to_store"), null("boolean", "draft"), part.alias("product_id"), action.alias("action"), F.floor(sent / 2).cast("bigint").alias("qty"), none.alias("lines"))
+    return first.unionByName(flags)

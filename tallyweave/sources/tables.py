@@ -2,7 +2,7 @@
 
 A store of tables is a folder with one Parquet folder for each. Facts are appended and the latest version of a row counts, so
 nothing is rewritten for one record; reference tables are small and are overwritten. Several tables change together through a
-commit: all files of a batch are written first, and the batch counts once its manifest is there.
+commit: all files of a batch are written first, and the batch counts once its entry is in the log (commit_log).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEMAS
+from .commit_log import CommitLog, State
 
 REFERENCE_TABLES = ("product_types", "categories", "products", "stores", "users", "thresholds")
 FACT_TABLES = ("transactions", "deleted_transactions", "transfers", "cost_history", "stock_takes", "deliveries")
@@ -111,82 +112,31 @@ def counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 # --- commits over several tables -------------------------------------------------------------------------------------
 
 
-def commit(spark: SparkSession, root: str, batch_id: int, tables: Mapping[str, DataFrame]) -> bool:
+def commit(spark: SparkSession, root: str, batch_id: int, tables: Mapping[str, DataFrame], writer: str | None = None, epoch: int | None = None) -> bool:
     """Appends to several tables at once. A batch that is committed already changes nothing; one that broke off is written anew."""
-    manifest = f"{root}/_commits/{batch_id:012d}"
-    if exists(spark, manifest):
-        return False
-    for table, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
-    names = spark.createDataFrame([(batch_id, t) for t in tables], "batch long, table_name string")
-    names.coalesce(1).write.mode("overwrite").parquet(manifest)
-    return True
-
-
-def _manifest(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """batch: what the manifests at path name of a table."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], "batch long")
-    return spark.read.schema("batch long, table_name string").parquet(f"{path}/*").where(F.col("table_name") == table).select("batch").distinct()
-
-
-def _last_pack(spark: SparkSession, root: str, table: str) -> int:
-    last = _manifest(spark, f"{root}/_packs", table).agg(F.max("batch")).first()[0]
-    return -1 if last is None else last
-
+    return CommitLog(spark, root).commit(tables, batch_id, writer, epoch)
 
-def _open_batches(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """batch: those that are committed but in no pack yet."""
-    return _manifest(spark, f"{root}/_commits", table).where(F.col("batch") > _last_pack(spark, root, table))
 
+def committed(spark: SparkSession, root: str, table: str, state: State | None = None) -> DataFrame:
+    """The rows of a table's committed batches, from packs as far as there are any; at the last number, or at that of a state."""
+    return CommitLog(spark, root).read(table, state)
 
-def _folders(spark: SparkSession, path: str, numbers: DataFrame) -> DataFrame | None:
-    """The rows of those numbered folders at path that `numbers` names; None where there are none."""
-    if numbers.isEmpty():
-        return None
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return rows.join(numbers, "batch", "left_semi").drop("batch")
 
-
-def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The rows of a table's committed batches, from packs as far as there are any."""
-    packed = _folders(spark, f"{root}/_packed/{table}", _manifest(spark, f"{root}/_packs", table))
-    new = _folders(spark, f"{root}/{table}", _open_batches(spark, root, table))
-    if packed is None or new is None:
-        rows = new if packed is None else packed
-        return spark.createDataFrame([], SCHEMAS[table]) if rows is None else rows
-    return packed.unionByName(new)
+def _last_pack(spark: SparkSession, root: str, table: str) -> int:
+    return CommitLog(spark, root).state().last_pack(table)
 
 
 def pack(spark: SparkSession, root: str, table: str, key: str) -> int | None:
-    """Writes the committed batches since the last pack as one, in order of key; its number, or None where there are no such batches.
-
-    Each row is packed once. Files have narrow ranges of keys, so a filter on the key skips most of them. A pack counts once its
-    manifest is there; one that broke off is left aside. The batches stay until delete_packed().
-    """
-    batches = _open_batches(spark, root, table)
-    last = batches.agg(F.max("batch")).first()[0]
-    if last is None:
-        return None
-    rows = _folders(spark, f"{root}/{table}", batches)
-    rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{root}/_packed/{table}/batch={last}")
-    name = spark.createDataFrame([(last, table)], "batch long, table_name string")
-    name.coalesce(1).write.mode("overwrite").parquet(f"{root}/_packs/{table}-{last:012d}")
-    return last
+    """Writes the committed batches since the last pack as one, in order of key; its number, or None where there are no such batches."""
+    return CommitLog(spark, root).pack(table, key)
 
 
 def delete_packed(spark: SparkSession, root: str, table: str) -> int:
     """Deletes the folders of batches that are in packs, for when nobody reads them any more; how many there were.
 
-    Their manifests stay, so a batch that is run again still changes nothing. Not for tables that snapshot() reads.
+    Their batches still count, so one that is run again changes nothing. Not for tables that snapshot() reads.
     """
-    last = _last_pack(spark, root, table)
-    where, fs = _hadoop_path(spark, f"{root}/{table}")
-    old = [x.getPath() for x in (fs.listStatus(where) if fs.exists(where) else [])]
-    old = [x for x in old if x.getName().startswith("batch=") and int(x.getName().removeprefix("batch=")) <= last]
-    for x in old:
-        fs.delete(x, True)
-    return len(old)
+    return CommitLog(spark, root).delete_packed(table)
 
 
 def save_all(spark: SparkSession, root: str, version: int, tables: Mapping[str, DataFrame]) -> bool:
@@ -198,12 +148,11 @@ def save_all(spark: SparkSession, root: str, version: int, tables: Mapping[str,
     return commit(spark, root, version, new)
 
 
-def snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
+def snapshot(spark: SparkSession, root: str, table: str, state: State | None = None) -> DataFrame:
     """The rows that the last committed version of a table has."""
-    if not exists(spark, f"{root}/_commits"):
-        return spark.createDataFrame([], SCHEMAS[table])
-    last = spark.read.schema("batch long, table_name string").parquet(f"{root}/_commits/*").where(F.col("table_name") == table).agg(F.max("batch")).first()[0]
-    return spark.createDataFrame([], SCHEMAS[table]) if last is None else spark.read.parquet(f"{root}/{table}/batch={last}")
+    log = CommitLog(spark, root)
+    state = state or log.state()
+    return log.read(table, state, max((x["batch"] for x in state.live.get(table, {}).values()), default=None))
 
 
 def with_retry(work: Callable[[], None], attempts: int = 4, first_wait_s: float = 0.5) -> None:
