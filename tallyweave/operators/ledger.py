@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 INFLOW = ("in", "return_in", "transfer_in", "adjustment_in")
 OUTFLOW = ("out", "transfer_out", "wastage", "adjustment_out")
 
+# Fixed value: the reason that a tombstone gives, before the id.
+REASON = "Transaction deleted: "
+
 
 def sign(kind: Column | str = "type") -> Column:
     kind = F.col(kind) if isinstance(kind, str) else kind
@@ -51,9 +54,12 @@ def archived(ledger: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def tombstones(ledger: DataFrame, ids: DataFrame) -> DataFrame:
-    """txn_id, type, store_id, product_id, qty, target_txn_id: one marker for each removed transaction."""
+    """txn_id, type, store_id, product_id, qty, reason, target_txn_id: one marker for each removed transaction.
+
+    They are rows of the ledger like others and unsynced until a push of them is confirmed, so that one that fails stays queued.
+    """
     gone = archived(ledger, ids).dropDuplicates(["txn_id"])
-    return gone.select(F.concat(F.lit("del_"), "txn_id").alias("txn_id"), F.lit("deleted").alias("type"), "store_id", "product_id", F.lit(0).cast("bigint").alias("qty"), F.col("txn_id").alias("target_txn_id"))
+    return gone.select(F.concat(F.lit("del_"), "txn_id").alias("txn_id"), F.lit("deleted").alias("type"), "store_id", "product_id", F.lit(0).cast("bigint").alias("qty"), F.concat(F.lit(REASON), "txn_id").alias("reason"), F.col("txn_id").alias("target_txn_id"), F.lit(False).alias("synced"))
 
 
 def type_summary(ledger: DataFrame) -> DataFrame:

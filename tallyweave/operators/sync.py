@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.loose import first_text, is_true, whole_number
+from ..sources.tables import latest
 
 DELETED = "deleted"
 BATCH = 50
@@ -22,11 +23,13 @@ ROWS_A_BUCKET = 100_000
 
 
 def to_wire(ledger: DataFrame, device: str) -> DataFrame:
-    """Transactions as they are sent; a row without a device gets this one."""
+    """Transactions as they are sent; a row without a device gets this one. TargetTransactionId is null but for tombstones."""
+    target = F.col("target_txn_id").cast("string") if "target_txn_id" in ledger.columns else F.lit(None).cast("string")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return ledger.select(
         F.col("txn_id").alias("TransactionId"), text("date").alias("Date"), text("store_id").alias("StoreId"), text("product_id").alias("ProductId"), text("type").alias("Type"), F.coalesce("qty", F.lit(0)).cast("bigint").alias("Qty"),
         text("staff_name").alias("StaffName"), text("reason").alias("Reason"), first_text("device_id", default=device).alias("DeviceId"), F.unix_millis(F.col("created_at").cast("timestamp")).alias("Timestamp"), text("transfer_id").alias("TransferId"),
+        F.nullif(target, F.lit("")).alias("TargetTransactionId"),
     )
 
 
@@ -94,9 +97,20 @@ def window(log: DataFrame, since: datetime | None, until: datetime, lookback_s:
     return out if since is None else out.where(F.col(time) > F.lit(since) - F.make_dt_interval(secs=F.lit(float(lookback_s))))
 
 
+def one_copy(pulled: DataFrame) -> DataFrame:
+    """One row of each TransactionId: of several copies the last ingested, then the last written, then the last by the other columns."""
+    first = [c for c in ("SyncTimestamp", "Timestamp") if c in pulled.columns]
+    return latest(pulled, ["TransactionId"], [*first, *(c for c in pulled.columns if c not in (*first, "TransactionId"))])
+
+
 def live(pulled: DataFrame) -> DataFrame:
-    """One row of each TransactionId that is neither blank nor a tombstone."""
-    return pulled.where(~F.col("Type").eqNullSafe(DELETED) & (first_text(F.col("TransactionId").cast("string")) != "")).dropDuplicates(["TransactionId"])
+    """One row of each TransactionId that is neither blank nor a tombstone, as one_copy() has it."""
+    return one_copy(pulled.where(~F.col("Type").eqNullSafe(DELETED) & (first_text(F.col("TransactionId").cast("string")) != "")))
+
+
+def marks(pulled: DataFrame) -> DataFrame:
+    """One row of each tombstone."""
+    return one_copy(pulled.where(F.col("Type") == DELETED))
 
 
 def targets(pulled: DataFrame) -> DataFrame:

@@ -15,9 +15,13 @@ def _is_global():
 
 
 def resolved(pairs: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """pairs (store_id, product_id and whatever else) with min_qty and optimum_qty: the store's row as a whole, else the global one."""
-    own = thresholds.where(~_is_global()).select("store_id", "product_id", F.struct("min_qty", "optimum_qty").alias("own"))
-    common = thresholds.where(_is_global()).select("product_id", F.struct("min_qty", "optimum_qty").alias("common"))
+    """pairs (store_id, product_id and whatever else) with min_qty and optimum_qty: the store's row as a whole, else the global one.
+
+    Of several rows of one key the least (min_qty, optimum_qty) counts, nulls first: a table has no first row.
+    """
+    least = F.min(F.struct("min_qty", "optimum_qty"))
+    own = thresholds.where(~_is_global()).groupBy("store_id", "product_id").agg(least.alias("own"))
+    common = thresholds.where(_is_global()).groupBy("product_id").agg(least.alias("common"))
     joined = pairs.join(own, ["store_id", "product_id"], "left").join(common, "product_id", "left").withColumn("t", F.coalesce("own", "common"))
     return joined.select(*pairs.columns, F.col("t.min_qty").alias("min_qty"), F.col("t.optimum_qty").alias("optimum_qty"))
 

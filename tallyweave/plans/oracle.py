@@ -43,6 +43,44 @@ _VIEWS = {
         SELECT CAST(event_id AS VARCHAR) AS txn_id, ts, CAST(user_id AS VARCHAR) AS device, CASE WHEN event_type = 'error' THEN 'deleted' ELSE event_type END AS type,
                CASE WHEN event_type = 'error' THEN json_extract_string(props, '$.k') END AS target, user_id % 7 AS store, value
         FROM events""",
+    "answers": """
+        SELECT event_id AS batch_no, CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'SUCCESS' WHEN 'error' THEN 'error' WHEN 'signup' THEN '' END AS status,
+               CAST(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 <> 0 THEN CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 = 0 THEN 49 ELSE 50 END END AS BIGINT) AS processed FROM events""",
+    "unsynced": "SELECT txn_id, n // 50 AS batch_no FROM (SELECT txn_id, row_number() OVER (ORDER BY txn_id) - 1 AS n FROM ledger WHERE transfer_id % 3 <> 0)",
+    "acks": "SELECT * FROM (SELECT batch_no, count(*) AS sent FROM unsynced GROUP BY batch_no) LEFT JOIN answers USING (batch_no)",
+    "commands": """
+        SELECT transfer_id AS k, row_number() OVER (PARTITION BY transfer_id ORDER BY seq) AS n, step, product_id AS p, action, qty, lines FROM (
+            SELECT transfer_id, seq, step, CASE seq WHEN 1 THEN low WHEN 2 THEN high END AS product_id, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS qty, CASE seq WHEN 0 THEN every WHEN 3 THEN edits WHEN 5 THEN came END AS lines
+            FROM (SELECT transfer_id, min(product_id) AS low, max(product_id) AS high, list({'p': product_id, 'q': sent_qty} ORDER BY product_id) AS every, list({'p': product_id, 'q': edited} ORDER BY product_id) AS edits,
+                      list({'p': product_id, 'q': CASE WHEN product_id % 4 = 0 THEN sent_qty - 1 ELSE edited END} ORDER BY product_id) FILTER (product_id % 11 <> 0) AS came
+                  FROM (SELECT *, CASE WHEN transfer_id % 2 = 0 AND product_id % 3 = 0 THEN sent_qty + 2 ELSE sent_qty END AS edited FROM sums) GROUP BY transfer_id),
+                 (VALUES (0, 'create'), (1, 'confirm'), (2, 'confirm'), (3, 'submit'), (4, 'cancel'), (5, 'receive'), (1000000000, 'submit')) AS c(seq, step)
+            WHERE (seq <> 2 OR transfer_id % 3 = 0) AND (seq <> 4 OR transfer_id % 7 = 0)
+            UNION ALL SELECT transfer_id, product_id + 10, 'resolve', product_id, (['accept_as_is','adjust','reject'])[CAST(product_id % 3 + 1 AS INT)], sent_qty // 2, NULL FROM sums WHERE product_id % 4 = 0 OR product_id % 11 = 0)""",
+    "judged": """
+        SELECT f.k, c.n, step, p, action, qty, lines, status, items, CASE
+            WHEN step = 'create' THEN CASE WHEN f.k % 29 = 0 THEN 'same store' END
+            WHEN step IN ('confirm', 'submit') AND status IS DISTINCT FROM 'draft' THEN 'not a draft'
+            WHEN step = 'confirm' AND NOT list_contains([i.p FOR i IN items], p) THEN 'item not found'
+            WHEN step = 'submit' AND len([i FOR i IN items IF i.s = 'confirmed']) = 0 THEN 'no confirmed items'
+            WHEN step = 'receive' AND status IS DISTINCT FROM 'in_transit' THEN 'not in transit'
+            WHEN step = 'cancel' AND (status IS NULL OR status NOT IN ('draft', 'in_transit')) THEN 'cannot cancel'
+            WHEN step = 'resolve' AND (status IS NULL OR status NOT IN ('received', 'in_transit')) THEN 'invalid transfer'
+            WHEN step = 'resolve' AND len([i FOR i IN items IF i.p = p AND i.s = 'flagged']) = 0 THEN 'flagged item not found' END AS error
+        FROM (SELECT k, n, status, items FROM fold) f JOIN commands c ON c.k = f.k AND c.n = f.n + 1""",
+    "fold": """
+        SELECT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST([] AS STRUCT(p BIGINT, sent BIGINT, got BIGINT, s VARCHAR)[]) AS items, CAST(NULL AS VARCHAR) AS step, CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS units_out, CAST(0 AS BIGINT) AS units_in FROM commands WHERE commands.n = 1
+        UNION ALL SELECT k, n, CASE WHEN error IS NOT NULL THEN status WHEN step = 'create' THEN CASE WHEN k % 2 = 0 THEN 'draft' ELSE 'in_transit' END WHEN step = 'confirm' THEN status WHEN step = 'submit' THEN 'in_transit' WHEN step = 'cancel' THEN 'cancelled'
+                WHEN step = 'receive' THEN CASE WHEN list_contains([i.s FOR i IN after], 'flagged') THEN 'received' ELSE 'completed' END WHEN len([i FOR i IN after IF i.s NOT IN ('accepted', 'resolved')]) = 0 THEN 'completed' ELSE status END,
+            after, step, error,
+            CAST(CASE WHEN error IS NULL AND (step = 'submit' OR step = 'create' AND k % 2 = 1) THEN coalesce(list_sum([i.sent FOR i IN after]), 0) ELSE 0 END AS BIGINT),
+            CAST(CASE WHEN error IS NOT NULL THEN 0 WHEN step = 'cancel' AND status = 'in_transit' THEN coalesce(list_sum([i.sent FOR i IN after]), 0) WHEN step = 'receive' THEN coalesce(list_sum([i.got FOR i IN after IF i.s = 'accepted']), 0)
+                 WHEN step = 'resolve' THEN list_sum([CASE action WHEN 'reject' THEN i.sent WHEN 'adjust' THEN greatest(qty, i.sent) ELSE greatest(i.got, i.sent) END FOR i IN items IF i.p = p]) ELSE 0 END AS BIGINT)
+        FROM (SELECT *, CASE WHEN error IS NOT NULL THEN items WHEN step = 'create' THEN [{'p': x.p, 'sent': x.q, 'got': CAST(NULL AS BIGINT), 's': 'pending'} FOR x IN lines]
+                WHEN step = 'confirm' THEN [{'p': i.p, 'sent': i.sent, 'got': i.got, 's': CASE WHEN i.p <> p THEN i.s WHEN i.s = 'confirmed' THEN 'pending' ELSE 'confirmed' END} FOR i IN items]
+                WHEN step = 'submit' THEN [{'p': i.p, 'sent': coalesce(list_extract([x.q FOR x IN lines IF x.p = i.p], 1), i.sent), 'got': CAST(NULL AS BIGINT), 's': 'pending'} FOR i IN items IF i.s = 'confirmed']
+                WHEN step = 'receive' THEN [{'p': i.p, 'sent': i.sent, 'got': coalesce(list_extract([x.q FOR x IN lines IF x.p = i.p], 1), 0), 's': CASE WHEN coalesce(list_extract([x.q FOR x IN lines IF x.p = i.p], 1), 0) = i.sent THEN 'accepted' ELSE 'flagged' END} FOR i IN items]
+                WHEN step = 'resolve' THEN [{'p': i.p, 'sent': i.sent, 'got': i.got, 's': CASE WHEN i.p = p THEN 'resolved' ELSE i.s END} FOR i IN items] ELSE items END AS after FROM (JUDGED))""",
     "local_rows": "SELECT txn_id FROM log WHERE ts <= TIMESTAMP '2024-01-15' AND type <> 'deleted'",
     "pull": "SELECT * FROM log WHERE ts > TIMESTAMP '2024-01-15' - INTERVAL 10 SECOND AND ts <= TIMESTAMP '2024-01-20'",
     "boot": "SELECT * FROM log WHERE ts <= TIMESTAMP '2024-01-20'",
@@ -61,9 +99,12 @@ def _sql(body: str) -> str:
                 used.add(name)
                 todo.append(_VIEWS[name])
     named = [f"{n} AS ({v})" for n, v in _VIEWS.items() if n in used]
-    return (f"WITH {', '.join(named)} " if named else "") + body
+    recursive = "RECURSIVE " if "fold" in used else ""
+    return (f"WITH {recursive}{', '.join(named)} " if named else "") + body
 
 
+_VIEWS["fold"] = _VIEWS["fold"].replace("JUDGED", _VIEWS.pop("judged"))
+
 _HUB = "SELECT * FROM hub"
 _ROLES = "(['director','head_office','franchisee','store_manager','staff'])[CAST(c_custkey % 5 + 1 AS INT)]"
 _BODIES = {
@@ -163,16 +204,26 @@ _BODIES = {
     "sync_leader": "SELECT user_id AS tab_id FROM events ORDER BY date_trunc('hour', ts), user_id LIMIT 1",
     "migration_wire": """
         SELECT txn_id AS "TransactionId", strftime(date, '%Y-%m-%d') AS "Date", CAST(store_id AS VARCHAR) AS "StoreId", CAST(product_id AS VARCHAR) AS "ProductId", type AS "Type", qty AS "Qty", l_linestatus AS "StaffName", l_returnflag AS "Reason",
-               'migration_v2' AS "DeviceId", epoch_ms(created_at) AS "Timestamp", CAST(transfer_id AS VARCHAR) AS "TransferId" FROM ledger""",
-    "push_totals": "SELECT CAST(ceil(n / 50.0) AS BIGINT) AS batches, n - n % 50 AS sent, n % 50 AS failed FROM (SELECT count(*) AS n FROM ledger WHERE transfer_id % 3 <> 0)",
-    "map_items": "SELECT l_orderkey AS id, l_partkey AS product_id, CAST(sum(CAST(l_quantity AS BIGINT) - 10) AS BIGINT) AS qty FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2 HAVING sum(CAST(l_quantity AS BIGINT) - 10) > 0",
+               'migration_v2' AS "DeviceId", epoch_ms(created_at) AS "Timestamp", CAST(transfer_id AS VARCHAR) AS "TransferId", CAST(NULL AS VARCHAR) AS "TargetTransactionId" FROM ledger""",
+    "push_totals": "SELECT count(*) AS batches, CAST(coalesce(sum(sent) FILTER (processed = sent), 0) AS BIGINT) AS sent, CAST(coalesce(sum(sent) FILTER (processed IS DISTINCT FROM sent), 0) AS BIGINT) AS failed FROM acks",
+    "sync_confirmed": """
+        SELECT synced, count(*) AS n FROM (SELECT transfer_id % 3 = 0 OR coalesce(processed = sent, false) AS synced FROM ledger LEFT JOIN unsynced USING (txn_id) LEFT JOIN acks USING (batch_no)) GROUP BY synced""",
+    "map_items": "SELECT l_orderkey AS id, l_partkey AS product_id, CAST(sum(CAST(l_quantity AS BIGINT) - 10) AS BIGINT) AS qty FROM lineitem GROUP BY 1, 2 HAVING sum(CAST(l_quantity AS BIGINT) - 10) > 0",
     "value_rules_more": """
         SELECT p_partkey, lpad(lower(to_hex(CAST(p_size AS BIGINT))), 4, '0') AS hex, CAST(p_size AS BIGINT) AS unhex, CAST(p_size * p_size AS BIGINT) AS squared, replace(p_name, ' ', '|') AS joined, TRY_CAST(p_brand AS DOUBLE) IS NULL AS not_a_number,
                'key,size' AS keys, CAST(p_size + p_partkey AS BIGINT) AS total, CAST(1 AS BIGINT) AS more FROM part""",
     "sync_push_batch": """
         SELECT txn_id AS "TransactionId", strftime(date, '%Y-%m-%d') AS "Date", CAST(store_id AS VARCHAR) AS "StoreId", CAST(product_id AS VARCHAR) AS "ProductId", type AS "Type", qty AS "Qty", l_linestatus AS "StaffName", l_returnflag AS "Reason",
-               CAST(transfer_id % 10 AS VARCHAR) AS "DeviceId", epoch_ms(created_at) AS "Timestamp", CAST(transfer_id AS VARCHAR) AS "TransferId" FROM ledger WHERE transfer_id % 3 <> 0""",
-    "sync_ack_matrix": "SELECT status, CAST(n AS BIGINT) AS processed, CAST(2 AS BIGINT) AS sent, coalesce(n = 2, false) AS synced FROM (VALUES ('ok'), ('SUCCESS'), ('error'), (''), (NULL)) AS a(status), (VALUES (2), (1), (0), (NULL)) AS c(n)",
+               CAST(transfer_id % 10 AS VARCHAR) AS "DeviceId", epoch_ms(created_at) AS "Timestamp", CAST(transfer_id AS VARCHAR) AS "TransferId", CAST(NULL AS VARCHAR) AS "TargetTransactionId" FROM ledger WHERE transfer_id % 3 <> 0
+        UNION ALL SELECT 'del_' || txn_id, '', CAST(store_id AS VARCHAR), CAST(product_id AS VARCHAR), 'deleted', 0, '', 'Transaction deleted: ' || txn_id, 'dev', NULL, '', txn_id FROM ledger WHERE transfer_id % 17 = 0""",
+    "wire_round_trip": """
+        SELECT txn_id, type, CAST(product_id AS VARCHAR) AS product_id, qty, CAST(store_id AS VARCHAR) AS store_id, CAST(transfer_id AS VARCHAR) AS transfer_id, l_returnflag AS reason, CAST(transfer_id % 10 AS VARCHAR) AS device_id, true AS synced, CAST(NULL AS VARCHAR) AS target_txn_id
+        FROM ledger WHERE transfer_id % 3 <> 0
+        UNION ALL SELECT 'del_' || txn_id, 'deleted', CAST(product_id AS VARCHAR), 0, CAST(store_id AS VARCHAR), NULL, 'Transaction deleted: ' || txn_id, 'dev', true, txn_id FROM ledger WHERE transfer_id % 17 = 0""",
+    "sync_ack_matrix": "SELECT status, processed, count(*) AS n, coalesce(processed = 50, false) AS synced FROM answers GROUP BY status, processed",
+    "transfer_replay": """
+        SELECT k AS transfer_id, max_by(status, n) FILTER (n > 0) AS status, count(*) FILTER (n > 0 AND error IS NULL) AS accepted, count(error) AS refused, CAST(sum(units_out) AS BIGINT) AS units_out, CAST(sum(units_in) AS BIGINT) AS units_in FROM fold GROUP BY k""",
+    "transfer_replay_refused": "SELECT step, error, count(*) AS n FROM fold WHERE error IS NOT NULL GROUP BY step, error",
     "sync_mark_synced": "SELECT transfer_id % 2 = 0 OR transfer_id % 3 = 0 AS synced, count(*) AS n FROM ledger GROUP BY 1",
     "sync_pull_merge": """
         SELECT txn_id FROM (SELECT txn_id FROM local_rows UNION SELECT txn_id FROM pull WHERE type <> 'deleted' AND device <> '7') WHERE txn_id NOT IN (SELECT coalesce(target, txn_id) FROM pull WHERE type = 'deleted')""",

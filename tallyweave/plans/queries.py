@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import loose
-from ..operators import ledger, sync, thresholds, transfers, views
+from ..operators import ledger, replay, sync, thresholds, transfers, views
 from ..sources import bindings as b
 from ..sources import tables
 
@@ -58,7 +58,7 @@ def deleted_archive(s, d):
 
 
 def tombstones(s, d):
-    return ledger.tombstones(b.ledger(s, d), _gone(s, d))
+    return ledger.tombstones(b.ledger(s, d), _gone(s, d)).drop("reason", "synced")
 
 
 def txn_type_summary(s, d):
@@ -275,15 +275,41 @@ def transfer_prune(s, d):
     return kept.select("id", "status", *_days(kept, "completed_date"))
 
 
+def _unsynced(s, d):
+    """What is to be pushed: rows of the ledger that aren't synced, and the tombstones of what is removed."""
+    rows = b.ledger(s, d)
+    return sync.unsynced(rows.unionByName(ledger.tombstones(rows, _gone(s, d)), allowMissingColumns=True))
+
+
 def sync_push_batch(s, d):
-    return sync.to_wire(sync.unsynced(b.ledger(s, d)), "dev")
+    return sync.to_wire(_unsynced(s, d), "dev")
+
+
+def wire_round_trip(s, d):
+    """What another device gets of a push."""
+    return sync.from_wire(sync.to_wire(_unsynced(s, d), "dev")).select("txn_id", "type", "product_id", "qty", "store_id", "transfer_id", "reason", "device_id", "synced", "target_txn_id")
+
+
+def transfer_replay(s, d):
+    return replay.final_states(replay.replayed(b.commands(s, d)))
+
+
+def transfer_replay_refused(s, d):
+    return replay.refusals(replay.replayed(b.commands(s, d)))
+
+
+def _answers(s, d):
+    """batch_no, status, processed: answers to pushes, made of events. Some are of a part, some say nothing of how many."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    status = F.when(F.col("event_type") == "click", "ok").when(F.col("event_type") == "view", "SUCCESS").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "")
+    return e.select(F.col("event_id").alias("batch_no"), status.alias("status"), F.when(k % 10 != 0, F.when(k % 7 == 0, 49).otherwise(50)).cast("bigint").alias("processed"))
 
 
 def sync_ack_matrix(s, d):
-    """Every answer a server may give to a push of 2 rows."""
-    rows = [(st, n, 2) for st in ("ok", "SUCCESS", "error", "", None) for n in (2, 1, 0, None)]
-    cases = s.createDataFrame(rows, "status string, processed bigint, sent bigint")
-    return cases.select("status", "processed", "sent", sync.acknowledged(F.col("processed"), F.col("sent")).alias("synced"))
+    """Which answers count as confirmation of a push of 50 rows."""
+    said = _answers(s, d).groupBy("status", "processed").agg(F.count("*").alias("n"))
+    return said.select("status", "processed", "n", sync.acknowledged(F.col("processed"), F.lit(50)).alias("synced"))
 
 
 def sync_mark_synced(s, d):
@@ -322,17 +348,22 @@ def migration_wire(s, d):
     return sync.to_migration(b.ledger(s, d))
 
 
+def _acks(s, d):
+    """Batches of what is unsynced, as sync.pushed() has them, with the answers that they got; some got none."""
+    sent = sync.batched(sync.unsynced(b.ledger(s, d))).groupBy("batch_no").agg(F.count("*").alias("sent"))
+    return sent.join(_answers(s, d), "batch_no", "left")
+
+
 def push_totals(s, d):
-    """Totals of a push to a service that refuses some batches and takes a part of others."""
-    unsynced = sync.unsynced(b.ledger(s, d))
+    return sync.push_totals(_acks(s, d))
 
-    def post(body: list[dict]) -> dict:
-        n = len(body)
-        if n < sync.BATCH:
-            raise OSError("unavailable")
-        return {"status": "ok", "processedCount": n}
 
-    return sync.push_totals(sync.pushed(unsynced, post, "dev", wait_s=0))
+def sync_confirmed(s, d):
+    """How many rows of each device are synced once the confirmed batches are marked."""
+    rows = b.ledger(s, d)
+    batches = sync.batched(sync.unsynced(rows)).select("txn_id", "batch_no")
+    done = batches.join(_acks(s, d).where(sync.acknowledged(F.col("processed"), F.col("sent"))), "batch_no", "left_semi")
+    return sync.marked_synced(rows, done).groupBy("synced").agg(F.count("*").alias("n"))
 
 
 def sync_replay(s, d):
@@ -396,7 +427,7 @@ def value_rules(s, d):
 
 def map_items(s, d):
     """Items of a map of quantities by product, as an edited order holds them; only positive quantities count."""
-    lines = s.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 50 = 0").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("bigint") - 10).alias("qty"))
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("bigint") - 10).alias("qty"))
     maps = lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("qty").alias("qty")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_partkey", "qty"))).alias("m"))
     rows = maps.select(F.col("l_orderkey").alias("id"), F.explode(F.map_entries(F.map_filter("m", lambda k, v: v > 0))).alias("e"))
     return rows.select("id", F.col("e.key").alias("product_id"), F.col("e.value").alias("qty"))
@@ -420,6 +451,6 @@ QUERIES: dict[str, Query] = {f"hub_{t}": _hub(t) for t in views.TABS} | {
         hub_page, hub_last_page, hub_page_count, hub_visibility, transfer_list, product_search, transfer_units, transfer_names, transfer_item_names, notification_payload, capability_matrix, flag_diff,
         transfer_create, transfer_validate, transfer_draft_confirm, transfer_draft_submit, transfer_receive, transfer_receive_entries, transfer_resolve_flags, transfer_resolved_status, transfer_cancel, transfer_cancelled, transfer_conservation, transfer_prune,
         sync_push_batch, sync_ack_matrix, sync_mark_synced, sync_pull_merge, sync_bootstrap, sync_bootstrap_in_order, sync_replay, sync_tombstones, sync_overlap, stale_devices, migration_batches, latest_versions, table_counts, store_upsert, json_props, value_rules,
-        transfer_ledger, transfer_by_id, prune_count, stocktake_transfer, stocktake_errors, threshold_saved, sync_merged_rows, sync_leader, migration_wire, push_totals, map_items, value_rules_more,
+        transfer_ledger, transfer_by_id, prune_count, stocktake_transfer, stocktake_errors, threshold_saved, sync_merged_rows, sync_leader, migration_wire, push_totals, sync_confirmed, wire_round_trip, transfer_replay, transfer_replay_refused, map_items, value_rules_more,
     )
 }

@@ -18,6 +18,7 @@ SCHEMAS = {
     "stock_takes": "id string, store_id string, date date, lines array<struct<product_id: string, counted: bigint>>",
     "deliveries": "id string, store_id string, date date",
     "meta": "key string, value string",
+    "stock_changes": "store_id string, product_id string, moved bigint, n bigint",
 }
 
 #: A transaction as it is sent and received.

@@ -1,7 +1,8 @@
 """Continuous merging of the synchronised log: file or paged sources, micro-batches that may be replayed, derived views.
 
-Time is ingest time throughout: business dates are never a cursor, so late entries aren't lost. A micro-batch is written under
-its own number and counts once its manifest is there, so a batch that is run again after a failure changes nothing.
+Time is ingest time throughout: business dates are never a cursor, so late entries aren't lost. A micro-batch is committed under
+its own number, so a batch that is run again after a failure changes nothing. A stream that starts claims the store: one that was
+thought dead and still runs can't commit any more.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from ..functions.loose import first_text
 from ..operators import sync
 from ..operators.ledger import delta
 from ..sources import tables
+from ..sources.commit_log import CommitLog
 
 
 def read_log(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
@@ -24,7 +26,11 @@ def read_log(spark: SparkSession, path: str, schema, per_trigger: int | None = N
     return reader.parquet(path)
 
 
-def merge_batch(root: str, device: str | None = None, pack_every: int = 64):
+#: The name under which a merging stream claims its store.
+WRITER = "merge"
+
+
+def merge_batch(root: str, device: str | None = None, pack_every: int = 64, epoch: int | None = None):
     """A function for foreachBatch: appends what is new in the batch to the store at root, and packs every so many batches."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -39,8 +45,7 @@ def merge_batch(root: str, device: str | None = None, pack_every: int = 64):
             least, most = new.agg(F.min("txn_id"), F.max("txn_id")).first()
             known = tables.committed(spark, root, "transactions").where(F.col("txn_id").between(least, most)).select("txn_id")
             added = new.join(known, "txn_id", "left_anti")
-            marks = batch.where(F.col("Type") == sync.DELETED).dropDuplicates(["TransactionId"])
-            tables.commit(spark, root, batch_id, {"transactions": added, "deleted_transactions": sync.from_wire(marks)})
+            tables.commit(spark, root, batch_id, {"transactions": added, "deleted_transactions": sync.from_wire(sync.marks(batch))}, WRITER, epoch)
             if (batch_id + 1) % pack_every == 0:
                 for table in ("transactions", "deleted_transactions"):
                     tables.pack(spark, root, table, "txn_id")
@@ -52,14 +57,16 @@ def merge_batch(root: str, device: str | None = None, pack_every: int = 64):
 
 def start(log: DataFrame, root: str, checkpoint: str, device: str | None = None, every: str | None = None, pack_every: int = 64) -> StreamingQuery:
     """Merges the log into the store at root: all there is, then ends; or `every` so often, such as 30 seconds, until stopped."""
-    writer = log.writeStream.foreachBatch(merge_batch(root, device, pack_every)).option("checkpointLocation", checkpoint)
+    epoch = CommitLog(log.sparkSession, root).claim(WRITER)
+    writer = log.writeStream.foreachBatch(merge_batch(root, device, pack_every, epoch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def ledger(spark: SparkSession, root: str) -> DataFrame:
-    """The merged ledger: committed transactions without what any committed tombstone removes."""
-    rows = tables.committed(spark, root, "transactions")
-    gone = tables.committed(spark, root, "deleted_transactions").select(first_text("target_txn_id", "txn_id").alias("txn_id")).distinct()
+def ledger(spark: SparkSession, root: str, at: int | None = None) -> DataFrame:
+    """The merged ledger: committed transactions without what any committed tombstone removes, both read at one number, the last or `at`."""
+    state = CommitLog(spark, root).state(at)
+    rows = tables.committed(spark, root, "transactions", state)
+    gone = tables.committed(spark, root, "deleted_transactions", state).select(first_text("target_txn_id", "txn_id").alias("txn_id")).distinct()
     return rows.join(gone, "txn_id", "left_anti")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,14 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ledger
+from ..plans.oracle import ORACLE as plans_oracle
 from ..sources import bindings, tables
-from . import merge
+from ..sources.commit_log import CommitLog
+from . import merge, stock
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: in spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = root or "file://" + tempfile.mkdtemp(prefix="tallyweave-stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
@@ -49,7 +53,7 @@ def stream_merge_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_on_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """store_id, product_id, on_hand: running sums over the log once, as its last trigger leaves them."""
     folder = _folder(spark)
-    log = bindings.sync_log(spark, sf_dir).withColumn("Type", F.when(F.col("Type") == "purchase", "out").when(F.col("Type") == "deleted", "deleted").otherwise("in"))
+    log = _typed(bindings.sync_log(spark, sf_dir))
     log.write.parquet(f"{folder}/log")
     sums = merge.on_hand(merge.without_replays(merge.read_log(spark, f"{folder}/log", log.schema)))
 
@@ -61,7 +65,53 @@ def stream_on_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("store_id").cast("string"), F.col("product_id").cast("string"), "on_hand")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_merge_packed, stream_on_hand)}
+def _typed(log: DataFrame) -> DataFrame:
+    """The log with types that move stock."""
+    return log.withColumn("Type", F.when(F.col("Type") == "purchase", "out").when(F.col("Type") == "deleted", "deleted").otherwise("in"))
+
+
+def stream_on_hand_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """store_id, product_id, on_hand kept up to date by a stream in which rows and their tombstones come in any order and batch, some twice."""
+    folder = _folder(spark)
+    log = _typed(bindings.sync_log(spark, sf_dir))
+    log.repartition(4, F.xxhash64("TransactionId")).write.parquet(f"{folder}/log")
+    log.where(F.col("SyncTimestamp") > F.lit("2024-01-25").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    stream = merge.read_log(spark, f"{folder}/log", log.schema, per_trigger=2)
+    stock.start(stream, f"{folder}/store", f"{folder}/checkpoint", pack_every=2).awaitTermination()
+    return stock.on_hand(spark, f"{folder}/store")
+
+
+def commit_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """store_id, product_id, on_hand of a ledger and its deletions that were committed together in parts, some more than once.
+
+    One part is begun by a driver that dies before its entry is in the log, one is committed twice, and one is tried by a writer
+    whose successor has claimed the store. Both tables are read at one number.
+    """
+    from ..sources.commit_log import StaleWriter
+
+    root = f"{_folder(spark)}/store"
+    log, rows = CommitLog(spark, root), bindings.ledger(spark, sf_dir).select("txn_id", "type", "store_id", "product_id", "qty", "transfer_id")
+
+    def part(n: int) -> dict[str, DataFrame]:
+        mine = rows.where(F.col("transfer_id") % 4 == n)
+        return {"ledger": mine, "ledger_deleted": mine.where("transfer_id % 17 = 0").select("txn_id")}
+
+    old = log.claim("import")
+    log.commit(part(0), 0, "import", old)
+    part(1)["ledger"].write.parquet(f"{root}/_data/ledger/died")  # and nothing in the log
+    new = log.claim("import")
+    try:
+        log.commit(part(1), 1, "import", old)
+    except StaleWriter:
+        pass
+    for n in (1, 2, 2, 3, 0):
+        log.commit(part(n), n, "import", new)
+    log.pack("ledger", "txn_id")
+    state = log.state()
+    return ledger.on_hand(ledger.removed(log.read("ledger", state), log.read("ledger_deleted", state)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_merge_packed, stream_on_hand, stream_on_hand_after_delete, commit_recovered)}
 
 _MERGED = """SELECT CAST(event_id AS VARCHAR) AS txn_id FROM events WHERE event_type <> 'error' AND CAST(event_id AS VARCHAR) NOT IN
     (SELECT coalesce(json_extract_string(props, '$.k'), CAST(event_id AS VARCHAR)) FROM events WHERE event_type = 'error')"""
@@ -71,4 +121,8 @@ ORACLE: dict[str, str] = {
     "stream_on_hand": """SELECT CAST(user_id % 7 AS VARCHAR) AS store_id, CAST(event_id % 50 AS VARCHAR) AS product_id,
         CAST(sum(CASE event_type WHEN 'purchase' THEN -1 WHEN 'error' THEN 0 ELSE 1 END * CAST(trunc(value) AS BIGINT)) AS BIGINT) AS on_hand
         FROM events GROUP BY 1, 2""",
+    "stream_on_hand_after_delete": """SELECT CAST(user_id % 7 AS VARCHAR) AS store_id, CAST(event_id % 50 AS VARCHAR) AS product_id,
+        CAST(sum(CASE event_type WHEN 'purchase' THEN -1 ELSE 1 END * CAST(trunc(value) AS BIGINT)) AS BIGINT) AS on_hand
+        FROM events WHERE event_type <> 'error' AND CAST(event_id AS VARCHAR) NOT IN (SELECT coalesce(json_extract_string(props, '$.k'), CAST(event_id AS VARCHAR)) FROM events WHERE event_type = 'error') GROUP BY 1, 2""",
+    "commit_recovered": plans_oracle["on_hand_after_delete"],
 }
