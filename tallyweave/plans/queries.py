@@ -128,7 +128,7 @@ def hub_last_page(s, d):
 
 def _hub_page(s, d, tab: str, number: int):
     """The page is cut from the headers; only then the items of its few rows are summed."""
-    rows = views.page(views.in_tab(b.transfer_headers(s, d), tab), number)
+    rows = views.page_by_counts(views.in_tab(b.transfer_headers(s, d), tab), number)
     return views.hub_summary(rows, b.page_units(s, d, rows))
 
 

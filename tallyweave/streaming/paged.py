@@ -1,21 +1,29 @@
-"""A streaming source over a paged pull service, as a Python data source.
+"""A source over a paged pull service, for batches and streams, as a Python data source.
 
-The service answers (since, skip, top, watermark) with a page of items and its own time. Offsets are the service's ingest
-times, and a batch is what it ingested after one, less a lookback, and up to the next: the cursor moves only after a batch.
+The service answers (since, skip or after, top, watermark) with a page of items, by ingest time and id, and its own time. Offsets
+of a stream are the service's ingest times, and a micro-batch is what it ingested after one, less a lookback, and up to the next:
+the cursor moves only after a batch. A batch read takes bounds on SyncTimestamp into its requests
+(spark.sql.python.filterPushdown.enabled), so that the service sends no more than is asked for. Call load() anew for each query
+then: Spark keeps the bounds of the last query with what load() has given.
 
-The span of a batch is cut into ranges of time, which executors read page by page; the driver only asks for the service's time.
+What lies between two bounds is cut into ranges of time, which executors read page by page; the driver asks for the service's
+time and for counts alone. A service that counts (count) has its ranges halved until none holds more than its share, so the first
+pull of a full log is spread however long the time before it was empty; else ranges are equally long. A service that says where a
+page ends (next) is asked for what comes after that time and id, so that rows that come in meanwhile shift no page; else pages
+are skipped by number. Without a time of the service's own the cursor moves by this machine's clock.
 
-Options: url (of the service), page (rows in one page), lookback_ms, ranges (of one batch). Any callable can stand in for the service in tests.
+Options: url (of the service), page (rows in one page), lookback_ms, ranges (of one batch), since (ms). Any callable can stand in for the service in tests.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
 
 from ..schemas import WIRE
 
@@ -82,43 +90,121 @@ class Range(InputPartition):
         self.since, self.until = since, until
 
 
-class RangeReader(DataSourceStreamReader):
+def milliseconds(at) -> int | None:
+    """A time that is a number, ISO text or a datetime, in ms; None if it is none of these."""
+    if isinstance(at, str):
+        try:
+            at = datetime.fromisoformat(at.replace("Z", "+00:00"))
+        except ValueError:
+            return int(at) if at.isdigit() else None
+    if isinstance(at, datetime):
+        at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+        return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(milliseconds=1)
+    return int(at) if at else None
+
+
+class _Ranges:
+    """What batches and streams have in common: the service, ranges of time, and their pages."""
+
     def __init__(self, options) -> None:
-        self.url, self.page, self.lookback = options["url"], int(options.get("page", PAGE)), int(options.get("lookback_ms", LOOKBACK_MS))
-        self.since, self.ranges = int(options.get("since", 0)), int(options.get("ranges", RANGES))
-        self.last = self.since
+        self.url, self.page = options["url"], int(options.get("page", PAGE))
+        self.ranges, self.since = int(options.get("ranges", RANGES)), int(options.get("since", 0))
 
     def fetch(self, body: dict) -> dict:
         return post(self.url, body)
 
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"at": self.since}
+    def clock(self) -> int:
+        return int(time.time() * 1000)
 
-    def latestOffset(self, *_) -> dict:  # noqa: N802
-        answer = self.fetch({"since": self.last, "skip": 0, "top": 1, "watermark": None})
-        self.last = max(self.last, int(answer.get("serverTimestamp") or 0))
-        return {"at": self.last}
+    def now(self, since: int) -> int:
+        """The service's time, else ours."""
+        answer = self.fetch({"since": since, "skip": 0, "top": 1, "watermark": None})
+        return milliseconds(answer.get("serverTimestamp")) or self.clock()
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        begin, until = max(0, start["at"] - self.lookback), end["at"]
-        if until <= start["at"]:
+    def count(self, since: int, until: int) -> int | None:
+        return self.fetch({"since": since, "skip": 0, "top": 0, "watermark": until, "count": True}).get("count")
+
+    def cut(self, begin: int, until: int, counted: bool = True) -> list[Range]:
+        """Ranges of what was ingested after begin and up to until; none that the service says is empty."""
+        if until <= begin:
             return []
-        n = min(self.ranges, until - begin)
-        cuts = [begin + (until - begin) * i // n for i in range(n + 1)]
-        return [Range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        total = self.count(begin, until) if counted else None
+        if total is None:
+            n = min(self.ranges, until - begin)
+            cuts = [begin + (until - begin) * i // n for i in range(n + 1)]
+            return [Range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        share, todo, out = -(-total // self.ranges), [(begin, until, total)], []
+        while todo:
+            a, b, n = todo.pop()
+            if n <= share or b - a == 1:
+                out += [Range(a, b)] if n else []
+            else:
+                middle = (a + b) // 2
+                left = self.count(a, middle)
+                todo += [(middle, b, n - left), (a, middle, left)]
+        return out
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        skip = 0
+        skip, after = 0, None
         while True:
-            got = self.fetch({"since": partition.since, "skip": skip, "top": self.page, "watermark": partition.until}).get("items") or []
+            body = {"since": partition.since, "skip": skip, "top": self.page, "watermark": partition.until}
+            answer = self.fetch(body if after is None else body | {"after": after})
+            got = answer.get("items") or []
             yield from map(row, got)
             if len(got) < self.page:
                 return
-            skip += self.page
+            after = answer.get("next")
+            skip = 0 if after is not None else skip + self.page
+
+
+class RangeReader(_Ranges, DataSourceStreamReader):
+    def __init__(self, options) -> None:
+        super().__init__(options)
+        self.lookback, self.counted = int(options.get("lookback_ms", LOOKBACK_MS)), str(options.get("count", "")).lower() == "true"
+        self.last = self.since
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"at": self.since}
+
+    def latestOffset(self, *_) -> dict:  # noqa: N802
+        self.last = max(self.last, self.now(self.last))
+        return {"at": self.last}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        return [] if end["at"] <= start["at"] else self.cut(max(0, start["at"] - self.lookback), end["at"], self.counted)
+
+
+class BatchReader(_Ranges, DataSourceReader):
+    """What the service has ingested within the bounds of a query, up to its time now."""
+
+    def __init__(self, options) -> None:
+        super().__init__(options)
+        self.until, self.counted = None, str(options.get("count", "")).lower() == "true"
+
+    def pushFilters(self, filters):  # noqa: N802
+        """Takes bounds on SyncTimestamp; Spark tests all others. Times finer than ms widen the request, and Spark tests these too."""
+        for f in filters:
+            at = milliseconds(f.value) if getattr(f, "attribute", None) == ("SyncTimestamp",) and isinstance(getattr(f, "value", None), datetime) else None
+            if at is not None and isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
+                self.since = max(self.since, at - (0 if isinstance(f, GreaterThan) else 1))
+            if at is not None and isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+                self.until = min(at + (f.value.microsecond % 1000 > 0), at + 1 if self.until is None else self.until)
+            if at is None or f.value.microsecond % 1000 or isinstance(f, LessThan | EqualTo | GreaterThanOrEqual):
+                yield f
+
+    def partitions(self) -> list[Range]:
+        now = self.now(self.since)
+        return self.cut(max(0, self.since), now if self.until is None else min(now, self.until), self.counted) or [Range(0, 0)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        return super().read(partition) if partition.until > partition.since else iter(())
 
 
 class PagedPull(DataSource):
-    """spark.dataSource.register(PagedPull); spark.readStream.format("paged_pull").option("url", ...).load()"""
+    """spark.dataSource.register(PagedPull); spark.read or spark.readStream, .format("paged_pull").option("url", ...).load()
+
+    count=true: the service counts.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -130,4 +216,5 @@ class PagedPull(DataSource):
     def streamReader(self, schema) -> RangeReader:  # noqa: N802
         return RangeReader(self.options)
 
-
+    def reader(self, schema) -> BatchReader:
+        return BatchReader(self.options)

@@ -197,3 +197,12 @@ def test_drafts_of_stock_takes(spark):
     assert sorted((r["from_store"], r["to_store"], r["status"], r["created_by"], [(i["product_id"], i["sent_qty"]) for i in r["items"]]) for r in made) == [(0, 1, "draft", "me", [(5, 3)]), (0, 2, "draft", "me", [(5, 4)])]
     counted = spark.createDataFrame([(1, 5), (3, 5)], "store_id long, product_id long")
     assert [tuple(r) for r in transfers.without_shortfall(counted, lines).collect()] == [(3, "No shortfalls detected")]
+
+
+def test_pages_by_counts_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(views, "SORTED", 5)
+    rows = [(i, None if i % 11 == 0 else datetime(2020 + i % 4, 1 + i % 3, 1 + i % 2, i % 5, 0, i % 7)) for i in range(237)]
+    t = spark.createDataFrame(rows, "id long, created_at timestamp").withColumn("status", F.lit("x")).cache()
+    for n in (0, 3, 7, 14, 15, 10**9):
+        assert [r["id"] for r in views.page_by_counts(t, n).collect()] == [r["id"] for r in views.page(t, n).collect()]
+    assert views.page_by_counts(t.where("false"), 3).isEmpty() and [r["id"] for r in views.page_by_counts(t.where("created_at is null"), 1).collect()] == [r["id"] for r in views.page(t.where("created_at is null"), 1).collect()]

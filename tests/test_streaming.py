@@ -152,3 +152,94 @@ def test_the_source_streams_from_a_service(spark, tmp_path):
     got = paged.row({"TransactionId": "t", "SyncTimestamp": 1_700_000_000_000})
     assert got[-1] == paged.row({"SyncTimestamp": "2023-11-14T22:13:20Z"})[-1] and paged.row({})[-1] is None
     assert stream.withWatermark("SyncTimestamp", "10 minutes").isStreaming
+
+
+class Counting:
+    """A service of many rows at few times, that counts and says where pages end."""
+
+    def __init__(self, times, now):
+        self.rows = sorted((t, f"t{i:05d}") for i, t in enumerate(times))
+        self.now, self.calls = now, []
+
+    def __call__(self, body):
+        self.calls.append(body)
+        until = body["watermark"] or self.now
+        found = [r for r in self.rows if body["since"] < r[0] <= until]
+        if body.get("count"):
+            return {"count": len(found)}
+        found = [r for r in found if "after" not in body or list(r) > body["after"]][body["skip"] :][: body["top"]]
+        items = [{"TransactionId": i, "Timestamp": t, "SyncTimestamp": t} for t, i in found]
+        return {"items": items, "serverTimestamp": self.now} | ({"next": list(found[-1])} if found else {})
+
+
+def test_ranges_hold_their_share():
+    import random
+
+    start, rng = 1_700_000_000_000, random.Random(1)
+    service = Counting([start + int(rng.random() ** 3 * 10_000_000) for _ in range(5000)], start + 20_000_000)
+
+    class Reader(paged.RangeReader):
+        def fetch(self, body):
+            return service(body)
+
+    reader = Reader({"url": "x", "page": "100", "ranges": "16", "count": "true"})
+    parts = reader.partitions({"at": 0}, reader.latestOffset())
+    sizes = [len(list(reader.read(p))) for p in parts]
+    assert sum(sizes) == 5000 and max(sizes) <= 2 * sum(sizes) / len(sizes) and len([c for c in service.calls if c.get("count")]) < 150
+    pages = [c for c in service.calls if c["top"] == 100]
+    assert any("after" in c for c in pages) and all(c["skip"] == 0 for c in pages)
+    # rows that come in meanwhile shift no page
+    first = reader.read(parts[0])
+    got = [next(first)[0] for _ in range(100)]
+    service.rows = sorted(service.rows + [(parts[0].since + 1, f"s{n}") for n in range(50)])
+    got += [r[0] for r in first]
+    assert len(got) == len(set(got)) == sizes[0]
+
+
+def test_a_service_without_a_clock():
+    class Reader(paged.RangeReader):
+        def fetch(self, body):
+            return {"items": []}
+
+        def clock(self):
+            return 5_000
+
+    reader = Reader({"url": "x"})
+    assert reader.latestOffset() == {"at": 5_000} and [paged.milliseconds(x) for x in ("2023-11-14T22:13:20Z", 7, "7", None, "never")] == [1_700_000_000_000, 7, 7, None, None]
+
+
+def test_bounds_reach_the_service(spark):
+    import json
+    import threading
+    from datetime import datetime, timezone
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    at = 1_700_000_000_000
+    service = Counting([at + 1000 * n for n in range(400)], at + 10_000_000)
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            answer = json.dumps(service(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(paged.PagedPull)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    time = lambda n: datetime.fromtimestamp((at + 1000 * n) / 1000, timezone.utc)
+    load = lambda: spark.read.format("paged_pull").option("url", f"http://127.0.0.1:{server.server_port}").option("page", "20").option("count", "true").load()
+    c = F.col("SyncTimestamp")
+    cases = [((c > time(100)) & (c <= time(150)), 50), ((c >= time(100)) & (c < time(150)) & (F.col("TransactionId") != "t00120"), 49), (c == time(7), 1), (c > time(1000), 0)]
+    for where, n in cases:
+        service.calls.clear()
+        assert load().where(where).count() == n
+        asked = [x for x in service.calls if x["top"] == 20]
+        assert all(x["since"] >= at + 6000 for x in asked) and sum(len(service(x)["items"]) for x in list(asked)) <= n + 3
+    assert load().count() == 400
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    server.shutdown()
