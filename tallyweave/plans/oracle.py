@@ -238,6 +238,10 @@ _BODIES = {
     "table_counts": "SELECT 'stores' AS table_name, count(*) AS n_rows FROM supplier UNION ALL SELECT 'products', count(*) FROM part UNION ALL SELECT 'users', count(*) FROM customer UNION ALL SELECT 'transactions', count(*) FROM lineitem UNION ALL SELECT 'transfers', count(*) FROM orders",
     "store_upsert": "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey - 5 NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) UNION ALL SELECT s_suppkey + 5, CASE WHEN s_suppkey % 4 = 0 THEN lower(s_name) ELSE upper(s_name) END FROM supplier WHERE s_suppkey % 2 = 0",
     "json_props": "SELECT event_type, CAST(sum(k) AS BIGINT) AS k_sum, count(*) FILTER (k > 50) AS k_high, CAST(max(length(props)) AS BIGINT) AS longest FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
+    "loose_json": """
+        SELECT CASE event_id % 7 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'not an object' WHEN 2 THEN 'k is not bigint' END AS problem, event_type, count(*) AS n,
+               CAST(sum(CASE WHEN event_id % 7 IN (3, 5, 6) THEN CAST(json_extract(props, '$.k') AS BIGINT) END) AS BIGINT) AS k_sum FROM events GROUP BY 1, 2""",
+    "loose_conversations": "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role",
     "value_rules": """
         SELECT p_partkey, CAST(coalesce(nullif(p_size % 5, 0), nullif(p_size % 3, 0), -1) AS BIGINT) AS truthy, CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT) AS parsed, CAST(0 AS BIGINT) AS no_number,
                replace(lower(p_name), '_', ' ') AS lowered, lpad(regexp_replace(p_brand, '[^0-9]', '', 'g'), 5, '0') AS padded FROM part""",

@@ -8,9 +8,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import loose
+from ..functions import loose as values
 from ..operators import ledger, replay, sync, thresholds, transfers, views
 from ..sources import bindings as b
+from ..sources import loose_json as loose
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -415,13 +416,30 @@ def json_props(s, d):
     return rows.groupBy("event_type").agg(F.sum(k).cast("bigint").alias("k_sum"), F.count_if(k > 50).alias("k_high"), F.max(F.length("props")).cast("bigint").alias("longest"))
 
 
+def loose_json(s, d):
+    """problem, event_type, n, k_sum of the events' properties as loose JSON, some of which are broken or of other types."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    m = F.col("event_id") % 7
+    text = F.when(m == 0, F.substring("props", 1, 4)).when(m == 1, "[1, 2]").when(m == 2, '{"k": {"x": 1}}').when(m == 3, F.concat(F.lit('{"k": "'), F.get_json_object("props", "$.k"), F.lit(' pieces"}'))).when(m == 4, '{"k": null}').otherwise(F.col("props"))
+    done = loose.typed(loose.parsed(e.select("event_type", text.alias("value"))), "k bigint", loose=("k",))
+    return done.groupBy("problem", "event_type").agg(F.count("*").alias("n"), F.sum("k").cast("bigint").alias("k_sum"))
+
+
+def loose_conversations(s, d):
+    """role, n, chars of all conversations, written as JSON texts and read again."""
+    c = s.read.parquet(f"{d}/conversations.parquet")
+    texts = c.select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))
+    done = loose.typed(loose.parsed(texts), "conv_id bigint, turn bigint, role string, text string")
+    return done.where("problem is null").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
 def value_rules(s, d):
     """The loose value rules over texts and numbers of the part table."""
     p = s.read.parquet(f"{d}/part.parquet")
     digits = F.regexp_replace("p_brand", "[^0-9]", "")
     return p.select(
-        "p_partkey", loose.first_truthy(F.col("p_size") % 5, F.col("p_size") % 3, F.lit(-1)).cast("bigint").alias("truthy"), loose.whole_number(F.concat(F.lit(" "), digits, F.lit("x"))).alias("parsed"),
-        loose.whole_number("p_type").alias("no_number"), F.translate(F.lower("p_name"), "_", " ").alias("lowered"), F.lpad(digits, 5, "0").alias("padded"),
+        "p_partkey", values.first_truthy(F.col("p_size") % 5, F.col("p_size") % 3, F.lit(-1)).cast("bigint").alias("truthy"), values.whole_number(F.concat(F.lit(" "), digits, F.lit("x"))).alias("parsed"),
+        values.whole_number("p_type").alias("no_number"), F.translate(F.lower("p_name"), "_", " ").alias("lowered"), F.lpad(digits, 5, "0").alias("padded"),
     )
 
 
@@ -450,7 +468,7 @@ QUERIES: dict[str, Query] = {f"hub_{t}": _hub(t) for t in views.TABS} | {
         on_hand, running_balance, on_hand_after_delete, deleted_archive, tombstones, txn_type_summary, ledger_lineage, threshold_resolved, shortfall_by_store, low_stock, threshold_upsert, stocktake_draft, product_picker,
         hub_page, hub_last_page, hub_page_count, hub_visibility, transfer_list, product_search, transfer_units, transfer_names, transfer_item_names, notification_payload, capability_matrix, flag_diff,
         transfer_create, transfer_validate, transfer_draft_confirm, transfer_draft_submit, transfer_receive, transfer_receive_entries, transfer_resolve_flags, transfer_resolved_status, transfer_cancel, transfer_cancelled, transfer_conservation, transfer_prune,
-        sync_push_batch, sync_ack_matrix, sync_mark_synced, sync_pull_merge, sync_bootstrap, sync_bootstrap_in_order, sync_replay, sync_tombstones, sync_overlap, stale_devices, migration_batches, latest_versions, table_counts, store_upsert, json_props, value_rules,
+        sync_push_batch, sync_ack_matrix, sync_mark_synced, sync_pull_merge, sync_bootstrap, sync_bootstrap_in_order, sync_replay, sync_tombstones, sync_overlap, stale_devices, migration_batches, latest_versions, table_counts, store_upsert, json_props, loose_json, loose_conversations, value_rules,
         transfer_ledger, transfer_by_id, prune_count, stocktake_transfer, stocktake_errors, threshold_saved, sync_merged_rows, sync_leader, migration_wire, push_totals, sync_confirmed, wire_round_trip, transfer_replay, transfer_replay_refused, map_items, value_rules_more,
     )
 }

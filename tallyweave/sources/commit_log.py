@@ -15,10 +15,11 @@ whole, and readers begin from there.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -156,6 +157,34 @@ class CommitLog:
         reader = self.spark.read.schema(SCHEMAS[table]) if table in SCHEMAS else self.spark.read
         return reader.parquet(*paths)
 
+    def read_bucketed(self, table: str, state: State | None = None) -> DataFrame:
+        """As read(), with the buckets that all folders of the table are laid out in known to Spark.
+
+        A join on the key then moves only the other side, and a row is looked for in its bucket alone. Plain rows where folders
+        have other layouts or none. The session knows the table by a name of its own until the next state is read.
+        """
+        state = state or self.state()
+        folders = state.live.get(table, {})
+        laid_out = {tuple(x.get("buckets", ())) for x in folders.values()}
+        if table not in SCHEMAS or len(laid_out) != 1 or () in laid_out:
+            return self.read(table, state)
+        (key, n), stem = laid_out.pop(), f"tallyweave_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{table}"
+        name = f"{stem}_{state.version}"
+        if not self.spark.catalog.tableExists(name):
+            for t in self.spark.catalog.listTables(pattern=f"{stem}_*"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+            self.spark.sql(f"CREATE TABLE {name} ({SCHEMAS[table]}, _folder INT) USING parquet PARTITIONED BY (_folder) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{self.root}/{_DATA}/{table}'")
+            parts = " ".join(f"PARTITION (_folder={i}) LOCATION '{self.root}/{f}'" for i, f in enumerate(folders))
+            self.spark.sql(f"ALTER TABLE {name} ADD {parts}")
+        return self.spark.table(name).drop("_folder")
+
+    def history(self) -> DataFrame:
+        """version, batch, time, note (map) of the entries that are in the log."""
+        schema = "version bigint, batch bigint, time double, note map<string, bigint>"
+        if not any(n[0].isdigit() for n in self._names(_LOG)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("pathGlobFilter", "[0-9]*.json").json(f"{self.root}/{_LOG}")
+
     # --- writing ---
 
     def claim(self, writer: str) -> int:
@@ -176,12 +205,15 @@ class CommitLog:
             self._put(f"state-{number:020d}.json", vars(state))
         return True
 
-    def commit(self, tables: Mapping[str, DataFrame], batch: int | None = None, writer: str | None = None, epoch: int | None = None) -> bool:
+    def commit(self, tables: Mapping[str, DataFrame], batch: int | None = None, writer: str | None = None, epoch: int | None = None, buckets: Mapping[str, tuple[str, int]] | None = None, note: Callable[[], dict] | None = None) -> bool:
         """Appends rows to several tables at once. False, and nothing done, if the batch is committed already.
 
         If anything fails, no table has changed and what was written is deleted. StaleWriter if a later epoch has been claimed.
+        buckets: of tables whose rows are laid out in so many buckets of a key, for read_bucketed(). note: gives what history()
+        shows of the commit, once its rows are written.
         """
         written: dict[str, dict] = {}
+        told: dict = {}
         try:
             while True:
                 state = self.state()
@@ -191,9 +223,10 @@ class CommitLog:
                     return False
                 if not written:
                     for table, df in tables.items():
-                        written[table] = self._write(df, table, {"batch": state.version + 1 if batch is None else batch})
+                        written[table] = self._write(df, table, {"batch": state.version + 1 if batch is None else batch}, (buckets or {}).get(table))
+                    told = {"note": note()} if note else {}
                     continue  # writing takes long: look again before the entry
-                if self._append(state, {"add": written} | ({} if batch is None else {"batch": batch}) | ({} if writer is None else {"by": [writer, epoch]})):
+                if self._append(state, {"add": written} | ({} if batch is None else {"batch": batch}) | ({} if writer is None else {"by": [writer, epoch]}) | told):
                     return True
         except BaseException:
             self._delete(f for x in written.values() for f in x)
@@ -218,7 +251,9 @@ class CommitLog:
         rows = self.read(table, State(live={table: chosen}))
         if sums:
             rows = rows.groupBy(*(c for c in rows.columns if c not in sums)).agg({c: "sum" for c in sums}).toDF(*(c for c in rows.columns if c not in sums), *sums).select(*rows.columns)
-        added = self._write(rows.repartitionByRange(key).sortWithinPartitions(key), table, {"batch": last, "pack": True})
+        laid_out = {tuple(x["buckets"]) if "buckets" in x else None for x in chosen.values()}
+        bucket = laid_out.pop() if len(laid_out) == 1 else None
+        added = self._write(rows if bucket else rows.repartitionByRange(key).sortWithinPartitions(key), table, {"batch": last, "pack": True}, bucket)
         while not self._append(state, {"add": {table: added}, "drop": {table: sorted(chosen)}}):
             state = self.state()
             if not chosen.keys() <= state.live.get(table, {}).keys():  # someone else has packed them
@@ -251,10 +286,19 @@ class CommitLog:
         if writer is not None and epoch is not None and state.epochs.get(writer, 0) > epoch:
             raise StaleWriter(f"{writer} has epoch {state.epochs[writer]}, this is {epoch}")
 
-    def _write(self, df: DataFrame, table: str, about: dict) -> dict[str, dict]:
+    def _write(self, df: DataFrame, table: str, about: dict, bucket: tuple[str, int] | None = None) -> dict[str, dict]:
         folder = f"{_DATA}/{table}/{uuid.uuid4().hex}"
         try:
-            df.write.parquet(f"{self.root}/{folder}")
+            if bucket is None:
+                df.write.parquet(f"{self.root}/{folder}")
+            else:
+                key, n = bucket
+                name = f"tallyweave_{uuid.uuid4().hex}"  # only saved tables are written in buckets; the files stay when it goes
+                try:
+                    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{self.root}/{folder}").saveAsTable(name)
+                finally:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                about = about | {"buckets": [key, n]}
         except BaseException:
             self._delete([folder])
             raise

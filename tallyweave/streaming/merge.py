@@ -7,9 +7,11 @@ thought dead and still runs can't commit any more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.loose import first_text
 from ..operators import sync
@@ -28,13 +30,20 @@ def read_log(spark: SparkSession, path: str, schema, per_trigger: int | None = N
 
 #: The name under which a merging stream claims its store.
 WRITER = "merge"
+#: The name of what is observed of the rows that a stream pulls.
+PULLED = "pulled"
+
 
+def merge_batch(root: str, device: str | None = None, pack_every: int = 64, epoch: int | None = None, buckets: int | None = None):
+    """A function for foreachBatch: appends what is new in the batch to the store at root, and packs every so many batches.
 
-def merge_batch(root: str, device: str | None = None, pack_every: int = 64, epoch: int | None = None):
-    """A function for foreachBatch: appends what is new in the batch to the store at root, and packs every so many batches."""
+    The counts of what was pulled, new and marked are taken as rows are written, and stand in the log's history. buckets: lays
+    transactions out in so many buckets of txn_id, so that the ledger isn't shuffled to find what it has already.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        log = CommitLog(spark, root)
         batch = batch.persist()
         try:
             new = sync.live(batch)
@@ -42,23 +51,60 @@ def merge_batch(root: str, device: str | None = None, pack_every: int = 64, epoc
                 new = new.where(~F.col("DeviceId").eqNullSafe(device))
             new = sync.from_wire(new)
             # packs are in order of txn_id, so the files that hold none of the batch's range of ids aren't read
-            least, most = new.agg(F.min("txn_id"), F.max("txn_id")).first()
-            known = tables.committed(spark, root, "transactions").where(F.col("txn_id").between(least, most)).select("txn_id")
-            added = new.join(known, "txn_id", "left_anti")
-            tables.commit(spark, root, batch_id, {"transactions": added, "deleted_transactions": sync.from_wire(sync.marks(batch))}, WRITER, epoch)
+            least, most, live = new.agg(F.min("txn_id"), F.max("txn_id"), F.count("*")).first()
+            added, marks = Observation(), Observation()
+            rows = unknown(log, new, least, most).observe(added, F.count(F.lit(1)).alias("n"))
+            gone = sync.from_wire(sync.marks(batch)).observe(marks, F.count(F.lit(1)).alias("n"))
+            note = lambda: {"live": live, "added": added.get["n"], "overlap": live - added.get["n"], "marks": marks.get["n"]}
+            layout = {"transactions": ("txn_id", buckets)} if buckets else None
+            log.commit({"transactions": rows, "deleted_transactions": gone}, batch_id, WRITER, epoch, layout, note)
             if (batch_id + 1) % pack_every == 0:
                 for table in ("transactions", "deleted_transactions"):
-                    tables.pack(spark, root, table, "txn_id")
+                    log.pack(table, "txn_id")
         finally:
             batch.unpersist()
 
     return run
 
 
-def start(log: DataFrame, root: str, checkpoint: str, device: str | None = None, every: str | None = None, pack_every: int = 64) -> StreamingQuery:
+def unknown(log: CommitLog, new: DataFrame, least: str | None, most: str | None) -> DataFrame:
+    """The rows of new, whose ids lie between least and most, that the store's transactions don't have."""
+    known = log.read_bucketed("transactions").where(F.col("txn_id").between(least, most)).select("txn_id")
+    return new.join(known, "txn_id", "left_anti")
+
+
+class Progress(StreamingQueryListener):
+    """Collects what start() observes of each micro-batch: rows pulled, and the last ingest time among them, by batch id.
+
+    spark.streams.addListener(Progress())
+    """
+
+    def __init__(self) -> None:
+        self.pulled: dict[int, int] = {}
+        self.latest: dict[int, datetime | None] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        seen = event.progress.observedMetrics.get(PULLED)
+        if seen is not None:
+            self.pulled[event.progress.batchId], self.latest[event.progress.batchId] = seen["n"], seen["latest"]
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def lag(self, now: datetime) -> timedelta | None:
+        """How far the last row that was pulled lies behind now."""
+        times = [t for t in self.latest.values() if t is not None]
+        return now - max(times) if times else None
+
+
+def start(log: DataFrame, root: str, checkpoint: str, device: str | None = None, every: str | None = None, pack_every: int = 64, buckets: int | None = None) -> StreamingQuery:
     """Merges the log into the store at root: all there is, then ends; or `every` so often, such as 30 seconds, until stopped."""
     epoch = CommitLog(log.sparkSession, root).claim(WRITER)
-    writer = log.writeStream.foreachBatch(merge_batch(root, device, pack_every, epoch)).option("checkpointLocation", checkpoint)
+    log = log.observe(PULLED, F.count(F.lit(1)).alias("n"), F.max("SyncTimestamp").alias("latest"))
+    writer = log.writeStream.foreachBatch(merge_batch(root, device, pack_every, epoch, buckets)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

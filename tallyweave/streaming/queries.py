@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger
 from ..plans.oracle import ORACLE as plans_oracle
-from ..sources import bindings, tables
+from ..sources import bindings, retention, tables
 from ..sources.commit_log import CommitLog
 from . import merge, stock
 
@@ -50,6 +50,35 @@ def stream_merge_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.ledger(spark, f"{folder}/store").select("txn_id")
 
 
+def stream_merge_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As stream_merge_packed, with transactions in buckets of their id, so that merging doesn't shuffle the ledger."""
+    folder = _folder(spark)
+    merge.start(_replayed_log(spark, sf_dir, folder), f"{folder}/store", f"{folder}/checkpoint", pack_every=2, buckets=8).awaitTermination()
+    return merge.ledger(spark, f"{folder}/store").select("txn_id")
+
+
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """batch, live, added, overlap, marks: counts taken while the log, then a part of it again, was merged."""
+    folder, log = _folder(spark), bindings.sync_log(spark, sf_dir)
+    root = f"{folder}/store"
+    for n, rows in enumerate((log, log.where(F.col("SyncTimestamp") > F.lit("2024-01-20").cast("timestamp")))):
+        rows.write.parquet(f"{folder}/log{n}")
+        stream = merge.read_log(spark, f"{folder}/log{n}", log.schema)
+        epoch = CommitLog(spark, root).claim(merge.WRITER)
+        run = merge.merge_batch(root, epoch=epoch)
+        stream.writeStream.foreachBatch(lambda batch, _, run=run, n=n: run(batch, n)).option("checkpointLocation", f"{folder}/checkpoint{n}").trigger(availableNow=True).start().awaitTermination()
+    seen = CommitLog(spark, root).history().where("note is not null")
+    return seen.select("batch", *(F.col("note")[c].alias(c) for c in ("live", "added", "overlap", "marks")))
+
+
+def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, status, completed_date of the transfers that are left of a table by month once it is pruned."""
+    path = f"{_folder(spark)}/transfers"
+    retention.write(bindings.transfer_headers(spark, sf_dir), path)
+    retention.prune(spark, path, F.lit("2000-01-01").cast("timestamp_ntz"))
+    return retention.read(spark, path).select("id", "status", F.date_format("completed_date", "yyyy-MM-dd").alias("completed_date"))
+
+
 def stream_on_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """store_id, product_id, on_hand: running sums over the log once, as its last trigger leaves them."""
     folder = _folder(spark)
@@ -111,13 +140,18 @@ def commit_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.on_hand(ledger.removed(log.read("ledger", state), log.read("ledger_deleted", state)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_merge_packed, stream_on_hand, stream_on_hand_after_delete, commit_recovered)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_merge_packed, stream_merge_bucketed, stream_metrics, retention_prune, stream_on_hand, stream_on_hand_after_delete, commit_recovered)}
 
 _MERGED = """SELECT CAST(event_id AS VARCHAR) AS txn_id FROM events WHERE event_type <> 'error' AND CAST(event_id AS VARCHAR) NOT IN
     (SELECT coalesce(json_extract_string(props, '$.k'), CAST(event_id AS VARCHAR)) FROM events WHERE event_type = 'error')"""
 ORACLE: dict[str, str] = {
     "stream_merge": _MERGED,
     "stream_merge_packed": _MERGED,
+    "stream_merge_bucketed": _MERGED,
+    "stream_metrics": """SELECT CAST(n AS BIGINT) AS batch, count(*) FILTER (event_type <> 'error') AS live, CASE n WHEN 0 THEN count(*) FILTER (event_type <> 'error') ELSE 0 END AS added,
+        CASE n WHEN 0 THEN 0 ELSE count(*) FILTER (event_type <> 'error') END AS overlap, count(*) FILTER (event_type = 'error') AS marks
+        FROM events, range(2) r(n) WHERE n = 0 OR ts > TIMESTAMP '2024-01-20' GROUP BY n""",
+    "retention_prune": plans_oracle["transfer_prune"],
     "stream_on_hand": """SELECT CAST(user_id % 7 AS VARCHAR) AS store_id, CAST(event_id % 50 AS VARCHAR) AS product_id,
         CAST(sum(CASE event_type WHEN 'purchase' THEN -1 WHEN 'error' THEN 0 ELSE 1 END * CAST(trunc(value) AS BIGINT)) AS BIGINT) AS on_hand
         FROM events GROUP BY 1, 2""",
