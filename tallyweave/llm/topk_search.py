@@ -1,7 +1,8 @@
 """Exact top-k inner-product search by norm-bucketed retrieval.
 
-Vectors are grouped into buckets of similar length and these into blocks of bounded size. Each query first gets a least score
-from the longest vectors alone: the k-th best of them. Lanes then meet their blocks in order of falling length and keep every
+Vectors are grouped into buckets of similar length and these into blocks of bounded size. Each query first meets the longest
+vectors alone: its k best of them count, and the last of these is its least score. Blocks that are too short for every query of
+a block of queries never meet it. Lanes then meet their other blocks in order of falling length and keep every
 query's k best so far; the higher of both scores gives a local cosine threshold for the block at hand. A threshold above 1
 prunes the block for that query. A high one prunes by coordinates: only vectors whose coordinates lie in the feasible ranges of
 the query's largest ones are verified. Any other prunes by length, and all longer ones are verified. Verified products are exact
@@ -46,13 +47,17 @@ def _norm() -> F.Column:
 
 
 def _blocks(rows: DataFrame, size: int, *more: str) -> DataFrame:
-    """Blocks of vectors of equal dimension and similar length: dim, bucket, block, longest, n, members."""
+    """Blocks of vectors of equal dimension and similar length: dim, bucket, block, longest, n, members.
+
+    With a floor, a least score of each, also need: the length below which no vector reaches any of them.
+    """
     # lengths in one bucket differ by a tenth at most
     rows = rows.withColumn("norm", _norm()).withColumn("dim", F.size("v")).withColumn("bucket", F.floor(F.log(F.greatest("norm", F.lit(1.0))) / np.log(1.1)).cast("int"))
     counts = rows.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / size).cast("long").alias("n"))
     spread = rows.join(counts, ["dim", "bucket"]).withColumn("block", F.expr("pmod(xxhash64(vec_id), n)"))
     members = F.sort_array(F.collect_list(F.struct("norm", "vec_id", "v", *more)), asc=False)
-    return spread.groupBy("dim", "bucket", "block").agg(F.max("norm").alias("longest"), F.count("*").alias("n"), members.alias("members"))
+    need = [F.min(F.when(F.col("floor").isNull() | (F.col("floor") <= 0), float("-inf")).when(F.col("norm") > 0, F.col("floor") / F.col("norm") * (1 - 1e-9)).otherwise(float("inf"))).alias("need")] if "floor" in more else []
+    return spread.groupBy("dim", "bucket", "block").agg(F.max("norm").alias("longest"), F.count("*").alias("n"), members.alias("members"), *need)
 
 
 def _unpack(members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +156,8 @@ class _Block:
 def _searched(asked: DataFrame, dealt: DataFrame, k: int, tasks: int, verified=None) -> DataFrame:
     """query_id, rank, vec_id, score: of each block of queries the k best in each lane it meets. Rows hold one block, of queries first."""
     queries = asked.select("lane", "qblock", F.lit(0).alias("kind"), F.lit(0.0).alias("longest"), "members")
-    met = asked.select("lane", "qblock", "dim").join(dealt, ["dim", "lane"])
+    # what is too short for all of a block's queries goes before any vector is moved to them
+    met = asked.select("lane", "qblock", "dim", "need").join(dealt, ["dim", "lane"]).where("longest >= need")
     bare = F.transform("members", lambda m: F.struct(m["norm"], m["vec_id"], m["v"], F.lit(None).cast("long").alias("floor")))
     rows = queries.unionByName(met.select("lane", "qblock", F.lit(1).alias("kind"), "longest", bare.alias("members")))
 
@@ -183,24 +189,28 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, block: int = BLOCK,
     verified: an accumulator for the number of products that are worked out.
     """
     stored = written(_blocks(items, block), "blocks")
-    count = stored.count()
-    # the blocks of the longest vectors of each dimension, which hold `seeds` together
-    before = Window.partitionBy("dim").orderBy(F.desc("longest"), "bucket", "block").rowsBetween(Window.unboundedPreceding, -1)
-    first = stored.select("dim", "bucket", "block", "longest", "n").withColumn("held", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("held") < seeds)
-    longest = stored.join(first.select("dim", "bucket", "block"), ["dim", "bucket", "block"], "left_semi")
+    # the buckets of the longest vectors of each dimension, and as many blocks of the last of them as make up `seeds`
+    before = Window.partitionBy("dim").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = stored.groupBy("dim", "bucket").agg(F.sum("n").alias("held"), F.count("*").alias("blocks"))
+    first = buckets.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))).where(F.col("before") < seeds)
+    first = first.select("dim", "bucket", F.ceil((seeds - F.col("before")) * F.col("blocks") / F.col("held")).alias("take"))
+    key = ["dim", "bucket"]
+    longest = stored.join(first, key).where(F.col("block") < F.col("take"))
+    others = stored.join(first, key, "left").where(F.col("take").isNull() | (F.col("block") >= F.col("take")))
+    count = stored.select("dim").count()
 
     def blocks(rows: DataFrame) -> DataFrame:
-        return written(_blocks(rows, query_block, "floor").select("dim", F.monotonically_increasing_id().alias("qblock"), "members"), "queries")
+        return written(_blocks(rows, query_block, "floor").select("dim", F.monotonically_increasing_id().alias("qblock"), "need", "members"), "queries")
 
     plain = blocks(queries.withColumn("floor", F.lit(None).cast("long"))).withColumn("lane", F.lit(0))
-    groups = max(1, plain.count())
-    seeded = _searched(plain, longest.select("dim", "longest", "members", F.lit(0).alias("lane")), k, groups, verified)
-    floors = written(seeded.where(F.col("rank") == k).groupBy("query_id").agg(F.min("score").alias("floor")), "floors")
+    groups = max(1, plain.select("dim").count())
+    seeded = written(_searched(plain, longest.select("dim", "longest", "members", F.lit(0).alias("lane")), k, groups, verified), "seeded")
+    floors = seeded.where(F.col("rank") == k).groupBy("query_id").agg(F.min("score").alias("floor"))
     asked = blocks(queries.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left"))
     # each query block goes to every lane, each block of items to one; a lane holds about as many of one as of the other
     lanes = int(max(1, min(lanes, count), count / 64))
-    dealt = stored.select("dim", "longest", "members", F.expr(f"pmod(row_number() over (partition by dim order by longest desc, bucket, block), {lanes})").alias("lane"))
+    dealt = others.select("dim", "longest", "members", F.expr(f"pmod(xxhash64(dim, bucket, block), {lanes})").cast("int").alias("lane"))
     met = asked.withColumn("lane", F.explode(F.expr(f"sequence(0, {lanes - 1})")))
-    found = _searched(met, dealt, k, min(100_000, lanes * groups), verified)
+    found = _searched(met, dealt, k, min(100_000, lanes * groups), verified).unionByName(seeded)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

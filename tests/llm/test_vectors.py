@@ -108,3 +108,13 @@ def test_empty_tables(spark):
     none = topk_search.quantized(df.where("false"))
     assert topk_search.top_k(none, none).isEmpty()
     assert vector_dedup.vector_duplicates(df.where("false")).isEmpty()
+
+
+def test_no_vector_is_met_twice_and_none_passes_a_window(spark, sf):
+    rows = read_table(spark, sf, "embeddings")
+    verified = spark.sparkContext.accumulator(0)
+    found = topk_search.top_k(topk_search.quantized(rows.where("vec_id % 50 = 0")), topk_search.quantized(rows, merge=False), 5, block=40, seeds=100, verified=verified)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Window [" in line and "members" in line]
+    n = rows.count()
+    assert found.count() == 5 * rows.where("vec_id % 50 = 0").count() and 0 < verified.value <= rows.where("vec_id % 50 = 0").count() * (n - 1) + n
