@@ -87,7 +87,7 @@ _VIEWS = {
 }
 
 
-def _sql(body: str) -> str:
+def sql(body: str) -> str:
     """body, with the views that it and they use."""
     import re
 
@@ -246,4 +246,4 @@ _BODIES = {
         SELECT p_partkey, CAST(coalesce(nullif(p_size % 5, 0), nullif(p_size % 3, 0), -1) AS BIGINT) AS truthy, CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT) AS parsed, CAST(0 AS BIGINT) AS no_number,
                replace(lower(p_name), '_', ' ') AS lowered, lpad(regexp_replace(p_brand, '[^0-9]', '', 'g'), 5, '0') AS padded FROM part""",
 }
-ORACLE = {name: _sql(body) for name, body in _BODIES.items()}
+ORACLE = {name: sql(body) for name, body in _BODIES.items()}

@@ -8,9 +8,10 @@ commit: all files of a batch are written first, and the batch counts once its en
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from py4j.protocol import Py4JError
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,6 +156,23 @@ def snapshot(spark: SparkSession, root: str, table: str, state: State | None = N
     return log.read(table, state, max((x["batch"] for x in state.live.get(table, {}).values()), default=None))
 
 
+def as_views(spark: SparkSession, root: str, names: Iterable[str], state: State | None = None, cached: bool = False) -> State:
+    """Temporary views of committed tables for SQL, all at one number, that of a state or the last; the state that they show.
+
+    cached: kept on the executors once they are read, in memory as far as it goes, then on disk. Views made again show what is new
+    and drop what was kept.
+    """
+    log = CommitLog(spark, root)
+    state = state or log.state()
+    for name in names:
+        if spark.catalog.tableExists(name) and spark.catalog.isCached(name):
+            spark.catalog.uncacheTable(name)
+        log.read(name, state).createOrReplaceTempView(name)
+        if cached:
+            spark.catalog.cacheTable(name, StorageLevel.MEMORY_AND_DISK)
+    return state
+
+
 def with_retry(work: Callable[[], None], attempts: int = 4, first_wait_s: float = 0.5) -> None:
     """Runs work until it succeeds, waiting twice as long after each failure; the last failure is raised."""
     for n in range(attempts):

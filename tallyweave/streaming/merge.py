@@ -76,17 +76,20 @@ def unknown(log: CommitLog, new: DataFrame, least: str | None, most: str | None)
 class Progress(StreamingQueryListener):
     """Collects what start() observes of each micro-batch: rows pulled, and the last ingest time among them, by batch id.
 
+    late: rows of any stream that came after its horizon and that its state didn't take, by batch id; the batch view has them.
     spark.streams.addListener(Progress())
     """
 
     def __init__(self) -> None:
         self.pulled: dict[int, int] = {}
         self.latest: dict[int, datetime | None] = {}
+        self.late: dict[int, int] = {}
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.late[event.progress.batchId] = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
         seen = event.progress.observedMetrics.get(PULLED)
         if seen is not None:
             self.pulled[event.progress.batchId], self.latest[event.progress.batchId] = seen["n"], seen["latest"]

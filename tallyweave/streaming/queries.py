@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import ledger, transfers
 from ..plans.oracle import ORACLE as plans_oracle
-from ..sources import bindings, retention, tables
+from ..plans.oracle import sql
+from ..sources import bindings, retention, tables, transfer_store
 from ..sources.commit_log import CommitLog
 from . import merge, stock
 
@@ -71,6 +72,34 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("batch", *(F.col("note")[c].alias(c) for c in ("live", "added", "overlap", "marks")))
 
 
+def transfer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, status, version, units of transfers after steps that were saved as versions with their entries: made, received, cancelled, received again."""
+    log = CommitLog(spark, f"{_folder(spark)}/store")
+    first = bindings.transfers(spark, sf_dir)
+    transfer_store.save(log, 0, first, transfers.sent_entries(first), "headers", "entries")
+    rows = transfer_store.current(log, transfers="headers")
+    for step in (1, 1):  # a step that is run again changes nothing
+        got = transfers.received(rows.where("id % 4 = 0"), bindings.receipts(rows))
+        transfer_store.save(log, step, got, transfers.receipt_entries(got), "headers", "entries")
+    rows = transfer_store.current(log, transfers="headers")
+    off = rows.where("id % 3 = 0")
+    transfer_store.save(log, 2, transfers.cancelled(off), transfers.cancel_entries(off), "headers", "entries")
+    state = log.state()
+    sign = F.when(F.col("type") == "transfer_out", -F.col("qty")).otherwise(F.col("qty"))
+    units = log.read("entries", state).groupBy(F.col("transfer_id").alias("id")).agg(F.sum(sign).cast("bigint").alias("units"))
+    return transfer_store.current(log, state, "headers").select("id", "status", "version").join(units, "id", "left")
+
+
+def store_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL over views of a store says: status, n, qty of transfers and what the ledger has of them, at the number before the last commit."""
+    log = CommitLog(spark, f"{_folder(spark)}/store")
+    rows = bindings.ledger(spark, sf_dir).select("txn_id", "type", "qty", "transfer_id")
+    log.commit({"v_ledger": rows.where("transfer_id % 2 = 0"), "v_transfers": bindings.transfer_headers(spark, sf_dir)}, 0)
+    log.commit({"v_ledger": rows.where("transfer_id % 2 = 1")}, 1)
+    tables.as_views(spark, log.root, ("v_ledger", "v_transfers"), log.state(0))
+    return spark.sql("SELECT status, count(*) AS n, sum(qty) AS qty FROM v_ledger JOIN v_transfers ON transfer_id = id GROUP BY status")
+
+
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, status, completed_date of the transfers that are left of a table by month once it is pruned."""
     path = f"{_folder(spark)}/transfers"
@@ -140,7 +169,7 @@ def commit_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.on_hand(ledger.removed(log.read("ledger", state), log.read("ledger_deleted", state)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_merge_packed, stream_merge_bucketed, stream_metrics, retention_prune, stream_on_hand, stream_on_hand_after_delete, commit_recovered)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_merge_packed, stream_merge_bucketed, stream_metrics, retention_prune, transfer_versions, store_views, stream_on_hand, stream_on_hand_after_delete, commit_recovered)}
 
 _MERGED = """SELECT CAST(event_id AS VARCHAR) AS txn_id FROM events WHERE event_type <> 'error' AND CAST(event_id AS VARCHAR) NOT IN
     (SELECT coalesce(json_extract_string(props, '$.k'), CAST(event_id AS VARCHAR)) FROM events WHERE event_type = 'error')"""
@@ -151,6 +180,14 @@ ORACLE: dict[str, str] = {
     "stream_metrics": """SELECT CAST(n AS BIGINT) AS batch, count(*) FILTER (event_type <> 'error') AS live, CASE n WHEN 0 THEN count(*) FILTER (event_type <> 'error') ELSE 0 END AS added,
         CASE n WHEN 0 THEN 0 ELSE count(*) FILTER (event_type <> 'error') END AS overlap, count(*) FILTER (event_type = 'error') AS marks
         FROM events, range(2) r(n) WHERE n = 0 OR ts > TIMESTAMP '2024-01-20' GROUP BY n""",
+    "transfer_versions": sql("""
+        SELECT t.id, CASE WHEN t.id % 3 = 0 AND coalesce(s.status, t.status) IN ('draft', 'in_transit') THEN 'cancelled' ELSE coalesce(s.status, t.status) END AS status,
+               CASE WHEN t.id % 3 = 0 AND coalesce(s.status, t.status) IN ('draft', 'in_transit') THEN 2 WHEN s.status IS NOT NULL THEN 1 ELSE CAST(0 AS BIGINT) END AS version,
+               CAST(CASE WHEN t.status = 'in_transit' AND o.units IS NOT NULL THEN -o.units + CASE WHEN t.id % 4 = 0 THEN coalesce(s.units, 0) WHEN t.id % 3 = 0 THEN o.units ELSE 0 END END AS BIGINT) AS units
+        FROM t LEFT JOIN (SELECT transfer_id, sum(sent_qty) AS units FROM sums GROUP BY 1) o ON o.transfer_id = t.id
+        LEFT JOIN (SELECT id, CASE WHEN bool_and(CASE WHEN product_id % 11 = 0 THEN 0 ELSE came END = sent_qty) IS NOT FALSE THEN 'completed' ELSE 'received' END AS status, sum(sent_qty) FILTER (CASE WHEN product_id % 11 = 0 THEN 0 ELSE came END = sent_qty) AS units
+                   FROM t LEFT JOIN came ON transfer_id = id WHERE status = 'in_transit' AND id % 4 = 0 GROUP BY id) s ON s.id = t.id"""),
+    "store_views": sql("SELECT status, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM ledger JOIN t ON transfer_id = id WHERE transfer_id % 2 = 0 GROUP BY status"),
     "retention_prune": plans_oracle["transfer_prune"],
     "stream_on_hand": """SELECT CAST(user_id % 7 AS VARCHAR) AS store_id, CAST(event_id % 50 AS VARCHAR) AS product_id,
         CAST(sum(CASE event_type WHEN 'purchase' THEN -1 WHEN 'error' THEN 0 ELSE 1 END * CAST(trunc(value) AS BIGINT)) AS BIGINT) AS on_hand
