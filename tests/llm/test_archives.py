@@ -84,3 +84,53 @@ def test_archives_of_other_makers(spark):
     rows = sorted(archives.read_warc(spark, path).collect(), key=lambda r: r["record_type"])
     assert [(r["page_id"], r["record_type"], r["url"], r["date"]) for r in rows] == [(None, t, "http://old.example/", "1999-02-03T04:05:06Z") for t in ("response", "revisit")]
     assert bytes(rows[0]["payload"]) == b"<p>old</p>" and rows[1]["refers_to_id"] == rows[0]["record_id"] and rows[0]["payload_digest"] == rows[1]["payload_digest"]
+
+
+def _legacy(spark, *records, version=1, maker="1 0 Old Crawl"):
+    """An archive of (url, type, document) in the way of old crawlers."""
+    fields = archives.ARC_FIELDS[version]
+    body = f"{maker}\n{' '.join(fields)}\n".encode()
+    extra = ["200", "-", "-", "0", "x.arc"] if version == 2 else []
+    out = " ".join(["filedesc://old-1.arc", "0.0.0.0", "19990203040506", "text/plain", *extra, str(len(body))]).encode() + b"\n" + body
+    for url, mime, doc in records:
+        out += b"\n" + " ".join([url, "1.2.3.4", "19990203040506", mime, *extra, str(len(doc))]).encode() + b"\n" + doc
+    return spark.createDataFrame([(out,)], "archive binary")
+
+
+LEGACY = {
+    "http://e/lf": ("text/html", b"HTTP/1.0 200 OK\nContent-Type: text/html\nX: 1\n\n<p>bare\r\n\r\nline</p>", "response", b"<p>bare\r\n\r\nline</p>"),
+    "http://e/mixed": ("text/html", b"HTTP/1.0 200 OK\r\nA: b\n\r\nbody\n\n", "response", b"body\n\n"),
+    "http://e/latin": ("text/html", b"HTTP/1.1 200 Tr\xe8s bien\r\nX-N: \xff\xfe\xe9\r\n\r\n\x80\xff raw", "response", b"\x80\xff raw"),
+    "http://e/headless": ("text/html", b"<html>HTTP/0.9 had no header\n\nnone</html>", "resource", b"<html>HTTP/0.9 had no header\n\nnone</html>"),
+    "http://e/only-header": ("text/html", b"HTTP/1.0 304 Not Modified\nX: y\n", "response", b""),
+    "http://e/empty": ("no-type", b"", "resource", b""),
+    "dns:e.example": ("text/dns", b"19990203040506\ne.example. 300 IN A 1.2.3.4\n\n", "resource", b"19990203040506\ne.example. 300 IN A 1.2.3.4\n\n"),
+    "ftp://e/file": ("application/octet-stream", b"\x00\x01HTTP/1.0 \xff", "resource", b"\x00\x01HTTP/1.0 \xff"),
+}
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_legacy_archives(spark, version):
+    arcs = _legacy(spark, *((u, m, d) for u, (m, d, _, _) in LEGACY.items()), ("http://e/a b  c", "text/html", b"HTTP/1.0 200 OK\n\nspaces"), version=version, maker=f"{version} 0 Old Crawl")
+    records = archives.arc_records(arcs, info=True)
+    found = {r["url"]: r for r in records.collect()}
+    for url, (_, doc, kind, payload) in LEGACY.items():
+        r = found[url]
+        assert (r["kind"], bytes(r["payload"])) == (kind, payload) and bytes(r["http"]) + payload == doc
+        assert r["payload_digest"] == hashlib.sha256(payload).hexdigest() and r["payload_bytes"] == len(payload)
+    assert bytes(found["http://e/a%20b%20%20c"]["payload"]) == b"spaces" and found["filedesc://old-1.arc"]["kind"] == "warcinfo"
+    path = archives.new_path(spark, "warc-legacy")
+    archives.write_warc(archives.to_warc(records, least=1), path)
+    back = archives.read_warc(spark, path).collect()
+    got = {r["url"]: r for r in back}
+    assert len(back) == len(LEGACY) + 2
+    for url, (_, _, kind, payload) in LEGACY.items():
+        assert (got[url]["record_type"], bytes(got[url]["payload"])) == (kind, payload)
+    info = got[None]
+    assert info["record_type"] == "warcinfo" and bytes(info["payload"]) == f"converted-from: old-1.arc\r\narc-version: {version}\r\norigin: Old Crawl\r\n".encode()
+    # headers and documents stand in the file as they came
+    import zlib
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).collect()
+    whole = b"".join(zlib.decompress(bytes(f["content"]), 31) for f in files if f["path"].endswith(".gz"))
+    assert all(doc in whole for _, doc, _, _ in LEGACY.values()) and b"WARC-Filename: old-1.arc\r\n" in whole and b"Content-Type: text/dns\r\n" in whole
