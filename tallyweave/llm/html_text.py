@@ -5,7 +5,8 @@ article; a subtree that recurs with so many articles of its host is a template a
 article itself. Running text (a paragraph, heading, list or table) recurs by chance where it is short and on purpose where it is
 quoted or copied, so by itself it is a template only if it is in most articles of its host. What is left within the article (the main element, else the
 outermost articles, else the body) is the text, without the elements and the class, id and role names that mark navigation,
-notices, adverts, forms and comments.
+notices, adverts, forms and comments. Within the article ids mark nothing, and names nothing that is a heading, a section or
+running text.
 
 Defined cases: null html is empty; a page without text has an empty string; rows with a null url belong to no host and lose no
 templates; rows that share a page_id are pages of their own; an empty table gives an empty result; other columns are ignored.
@@ -39,7 +40,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 FLOW = frozenset("blockquote caption dd dl dt figcaption h1 h2 h3 h4 h5 h6 legend li ol p pre summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("annotation annotation-xml aside button canvas datalist dialog footer form head iframe menu meter nav noembed noframes noscript object output progress script search select style svg template textarea title".split())
+DROPPED = frozenset("annotation annotation-xml aside button canvas datalist dialog footer form head iframe menu meter nav noembed noframes noscript object progress script search select style svg template textarea title".split())
 # Names in class, id and role that mark what isn't the article.
 NAMES = frozenset(
     "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo masthead topbar toolbar "
@@ -66,14 +67,14 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\
 _NAME = re.compile(r"[A-Za-z]+")
 
 
-def _marked(attributes: str) -> tuple[bool, int]:
-    """Whether an element is hidden, and whether a name marks it: 1, or 2 if the name is of what stands beside an article."""
+def _marked(attributes: str, ids: bool = True) -> tuple[bool, int]:
+    """Whether an element is hidden, and whether a name marks it: 1, or 2 if the name is of what stands beside an article. ids: an id counts too."""
     named = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, 0
-        if name in ("class", "id", "role"):
+        if name in ("class", "role") or name == "id" and ids:
             for one in value.replace("_", "-").split():
                 if one in NAMES or one in COMPOUNDS:
                     named = max(named, 1 if BESIDE.isdisjoint(one.split("-")) else 2)
@@ -158,8 +159,10 @@ def parse(source: str) -> Node:
         if tag in ("html", "body"):
             continue
         attributes = m[3]
-        hidden, named = _marked(attributes) if attributes and attributes.strip(" /") else (False, 0)
-        named = 0 if hidden or tag in DROPPED else named
+        # within an article ids are made from headings, and names of running text and sections say what these are about
+        within = bool(depths.get("article") or depths.get("main"))
+        hidden, named = _marked(attributes, not within) if attributes and attributes.strip(" /") else (False, 0)
+        named = 0 if hidden or tag in DROPPED or within and (tag in FLOW or tag == "section") else named
         dropped = tag in DROPPED or hidden or named > 0
         # inline elements matter only where they are dropped, and then those of the same name within
         if tag in BLOCK or dropped or stack[-1].tag == tag:

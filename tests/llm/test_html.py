@@ -122,3 +122,15 @@ def test_short_text_that_recurs_by_chance_stays(spark):
 
 def test_formulas_stay():
     assert html_text.main_text(html_text.parse("<article><p>if <math><mi>x</mi><annotation>\\x</annotation></math> is</p></article>")) == "if x is"
+
+
+def test_ids_and_names_of_running_text_lose_nothing_within_the_article():
+    cases = {
+        "<article><h2 id='search'>Search</h2><p>body</p></article>": "Search\nbody",
+        "<article><section id='navigation'><h2>Navigation</h2><p>by stars</p></section><p>end</p></article>": "Navigation\nby stars\nend",
+        "<article><section class='related'><p>work</p></section><p class='alert'>Mind the gap</p><div id='comments'>on style</div><output>42</output></article>": "work\nMind the gap\non style\n42",
+        "<main><ul class='menu'><li>soup</li></ul><table class='search'><tr><td>x</td></tr></table></main>": "soup\nx",
+        "<article><p>a</p><div class='share-bar'>Share</div><nav>n</nav><form>f</form></article><div id='comments'>c</div>": "a",
+        "<body><div id='sidebar'>s</div><p class='notice'>n</p><p>text</p></body>": "text",
+    }
+    assert {source: html_text.main_text(html_text.parse(source)) for source in cases} == cases
