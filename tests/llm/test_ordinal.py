@@ -57,3 +57,22 @@ def test_hard_cases(spark, doc_cases, no_docs):
     none = ordinal.train(doc_cases, spark.createDataFrame([], schema), "quality")
     assert ordinal.selected(doc_cases, none, 0.5).count() == doc_cases.count()
     assert ordinal.train(doc_cases, spark.createDataFrame([(1, 1), (3, 1)], schema), "quality").grades == [1]
+
+
+@pytest.mark.parametrize(("grade", "query"), [("toxic", op4_toxicity), ("quality", op7_quality)])
+def test_scores_worked_out_the_plain_way(spark, sf, grade, query):
+    import math
+
+    docs = read_table(spark, sf, "documents")
+    model = ordinal.train(docs, read_table(spark, sf, "labels"), grade)
+    got = {r[0]: (r[1], r[2]) for r in query(spark, sf).collect()}
+    weights, edges = model.weights.tolist(), model.thresholds.tolist()
+    for r in docs.collect():
+        score = sum(weights[i] for i in set(ordinal.features(r["text"] or "").tolist()))
+        at_most = [1 / (1 + math.exp(min(40, max(-40, score - e)))) for e in edges] + [1.0]
+        p = [b - a for a, b in zip([0.0, *at_most], at_most)]
+        expected, tail = sum(g * x for g, x in zip(model.grades, p, strict=True)), 1 - p[0]
+        assert math.isclose(got[r["doc_id"]][0], expected, abs_tol=1e-9)
+        if grade == "quality":
+            assert math.isclose(got[r["doc_id"]][1], tail, abs_tol=1e-9)
+    assert len(got) == docs.count()
