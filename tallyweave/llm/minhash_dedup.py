@@ -9,7 +9,7 @@ are then confirmed on full shingle sets by a breadth-first search that compares
 parts is compared in blocks of bounded size, if it shares one of the rare shingles that a link must share.
 
 Defined cases: null text is empty; a text without words has no shingles and links with nothing; rows with a null doc_id link
-with nothing and are left out of the links; rows that share a doc_id are one document for links and appear once each; an empty table gives an empty result;
+with nothing and are left out of the links; rows that share a doc_id are one document for links, whatever their texts, and appear once each; an empty table gives an empty result;
 other columns are ignored, whatever their names.
 """
 
@@ -84,8 +84,11 @@ def candidate_edges(sets: DataFrame, t: int, long_list: int = LONG_LIST) -> Data
     other = short.toDF("rep2", "tokens2", "first2", "token")
     # a pair is taken at the first token that both prefixes have, so it is met once
     pairs = short.join(other, "token").where("rep < rep2").where("array_intersect(first, first2)[0] = token").where(f"size(array_intersect(tokens, tokens2)) >= {t}")
-    skipped = postings.where(F.col("df") > long_list).select("token", "rep")
-    hubs = skipped.groupBy("token").agg(F.min("rep").alias("hub"))
+    # a pair whose first common token is frequent has only frequent ones in common; the second is among the first m - t + 2 of each
+    skipped = ordered.select("rep", "tokens", F.posexplode("prefix").alias("i", "p")).where(F.col("p.df") > long_list)
+    second = F.expr(f"slice(tokens, i + 2, size(tokens) - {t - 1} - i)") if t > 1 else F.array("p.token")
+    skipped = skipped.select("rep", "p.token", F.explode(second).alias("second")).select("rep", F.xxhash64("token", "second").alias("token"))
+    hubs = skipped.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("token", "hub")
     # a document hangs on the smallest of its hubs, and so do the other hubs: as connected as with an edge to each, but fewer
     held = skipped.join(hubs, "token").groupBy("rep").agg(F.collect_set("hub").alias("hubs"))
     return pairs.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).unionByName(_stars(held))
@@ -182,9 +185,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     if not several.isEmpty():
         found = found.unionByName(_across_parts(several, members, texts, width, num, den, part_shingles))
     placed = sets.select("f1", "f2", "rep").join(found.withColumnRenamed("u", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(placed, ["f1", "f2"], "left")
-    least = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", least.alias("component_id"), (F.col("doc_id") == least).alias("kept"))
+    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(placed, ["f1", "f2"], "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # ids that come with several sets connect what these belong to
+    several = signed.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi")).where("lo < hi").select("doc_id")
+    if not several.isEmpty():
+        out = written(out, "several-sets")
+        joined = connected_components(out.join(several, "doc_id").where("component <> doc_id").select(F.col("doc_id").alias("u"), F.col("component").alias("v")).distinct())
+        out = out.join(joined.toDF("component", "least"), "component", "left").withColumn("component", F.coalesce("least", "component"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
 def _prefixes(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -285,7 +293,14 @@ def _across_parts(several: DataFrame, members: DataFrame, texts: DataFrame, widt
 
 
 def kept_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id; rows without words are all kept, once for each doc_id, and so are rows with a null doc_id."""
+    """One row of each group of near-duplicates, that of the smallest doc_id; rows without words are all kept, once for each doc_id, and so are rows with a null doc_id.
+
+    Of rows that share that doc_id the one with the longest text stays, of these the one with the least hash of all columns, so reruns agree.
+    """
     kept = near_duplicates(docs, width, similarity).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.where("doc_id is not null")
-    return named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    named = named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi")
+    whole = F.struct(*(named[c] for c in named.columns))
+    rank = F.struct(-F.length(F.coalesce(named["text"].cast("string"), F.lit(""))), F.xxhash64(whole))
+    one = named.groupBy(named["doc_id"].alias("kept_id")).agg(F.min_by(whole, rank).alias("whole"))
+    return one.select(*(F.col("whole")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))

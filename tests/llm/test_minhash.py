@@ -91,3 +91,34 @@ def test_hard_cases(spark, doc_cases, no_docs):
     want = [i for i, _, _, first in _brute(rows, 5, 80, 100) if first]
     got = [r["doc_id"] for r in kept.collect()]
     assert sorted(x for x in got if x is not None) == sorted(set(want)) and got.count(None) == 1
+
+
+def test_one_frequent_token_puts_nobody_together(spark):
+    # rows, columns and diagonals of a square: lists of four, and any two documents have one token in common at most
+    rows = [(4 * i + j, [10 + i, 20 + j, 30 + (i + j) % 4]) for i in range(4) for j in range(4)]
+    sets = spark.createDataFrame(rows, "rep long, signature array<long>")
+    assert minhash_dedup.candidate_edges(sets, 2, 2).isEmpty()
+    # those that have two frequent tokens in common still meet
+    more = sets.unionByName(spark.createDataFrame([(20, [10, 20, 99]), (21, [11, 98, 31])], "rep long, signature array<long>"))
+    met = minhash_dedup.connected_components(minhash_dedup.candidate_edges(more, 2, 2))
+    # 21 has 11 and 31 in common with (1, 0)
+    assert {(r["id"], r["component"]) for r in met.collect()} == {(0, 0), (20, 0), (4, 4), (21, 4)}
+
+
+def test_rows_of_one_id_are_chosen_alike(spark):
+    rows = [(1, f"{'w ' * (i % 7)}tail {i}", i) for i in range(40)] + [(2, None, 1), (2, "", 2), (2, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    seen = {tuple(sorted(tuple(r) for r in minhash_dedup.kept_documents(df.repartition(n)).collect())) for n in (1, 5, 9)}
+    assert len(seen) == 1
+    (one, two), = seen
+    assert one[0] == 1 and len(one[1]) == max(len(t) for i, t, _ in rows if i == 1) and two[0] == 2
+
+
+def test_ids_with_several_texts_are_one_document(spark):
+    rows = [(i % 100 if i % 3 else i, t) for i, t in _variants(7, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash_dedup.near_duplicates(df, 3, (85, 100))
+    assert sorted(tuple(r) for r in got.collect()) == _brute(rows, 3, 85, 100)
+    one = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (2, "e f g h"), (3, "e f g h"), (4, "k l m n"), (4, None), (5, "k l m n"), (5, "")], "doc_id long, text string")
+    found = {(r["doc_id"], r["component_id"]) for r in minhash_dedup.near_duplicates(one, 3, (85, 100)).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
