@@ -1,6 +1,12 @@
 """A corpus made ready for training: quality, near-duplicates, personal data, mixture, packing.
 
 Each stage works on what its predecessor kept, written as Parquet and read again.
+
+Defined cases: null text is empty; rows with null or empty text pass the classifier if the model of the labels says so, and are no
+one's near-duplicates; a document that the mix takes no words of, so each one without words, is left out of the mix; a null source
+is a source of its own; of rows that share a doc_id the near-duplicates stage keeps one; rows with a null doc_id are kept by every
+stage that keeps a text like theirs; texts of any length are processed whole; an empty table gives no pieces; other columns pass
+the stages before the last unchanged, whatever their names.
 """
 
 from __future__ import annotations
