@@ -93,18 +93,6 @@ def test_hard_cases(spark, doc_cases, no_docs):
     assert sorted(x for x in got if x is not None) == sorted(set(want)) and got.count(None) == 1
 
 
-def test_one_frequent_token_puts_nobody_together(spark):
-    # rows, columns and diagonals of a square: lists of four, and any two documents have one token in common at most
-    rows = [(4 * i + j, [10 + i, 20 + j, 30 + (i + j) % 4]) for i in range(4) for j in range(4)]
-    sets = spark.createDataFrame(rows, "rep long, signature array<long>")
-    assert minhash_dedup.candidate_edges(sets, 2, 2).isEmpty()
-    # those that have two frequent tokens in common still meet
-    more = sets.unionByName(spark.createDataFrame([(20, [10, 20, 99]), (21, [11, 98, 31])], "rep long, signature array<long>"))
-    met = minhash_dedup.connected_components(minhash_dedup.candidate_edges(more, 2, 2))
-    # 21 has 11 and 31 in common with (1, 0)
-    assert {(r["id"], r["component"]) for r in met.collect()} == {(0, 0), (20, 0), (4, 4), (21, 4)}
-
-
 def test_rows_of_one_id_are_chosen_alike(spark):
     rows = [(1, f"{'w ' * (i % 7)}tail {i}", i) for i in range(40)] + [(2, None, 1), (2, "", 2), (2, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long")
