@@ -54,7 +54,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     filled = weighed.withColumn("full_at", MOST * F.col("source_size") / F.col("weight"))
     filled = filled.withColumn("total", F.sum("source_size").over(everything)).withColumn("weights", F.sum("weight").over(everything))
     filled = filled.withColumn("level", (F.col("total") - MOST * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"]
+    # the first that fits has the highest level of those that fit, whichever sources are full at one level
+    level = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything)
     return filled.select("source", "source_size", F.least(F.col("weight") * F.coalesce(level, F.lit(0.0)), (MOST * F.col("source_size")).cast("double")).alias("target"))
 
 

@@ -55,7 +55,7 @@ def test_whole_table(spark, sf):
     assert _hold(df) == _hold(df.repartition(5))
 
 
-@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 100, "b": 1, "c": 1}, {"a": 5, "b": 50, None: 500}, {"a": 0, "b": 7}, {"a": 0}])
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 100, "b": 1, "c": 1}, {"a": 5, "b": 50, None: 500}, {"a": 0, "b": 7}, {"a": 0}, {**{f"s{i:02d}": 1 + i % 3 for i in range(60)}, "t": 200, None: 90}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
     want = _targets(sizes)
