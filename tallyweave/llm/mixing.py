@@ -24,6 +24,8 @@ BLOCK, LEAST_BLOCKS = 1024, 1024
 SHARD = 4096
 #: Documents in one bucket of a source, about.
 BUCKET_DOCS = 20_000
+#: Slots whose owners are kept together, so at most as many sources.
+OWNED = 256
 #: Slots that one task makes.
 SLOTS_A_TASK = 1 << 14
 ROUNDS = 10
@@ -95,20 +97,26 @@ class Mix:
         spans = self.docs.where("size > 0").withColumn("at", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")))
         spans = spans.withColumn("block", F.col("first") + F.col("at")).withColumn("begin", F.greatest("start", F.col("at") * F.col("width")) - F.col("start"))
         spans = spans.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("at") + 1) * F.col("width")) - F.col("start") - F.col("begin"))
-        t = times.toDF("t_source", "t_block", "times")
+        # never broadcast: slots look as few as the draws they are exploded from
+        t = times.toDF("t_source", "t_block", "times").hint("merge")
         #: doc_id, key, source, first, start, begin, words, times: runs of words of a document and how often they are taken.
         self.spans = spans.join(t, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block"))).select("doc_id", "key", "source", "first", "start", "begin", "words", "times")
 
     def _drawn(self) -> DataFrame:
         """shard, source, begin, drawn, kept: each shard's multinomial draw of sources, and how many of it are among the source's slots.
 
-        Every slot of a shard draws a number below the sum of all slots; whose slot that is, that source it draws. begin counts
-        what earlier shards have drawn of the source, which gives the shard its range of the source's slots.
+        Every slot of a shard draws a number below the sum of all slots; whose slot that is, that source it draws. Who owns
+        which slots is kept by runs of OWNED slots, a row for each run. begin counts what earlier shards have drawn of the source,
+        which gives the shard its range of the source's slots.
         """
-        chunks = self.totals.withColumn("chunk", F.explode(F.expr("sequence(0L, (slots - 1) div 4096)"))).repartition(self.tasks, "source", "chunk")
-        owned = chunks.select("source", F.explode(F.expr("sequence(low + chunk * 4096, low + least(slots, (chunk + 1) * 4096) - 1)")).alias("number"))
+        first, last = (F.floor(x / OWNED).cast("long") for x in (F.col("low"), F.col("low") + F.col("slots") - 1))
+        owned = self.totals.withColumn("chunk", F.explode(F.sequence(first, last)))
+        owned = owned.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct((F.col("low") + F.col("slots")).alias("end"), "source"))).alias("owners"))
+        # written, so that Spark knows its size when it settles the join: what is exploded looks as small as what it comes from
+        owned = written(owned, "owned")
         asked = self.totals.sparkSession.range(0, self.all, 1, self.tasks).select((F.col("id") / self.shard).cast("long").alias("shard"), F.pmod(F.xxhash64(F.lit("draw"), F.lit(self.seed), "id"), F.lit(max(1, self.all))).alias("number"))
-        drawn = asked.join(owned, "number").groupBy("shard", "source").agg(F.count("*").alias("drawn"))
+        owner = F.filter("owners", lambda o: o["end"] > F.col("number"))[0]["source"]
+        drawn = asked.withColumn("chunk", F.floor(F.col("number") / OWNED).cast("long")).join(owned, "chunk").groupBy("shard", owner.alias("source")).agg(F.count("*").alias("drawn"))
         before = F.sum("drawn").over(Window.partitionBy("source").orderBy("shard")) - F.col("drawn")
         ranged = _with_source(drawn.withColumn("begin", before), self.totals.select("source", "slots"))
         return ranged.select("shard", "source", "begin", "drawn", F.greatest(F.lit(0), F.least("drawn", F.col("slots") - F.col("begin"))).cast("long").alias("kept"))
@@ -128,7 +136,7 @@ class Mix:
         short = self.totals.join(got, F.col("source").eqNullSafe(F.col("name")), "left").select("source", F.coalesce("got", F.lit(0)).alias("got"), (F.col("slots") - F.coalesce("got", F.lit(0))).alias("short")).where("short > 0")
         short = short.withColumn("low", F.sum("short").over(Window.orderBy(F.col("source").isNull(), "source")) - F.col("short"))
         short = short.select("source", "got", F.posexplode(F.expr("sequence(low, low + short - 1)")).alias("p", "x")).select("source", (F.col("got") + F.col("p")).alias("n"), "x")
-        every = kept.unionByName(free.join(short, "x").select("shard", "source", "n", "place"))
+        every = kept.unionByName(free.hint("merge").join(short, "x").select("shard", "source", "n", "place"))
         every = _with_source(every, self.totals.select("source", "blocks"))
         index = permuted(F.col("n") % F.col("blocks"), F.col("blocks"), F.lit(self.seed), F.coalesce("source", F.lit("")), F.floor(F.col("n") / F.col("blocks")))
         # within its shard a slot's place is drawn by a permutation too, else a source's slots would be side by side

@@ -1,7 +1,9 @@
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave.llm import mixing
 from tallyweave.llm.shared import read_table
@@ -96,6 +98,33 @@ def test_draws_are_multinomial_and_reconciled(spark, sf):
     assert "draws-" in mix.taken()._jdf.queryExecution().optimizedPlan().toString() or "shard" in mix.taken()._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_each_number_draws_the_owner_of_its_slot(spark):
+    """Sources of a slot or two that share a run of slots, beside one of many runs."""
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i, words(1 + i % 3), f"s{i:04d}") for i in range(600)] + [(1000 + i, words(50), "t" if i % 2 else None) for i in range(40)]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard=128)
+    totals = sorted((r["low"], r["slots"], r["source"]) for r in mix.totals.collect())
+    assert sum(n <= 9 for _, n, _ in totals) > mixing.OWNED and totals[-1][1] > mixing.OWNED
+    numbers = spark.range(mix.all).select(F.pmod(F.xxhash64(F.lit("draw"), F.lit(mix.seed), "id"), F.lit(mix.all)).alias("x"), "id").collect()
+    lows = [low for low, _, _ in totals]
+    want = Counter((r["id"] // 128, totals[bisect_right(lows, r["x"]) - 1][2]) for r in numbers)
+    assert want == {(r["shard"], r["source"]): r["drawn"] for r in mix.drawn.collect()}
+
+
+def test_nothing_made_for_each_slot_is_broadcast(spark, sf):
+    """Exploded rows are estimated as few as what they come from, so Spark would broadcast them at any size."""
+    mix = mixing.Mix(read_table(spark, sf, "documents"))
+    lines = mix.spans._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    inside = None
+    for line in lines:
+        if inside is not None and depth(line) <= inside:
+            inside = None
+        if inside is None and "BroadcastExchange" in line:
+            inside = depth(line)
+        assert inside is None or "sequence(" not in line
+
+
 def _taken_by_hand(mix):
     """Words taken of each row, counted word by word from the slots."""
     times = Counter((r["source"], r["block"]) for r in mix.slots.collect())
