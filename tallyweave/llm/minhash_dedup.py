@@ -248,7 +248,8 @@ def _blocks(rows: DataFrame, texts: DataFrame, width: int, num: int, den: int, p
     every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
     moving = rows.where("component <> main").select("cand", F.expr("pmod(xxhash64(rep, 2), subs)").alias("sub"), every("parts").alias("part"), F.lit(True).alias("moving"), "component", "rep")
     staying = rows.select("cand", every("subs").alias("sub"), F.expr("pmod(xxhash64(rep, 3), parts)").alias("part"), F.lit(False).alias("moving"), "component", "rep")
-    return moving.unionByName(staying).join(texts, "rep").select("cand", "sub", "part", "moving", "component", "rep", "text")
+    # never broadcast: rows for each piece look as few as the rows they are exploded from
+    return moving.unionByName(staying).hint("merge").join(texts, "rep").select("cand", "sub", "part", "moving", "component", "rep", "text")
 
 
 def _across_parts(several: DataFrame, members: DataFrame, texts: DataFrame, width: int, num: int, den: int, part_shingles: int = PART_SHINGLES) -> DataFrame:
