@@ -205,12 +205,12 @@ class CommitLog:
             self._put(f"state-{number:020d}.json", vars(state))
         return True
 
-    def commit(self, tables: Mapping[str, DataFrame], batch: int | None = None, writer: str | None = None, epoch: int | None = None, buckets: Mapping[str, tuple[str, int]] | None = None, note: Callable[[], dict] | None = None) -> bool:
+    def commit(self, tables: Mapping[str, DataFrame], batch: int | None = None, writer: str | None = None, epoch: int | None = None, buckets: Mapping[str, tuple[str, int]] | None = None, note: Callable[[dict[str, int]], dict] | None = None) -> bool:
         """Appends rows to several tables at once. False, and nothing done, if the batch is committed already.
 
         If anything fails, no table has changed and what was written is deleted. StaleWriter if a later epoch has been claimed.
         buckets: of tables whose rows are laid out in so many buckets of a key, for read_bucketed(). note: gives what history()
-        shows of the commit, once its rows are written.
+        shows of the commit, from how many rows of each table were written (footers tell).
         """
         written: dict[str, dict] = {}
         told: dict = {}
@@ -224,7 +224,7 @@ class CommitLog:
                 if not written:
                     for table, df in tables.items():
                         written[table] = self._write(df, table, {"batch": state.version + 1 if batch is None else batch}, (buckets or {}).get(table))
-                    told = {"note": note()} if note else {}
+                    told = {"note": note({t: self.read(t, State(live={t: x})).count() for t, x in written.items()})} if note else {}
                     continue  # writing takes long: look again before the entry
                 if self._append(state, {"add": written} | ({} if batch is None else {"batch": batch}) | ({} if writer is None else {"by": [writer, epoch]}) | told):
                     return True

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -37,8 +37,9 @@ PULLED = "pulled"
 def merge_batch(root: str, device: str | None = None, pack_every: int = 64, epoch: int | None = None, buckets: int | None = None):
     """A function for foreachBatch: appends what is new in the batch to the store at root, and packs every so many batches.
 
-    The counts of what was pulled, new and marked are taken as rows are written, and stand in the log's history. buckets: lays
-    transactions out in so many buckets of txn_id, so that the ledger isn't shuffled to find what it has already.
+    The counts of what was pulled, new and marked stand in the log's history; those of new and marked are of what was written, since
+    what is observed above a shuffle that turns out empty is never told. buckets: lays transactions out in so many buckets of txn_id,
+    so that the ledger isn't shuffled to find what it has already.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -52,10 +53,8 @@ def merge_batch(root: str, device: str | None = None, pack_every: int = 64, epoc
             new = sync.from_wire(new)
             # packs are in order of txn_id, so the files that hold none of the batch's range of ids aren't read
             least, most, live = new.agg(F.min("txn_id"), F.max("txn_id"), F.count("*")).first()
-            added, marks = Observation(), Observation()
-            rows = unknown(log, new, least, most).observe(added, F.count(F.lit(1)).alias("n"))
-            gone = sync.from_wire(sync.marks(batch)).observe(marks, F.count(F.lit(1)).alias("n"))
-            note = lambda: {"live": live, "added": added.get["n"], "overlap": live - added.get["n"], "marks": marks.get["n"]}
+            rows, gone = unknown(log, new, least, most), sync.from_wire(sync.marks(batch))
+            note = lambda n: {"live": live, "added": n["transactions"], "overlap": live - n["transactions"], "marks": n["deleted_transactions"]}
             layout = {"transactions": ("txn_id", buckets)} if buckets else None
             log.commit({"transactions": rows, "deleted_transactions": gone}, batch_id, WRITER, epoch, layout, note)
             if (batch_id + 1) % pack_every == 0:

@@ -99,3 +99,12 @@ def test_footers_tell_broken_stores(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"meta": [{"key": "k", "value": "2"}]}')
     assert tables.read_or_backup(spark, f"file://{tmp_path}", "meta", f"file://{tmp_path}/b.json").first()["value"] == "1"
     assert set(QUERIES) >= {"retention_prune", "stream_metrics"}
+
+
+def test_a_bucketed_merge_of_nothing_new_is_counted(spark, sf, tmp_path):
+    log, root = bindings.sync_log(spark, sf), f"file://{tmp_path}"
+    for batch in range(2):
+        merge.merge_batch(root, buckets=3)(log, batch)
+    notes = {r["batch"]: r["note"] for r in CommitLog(spark, root).history().collect()}
+    live, marks = (log.where(f"Type {sign} 'deleted'").count() for sign in ("<>", "="))
+    assert notes == {0: {"live": live, "added": live, "overlap": 0, "marks": marks}, 1: {"live": live, "added": 0, "overlap": live, "marks": marks}}
