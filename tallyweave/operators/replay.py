@@ -114,7 +114,8 @@ def replayed(commands: DataFrame) -> DataFrame:
     transfer alone. Commands of one seq are taken in order of their other columns; those without a transfer_id are left out.
     """
     names = [c.split()[0] for c in COMMAND.split(", ") if c.split()[0] in commands.columns]
-    rows = commands.select(*names).where("transfer_id is not null").repartition("transfer_id").sortWithinPartitions("transfer_id", "seq", *(c for c in names if c not in ("transfer_id", "seq")))
+    # dealt by a hash of the id: Spark leaves out a repartition by what a union's sides are dealt by already, then coalesces each side alone
+    rows = commands.select(*names).where("transfer_id is not null").repartition(F.xxhash64("transfer_id")).sortWithinPartitions("transfer_id", "seq", *(c for c in names if c not in ("transfer_id", "seq")))
 
     def fold(frames):
         import pyarrow as pa

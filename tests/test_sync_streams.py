@@ -155,3 +155,30 @@ def test_long_histories_are_folded_as_they_come(spark):
     done = replay.replayed(cast(toggles).unionByName(cast(create)))
     last = done.where("items is not null").collect()
     assert len(last) == 1 and last[0]["items"][0]["status"] == "confirmed" and done.where("error is null").count() == 30_002
+
+
+def _dealt_apart(spark):
+    """Commands of two sides that are dealt by transfer already, of which only the smaller is put together to fewer partitions; and how many transfers."""
+    n = 400
+    lines = "transform(sequence(1, 60), x -> struct(x + 0L product_id, id * x qty))"
+    rest = "cast(null as long) product_id, cast(null as string) action, cast(null as long) qty"
+    create = spark.range(n).selectExpr("id transfer_id", "0L seq", "'create' step", "1L from_store", "2L to_store", "false draft", *rest.split(", "), f"{lines} lines").repartition("transfer_id")
+    cancel = spark.range(n).selectExpr("id transfer_id", "1L seq", "'cancel' step", "null from_store", "null to_store", "null draft", *rest.split(", "), "null lines").repartition("transfer_id")
+    return create.unionByName(cancel), n
+
+
+def _with_small_partitions(spark, act):
+    conf = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return act()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_replay_of_sides_dealt_already(spark):
+    commands, n = _dealt_apart(spark)
+    done = _with_small_partitions(spark, lambda: replay.final_states(replay.replayed(commands)).collect())
+    assert len(done) == n and {(r["status"], r["accepted"], r["refused"]) for r in done} == {("cancelled", 2, 0)}
