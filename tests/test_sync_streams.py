@@ -182,3 +182,8 @@ def test_replay_of_sides_dealt_already(spark):
     commands, n = _dealt_apart(spark)
     done = _with_small_partitions(spark, lambda: replay.final_states(replay.replayed(commands)).collect())
     assert len(done) == n and {(r["status"], r["accepted"], r["refused"]) for r in done} == {("cancelled", 2, 0)}
+
+
+def test_refusals_of_sides_dealt_already(spark):
+    commands, _ = _dealt_apart(spark)
+    assert _with_small_partitions(spark, lambda: replay.refusals(replay.replayed(commands)).collect()) == []
