@@ -19,6 +19,7 @@ SCHEMAS = {
     "deliveries": "id string, store_id string, date date",
     "meta": "key string, value string",
     "stock_changes": "store_id string, product_id string, moved bigint, n bigint",
+    "stock_known": "id string, store_id string, product_id string, moved bigint, gone boolean",
 }
 
 #: A transaction as it is sent and received.

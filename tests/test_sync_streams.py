@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import ledger, replay, sync, thresholds
 from tallyweave.schemas import SCHEMAS, WIRE
+from tallyweave.sources.commit_log import CommitLog
 from tallyweave.streaming import merge, push, stock
 
 AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -187,3 +188,18 @@ def test_replay_of_sides_dealt_already(spark):
 def test_refusals_of_sides_dealt_already(spark):
     commands, _ = _dealt_apart(spark)
     assert _with_small_partitions(spark, lambda: replay.refusals(replay.replayed(commands)).collect()) == []
+
+
+def test_stock_is_joined_not_asked_row_by_row(spark, tmp_path):
+    log, root = spark.createDataFrame([_wire("a", "in", 5), _wire("b", "out", 2, at=1), _wire("x", "deleted", 0, "c")], WIRE), f"file://{tmp_path}"
+    run = stock.keep_batch(root, buckets=3)
+    run(log, 0)
+    run(log, 0)  # run again, as after a failure
+    run(log, 1)  # all replays
+    later = spark.createDataFrame([_wire("y", "deleted", 0, "a"), _wire("c", "in", 9), _wire("b", "in", 4, at=2), _wire("d", "in", 1, store=None)], WIRE)
+    run(later, 2)
+    assert sorted(map(tuple, stock.on_hand(spark, root).collect()), key=str) == [("s", "p", -2), (None, "p", 1)]
+    known = CommitLog(spark, root).read_bucketed(stock.KNOWN)
+    assert {tuple(r) for r in known.groupBy("id").agg(F.max("moved"), F.bool_or("gone")).collect()} == {("a", 5, True), ("b", -2, False), ("c", 9, True), ("d", 1, False)}
+    plan = stock.changes(later, known)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Bucketed: true" in plan and "TransformWithState" not in plan
