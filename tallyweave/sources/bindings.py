@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 TYPES = ["in", "out", "transfer_in", "transfer_out", "return_in", "wastage", "adjustment_in", "adjustment_out", "deleted"]
 STATUSES = ["draft", "in_transit", "received", "flagged", "completed", "cancelled"]
 ROLES = ["director", "head_office", "franchisee", "store_manager", "staff"]
+#: Lines that a task sums and nests, so that what it holds doesn't grow with the table.
+LINES_A_TASK = 250_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,9 +77,14 @@ def transfer_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """l_orderkey, l_partkey, sent: lines of one order and product summed; dealt by order, which serves what groups or joins by it."""
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("qty")).repartition("l_orderkey")
-    return lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("qty").cast("bigint").alias("sent"))
+    """l_orderkey, l_partkey, sent: lines of one order and product summed; dealt by order, which serves what groups or joins by it.
+
+    Tasks get some LINES_A_TASK each, which a number given to repartition() keeps from being put together.
+    """
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("qty"))
+    tasks = lines.count() // LINES_A_TASK + 1
+    dealt = lines.repartition(tasks, "l_orderkey") if tasks > spark.sparkContext.defaultParallelism else lines.repartition("l_orderkey")
+    return dealt.groupBy("l_orderkey", "l_partkey").agg(F.sum("qty").cast("bigint").alias("sent"))
 
 
 def _came(part, sent):

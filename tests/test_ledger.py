@@ -2,6 +2,7 @@
 
 from datetime import date, datetime, timezone
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import loose
 from tallyweave.operators import ledger, sync, thresholds, transfers, views
 from tallyweave.schemas import SCHEMAS
-from tallyweave.sources import tables
+from tallyweave.sources import bindings, tables
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 TXN = "txn_id string, type string, product_id string, qty long, store_id string, date date"
@@ -206,3 +207,17 @@ def test_pages_by_counts_are_the_same(spark, monkeypatch):
     for n in (0, 3, 7, 14, 15, 10**9):
         assert [r["id"] for r in views.page_by_counts(t, n).collect()] == [r["id"] for r in views.page(t, n).collect()]
     assert views.page_by_counts(t.where("false"), 3).isEmpty() and [r["id"] for r in views.page_by_counts(t.where("created_at is null"), 1).collect()] == [r["id"] for r in views.page(t.where("created_at is null"), 1).collect()]
+
+
+@pytest.mark.parametrize("name", ["transfer_items", "transfers"])
+def test_tasks_follow_the_lines(spark, sf, monkeypatch, name):
+    """What a task holds of orders' lines doesn't grow with them, and the rows stay the same."""
+    made, before = getattr(bindings, name), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = sorted(map(str, made(spark, sf).collect()))
+        monkeypatch.setattr(bindings, "LINES_A_TASK", 500, raising=False)
+        rows, least = made(spark, sf), spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500 + 1
+        assert least > 4 and rows.rdd.getNumPartitions() == least and sorted(map(str, rows.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
