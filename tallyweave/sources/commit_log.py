@@ -161,19 +161,21 @@ class CommitLog:
         """As read(), with the buckets that all folders of the table are laid out in known to Spark.
 
         A join on the key then moves only the other side, and a row is looked for in its bucket alone. Plain rows where folders
-        have other layouts or none. The session knows the table by a name of its own until the next state is read.
+        have other layouts or none. The session knows the table by a name of its own until the next state is read. A table without
+        a schema of ours has that of its files.
         """
         state = state or self.state()
         folders = state.live.get(table, {})
         laid_out = {tuple(x.get("buckets", ())) for x in folders.values()}
-        if table not in SCHEMAS or len(laid_out) != 1 or () in laid_out:
+        if len(laid_out) != 1 or () in laid_out:
             return self.read(table, state)
         (key, n), stem = laid_out.pop(), f"tallyweave_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{table}"
         name = f"{stem}_{state.version}"
         if not self.spark.catalog.tableExists(name):
             for t in self.spark.catalog.listTables(pattern=f"{stem}_*"):
                 self.spark.sql(f"DROP TABLE IF EXISTS {t.name}")
-            self.spark.sql(f"CREATE TABLE {name} ({SCHEMAS[table]}, _folder INT) USING parquet PARTITIONED BY (_folder) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{self.root}/{_DATA}/{table}'")
+            columns = SCHEMAS.get(table) or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.read(table, state).schema)
+            self.spark.sql(f"CREATE TABLE {name} ({columns}, _folder INT) USING parquet PARTITIONED BY (_folder) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{self.root}/{_DATA}/{table}'")
             parts = " ".join(f"PARTITION (_folder={i}) LOCATION '{self.root}/{f}'" for i, f in enumerate(folders))
             self.spark.sql(f"ALTER TABLE {name} ADD {parts}")
         return self.spark.table(name).drop("_folder")
@@ -232,11 +234,12 @@ class CommitLog:
             self._delete(f for x in written.values() for f in x)
             raise
 
-    def pack(self, table: str, key: str, sums: list[str] | None = None) -> int | None:
+    def pack(self, table: str, key: str, sums: list[str] | None = None, bucket_rows: int | None = None) -> int | None:
         """Writes a table's batches since the last pack as one, in order of key; its number, or None where there are none.
 
         Files have narrow ranges of keys, so a filter on the key skips most of them. Once there are as many packs as batches went
         into one, they are packed together, so the folders of a table stay few. sums: columns to add up for each of the others.
+        bucket_rows: lays what isn't in buckets yet out in buckets of the key, about so many rows in each, for read_bucketed().
         What is packed stays for readers of older numbers until delete_packed().
         """
         state = self.state()
@@ -253,6 +256,8 @@ class CommitLog:
             rows = rows.groupBy(*(c for c in rows.columns if c not in sums)).agg({c: "sum" for c in sums}).toDF(*(c for c in rows.columns if c not in sums), *sums).select(*rows.columns)
         laid_out = {tuple(x["buckets"]) if "buckets" in x else None for x in chosen.values()}
         bucket = laid_out.pop() if len(laid_out) == 1 else None
+        if bucket is None and bucket_rows:
+            bucket = key, max(rows.count() // bucket_rows + 1, self.spark.sparkContext.defaultParallelism)
         added = self._write(rows if bucket else rows.repartitionByRange(key).sortWithinPartitions(key), table, {"batch": last, "pack": True}, bucket)
         while not self._append(state, {"add": {table: added}, "drop": {table: sorted(chosen)}}):
             state = self.state()

@@ -143,7 +143,8 @@ def commit_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """store_id, product_id, on_hand of a ledger and its deletions that were committed together in parts, some more than once.
 
     One part is begun by a driver that dies before its entry is in the log, one is committed twice, and one is tried by a writer
-    whose successor has claimed the store. Both tables are read at one number.
+    whose successor has claimed the store. Both tables are read at one number. The pack has the ledger in buckets of the id, so what
+    packs it is its only shuffle: the deletions are brought to it.
     """
     from ..sources.commit_log import StaleWriter
 
@@ -164,9 +165,9 @@ def commit_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
         pass
     for n in (1, 2, 2, 3, 0):
         log.commit(part(n), n, "import", new)
-    log.pack("ledger", "txn_id")
+    log.pack("ledger", "txn_id", bucket_rows=bindings.LINES_A_TASK)
     state = log.state()
-    return ledger.on_hand(ledger.removed(log.read("ledger", state), log.read("ledger_deleted", state)))
+    return ledger.on_hand(ledger.removed(log.read_bucketed("ledger", state), log.read("ledger_deleted", state)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_merge, stream_merge_packed, stream_merge_bucketed, stream_metrics, retention_prune, transfer_versions, store_views, stream_on_hand, stream_on_hand_after_delete, commit_recovered)}

@@ -160,3 +160,31 @@ def test_a_dead_stream_cannot_write_behind_its_successor(spark, sf, tmp_path):
     early = log.where("cast(TransactionId as int) < 30")
     assert first == {r[0] for r in sync.merged_ids(early.where("false").select(F.col("TransactionId").alias("txn_id")), early).collect()}
     assert tables._last_pack(spark, root, "transactions") == -1
+
+
+def test_a_packed_ledger_in_buckets_is_not_shuffled_again(spark, tmp_path, sf):
+    """A table of no schema of ours is packed into buckets that follow its rows; what is removed from it is brought to them."""
+    log, rows = CommitLog(spark, f"file://{tmp_path}"), bindings.ledger(spark, sf).select("txn_id", "qty", "transfer_id")
+    for n in range(2):
+        log.commit({"packed_ledger": rows.where(F.col("transfer_id") % 2 == n)}, n)
+    total = rows.count()
+    log.pack("packed_ledger", "txn_id", bucket_rows=total // 9)
+    state = log.state()
+    (folder,) = state.live["packed_ledger"].values()
+    assert folder["pack"] and folder["buckets"] == ["txn_id", 10]
+    gone = rows.where("transfer_id % 17 = 0").select("txn_id").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = log.read_bucketed("packed_ledger", state).join(gone, "txn_id", "left_anti")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the ledger's side goes from the scan to the join without an exchange
+    assert "Bucketed: true" in plan and "Exchange" not in plan[: plan.index("FileScan parquet")], plan
+    assert got == sorted(tuple(r) for r in rows.join(gone, "txn_id", "left_anti").collect()) and 0 < len(got) < total
+    # a second pack, of the same layout, goes with the first
+    log.commit({"packed_ledger": rows.limit(0)}, 2)
+    log.pack("packed_ledger", "txn_id", bucket_rows=total // 9)
+    assert log.read_bucketed("packed_ledger").count() == total
