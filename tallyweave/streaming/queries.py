@@ -87,7 +87,7 @@ def transfer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = log.state()
     sign = F.when(F.col("type") == "transfer_out", -F.col("qty")).otherwise(F.col("qty"))
     units = log.read("entries", state).groupBy(F.col("transfer_id").alias("id")).agg(F.sum(sign).cast("bigint").alias("units"))
-    return transfer_store.current(log, state, "headers").select("id", "status", "version").join(units, "id", "left")
+    return transfer_store.current(log, state, "headers", ("id", "status", "version")).join(units, "id", "left")
 
 
 def store_views(spark: SparkSession, sf_dir: str) -> DataFrame:

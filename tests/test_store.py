@@ -33,6 +33,21 @@ def test_a_step_that_fails_leaves_the_version_before(spark, tmp_path):
     assert transfer_store.versions(log, transfers="heads").count() == 3
 
 
+def test_tasks_follow_the_versions(spark, tmp_path, monkeypatch):
+    """What a task sorts of stored versions doesn't grow with them, the last ones stay the same, and only what is asked for is moved."""
+    log = CommitLog(spark, f"file://{tmp_path}")
+    for step, every in enumerate((1, 2, 3)):
+        ids = spark.range(0, 600, every).selectExpr("id", f"'s{step}' status", "array(id) items", "null version")
+        assert transfer_store.save(log, step, ids, None, "many")
+    want = sorted(map(str, transfer_store.current(log, transfers="many").collect()))
+    monkeypatch.setattr(transfer_store, "VERSIONS_A_TASK", 100, raising=False)
+    rows = transfer_store.current(log, transfers="many")
+    assert rows.rdd.getNumPartitions() == 12 and sorted(map(str, rows.collect())) == want and len(want) == 600
+    few = transfer_store.current(log, transfers="many", columns=("id", "status"))
+    assert few.columns == ["id", "status"] and "items" not in few._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["status"] for r in few.collect()} == {i: "s2" if i % 3 == 0 else "s1" if i % 2 == 0 else "s0" for i in range(600)}
+
+
 def test_views_show_one_number(spark, tmp_path):
     log = CommitLog(spark, f"file://{tmp_path}")
     rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
