@@ -48,6 +48,9 @@ _VIEWS = {
                CAST(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 <> 0 THEN CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 = 0 THEN 49 ELSE 50 END END AS BIGINT) AS processed FROM events""",
     "unsynced": "SELECT txn_id, n // 50 AS batch_no FROM (SELECT txn_id, row_number() OVER (ORDER BY txn_id) - 1 AS n FROM ledger WHERE transfer_id % 3 <> 0)",
     "acks": "SELECT * FROM (SELECT batch_no, count(*) AS sent FROM unsynced GROUP BY batch_no) LEFT JOIN answers USING (batch_no)",
+    "push_acks": """
+        SELECT * FROM (SELECT n // 50 AS batch_no, count(*) AS sent FROM (
+            SELECT row_number() OVER (ORDER BY txn_id) - 1 AS n FROM (SELECT txn_id FROM unsynced UNION ALL SELECT 'del_' || txn_id FROM ledger WHERE transfer_id % 17 = 0)) GROUP BY 1) LEFT JOIN answers USING (batch_no)""",
     "commands": """
         SELECT transfer_id AS k, row_number() OVER (PARTITION BY transfer_id ORDER BY seq) AS n, step, product_id AS p, action, qty, lines FROM (
             SELECT transfer_id, seq, step, CASE seq WHEN 1 THEN low WHEN 2 THEN high END AS product_id, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS qty, CASE seq WHEN 0 THEN every WHEN 3 THEN edits WHEN 5 THEN came END AS lines
@@ -205,7 +208,7 @@ _BODIES = {
     "migration_wire": """
         SELECT txn_id AS "TransactionId", strftime(date, '%Y-%m-%d') AS "Date", CAST(store_id AS VARCHAR) AS "StoreId", CAST(product_id AS VARCHAR) AS "ProductId", type AS "Type", qty AS "Qty", l_linestatus AS "StaffName", l_returnflag AS "Reason",
                'migration_v2' AS "DeviceId", epoch_ms(created_at) AS "Timestamp", CAST(transfer_id AS VARCHAR) AS "TransferId", CAST(NULL AS VARCHAR) AS "TargetTransactionId" FROM ledger""",
-    "push_totals": "SELECT count(*) AS batches, CAST(coalesce(sum(sent) FILTER (processed = sent), 0) AS BIGINT) AS sent, CAST(coalesce(sum(sent) FILTER (processed IS DISTINCT FROM sent), 0) AS BIGINT) AS failed FROM acks",
+    "push_totals": "SELECT count(*) AS batches, CAST(coalesce(sum(sent) FILTER (processed = sent), 0) AS BIGINT) AS sent, CAST(coalesce(sum(sent) FILTER (processed IS DISTINCT FROM sent), 0) AS BIGINT) AS failed FROM push_acks",
     "sync_confirmed": """
         SELECT synced, count(*) AS n FROM (SELECT transfer_id % 3 = 0 OR coalesce(processed = sent, false) AS synced FROM ledger LEFT JOIN unsynced USING (txn_id) LEFT JOIN acks USING (batch_no)) GROUP BY synced""",
     "map_items": "SELECT l_orderkey AS id, l_partkey AS product_id, CAST(sum(CAST(l_quantity AS BIGINT) - 10) AS BIGINT) AS qty FROM lineitem GROUP BY 1, 2 HAVING sum(CAST(l_quantity AS BIGINT) - 10) > 0",

@@ -349,21 +349,22 @@ def migration_wire(s, d):
     return sync.to_migration(b.ledger(s, d))
 
 
-def _acks(s, d):
-    """Batches of what is unsynced, as sync.pushed() has them, with the answers that they got; some got none."""
-    sent = sync.batched(sync.unsynced(b.ledger(s, d))).groupBy("batch_no").agg(F.count("*").alias("sent"))
+def _acks(s, d, rows):
+    """Batches of rows, as sync.pushed() has them, with the answers that they got; some got none."""
+    sent = sync.batched(rows).groupBy("batch_no").agg(F.count("*").alias("sent"))
     return sent.join(_answers(s, d), "batch_no", "left")
 
 
 def push_totals(s, d):
-    return sync.push_totals(_acks(s, d))
+    """Totals of the whole push: of all rows that sync_push_batch sends."""
+    return sync.push_totals(_acks(s, d, _unsynced(s, d)))
 
 
 def sync_confirmed(s, d):
     """How many rows of each device are synced once the confirmed batches are marked."""
     rows = b.ledger(s, d)
     batches = sync.batched(sync.unsynced(rows)).select("txn_id", "batch_no")
-    done = batches.join(_acks(s, d).where(sync.acknowledged(F.col("processed"), F.col("sent"))), "batch_no", "left_semi")
+    done = batches.join(_acks(s, d, sync.unsynced(rows)).where(sync.acknowledged(F.col("processed"), F.col("sent"))), "batch_no", "left_semi")
     return sync.marked_synced(rows, done).groupBy("synced").agg(F.count("*").alias("n"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import loose
 from tallyweave.operators import ledger, sync, thresholds, transfers, views
+from tallyweave.plans.queries import QUERIES
 from tallyweave.schemas import SCHEMAS
 from tallyweave.sources import bindings, tables
 
@@ -192,6 +193,13 @@ def test_push_retries_marks_and_counts(spark):
     assert tuple(totals) == (6, len(ids - bad), len(bad))
 
 
+def test_push_totals_are_of_all_that_is_pushed(spark, sf):
+    """Tombstones too: as many rows as sync_push_batch sends, in batches that are full but for the last."""
+    n = QUERIES["sync_push_batch"](spark, sf).count()
+    total = QUERIES["push_totals"](spark, sf).first()
+    assert total["sent"] + total["failed"] == n and total["batches"] == -(-n // sync.BATCH) and total["sent"] > 0
+
+
 def test_drafts_of_stock_takes(spark):
     lines = spark.createDataFrame([(1, 5, 3), (1, 6, 0), (2, 5, 4)], "store_id long, product_id long, qty long")
     made = transfers.from_stock_take(lines, 0, F.lit(datetime(2024, 1, 1)), F.lit("me")).collect()
