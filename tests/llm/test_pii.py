@@ -142,3 +142,47 @@ def test_recall_of_each_kind(seed, frames, least):
     false = sum(map(len, pii.model_spans(clean, [[] for _ in clean], tagger)))
     print(recall, said, exact, false)
     assert exact >= least * len(left) and all(a >= 0.7 * b for a, b in recall.values()) and exact >= 0.95 * said and false <= 6
+
+
+def test_spans_that_hold_no_digit_or_at_sign():
+    """The tagger reads all of a text, not only what is around digits, an @ or what stands for one in brackets."""
+    prose, found = "the old mill was shut, and nobody asked. " * 40, 0
+    for span in ("kate (AT) corp.io", "kate[AT]corp.io", "olga ( at ) pixel.com", "pavel(AT)lumen.org", "maria.chen at harbor.org", "maria at harbor.org"):
+        text = f"{prose}Please write to {span} before Friday. {prose}"
+        at = text.index(span)
+        got, none = pii.model_spans([text, prose], [[], []], pii.trained())
+        assert got in ([], [(at, 0, at + len(span))]) and none == []
+        found += len(got)
+    assert found >= 3
+
+
+@pytest.mark.parametrize("size", [0, 1, 23, 24, 25, 503, 504, 505, 528, 984, 985, 5000])
+def test_every_character_is_read_and_decided_once(size, monkeypatch):
+    import numpy as np
+
+    tagger, lengths = pii.trained(), []
+    plain = type(tagger).read
+    monkeypatch.setattr(type(tagger), "read", lambda self, x, n: (lengths.extend((x > 0).sum(axis=0).tolist()), plain(self, x, n))[1])
+    text = ("only words here " * 400)[:size]
+    assert pii.model_spans([text], [[]], tagger) == [[]]
+    decided = np.zeros(size, dtype=int)
+    for begin in pii._windows(size):
+        decided[begin + (pii.EDGE if begin else 0) : begin + pii.READ - pii.EDGE] += 1
+    assert (decided == 1).all() and sorted(lengths) == sorted(min(pii.READ, size - b) for b in pii._windows(size))
+
+
+def test_reading_is_as_in_training():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    tagger = pii.Tagger(rng)
+    lengths = np.sort(rng.integers(1, 90, 300))[::-1]
+    x = np.where(np.arange(90)[:, None] < lengths, rng.integers(1, pii.N_CODES, (90, 300)), 0)
+    got = tagger.read(x.astype(np.int8), lengths)
+    for k in range(0, 300, 23):
+        n = lengths[k]
+        assert np.abs(got[:n, :, k] - tagger.emissions(x[:n, k][None])[0]).max() < 1e-4 and (got[n:, :, k].argmax(axis=1) == 0).all()
+
+
+def test_no_dot_before_the_at_makes_an_address():
+    assert pii._possible(0, "kate at corp.io") and pii._possible(0, "kate at corp dot io") and not pii._possible(0, "it. At onnded")
